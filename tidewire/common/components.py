@@ -18,11 +18,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: st
     edges and loops are harmless; no edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = written(pairs.union(pairs.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("c")), "labels")
+    nodes = pairs.select("x", F.col("x").alias("y")).union(pairs.select("y", "y"))
+    both = written(pairs.union(pairs.select("y", "x")).union(nodes).distinct(), "edges")
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("c")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "c"), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        seen = both.join(labels.select(F.col("node").alias("y"), "c"), "y")
+        moved = seen.groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"), F.max(F.when(F.col("x") == F.col("y"), F.col("c"))).alias("old"))
         jump = labels.select(F.col("node").alias("c"), F.col("c").alias("root"))
         new = written(moved.join(jump, "c").select("node", "old", F.least("c", "root").alias("c")), "labels")
         changed = new.where("old <> c").limit(1).count()
