@@ -16,10 +16,12 @@ import numpy as np
 import regex
 
 #: Entries of a worker's cache; stretches beyond that are made anew each time.
-CACHE = 500_000
+CACHE = 800_000
 
 _PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _IRREGULAR = re.compile(r" (?=\s|\Z)")
+#: White space beyond space, tab and line ends; texts without it need no search for irregular spaces.
+_RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _STRETCH = re.compile(r"(?= \S)")
 #: Characters that libraries disagree on whether they are white space.
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
@@ -35,6 +37,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _irregular(text: str) -> bool:
+    """Whether a space stands before white space or at the end."""
+    if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
+        return True
+    rare = _RARE[:6] if text.isascii() else _RARE
+    return any(c in text for c in rare) and _IRREGULAR.search(text) is not None
+
+
 class Encoder(dict):
     """Ids of stretches by text; :meth:`encode` gives whole texts."""
 
@@ -45,6 +55,7 @@ class Encoder(dict):
         super().__init__()
         self.library, self.bound = Tokenizer.from_file(path), bound
         self.model, self.alphabet = self.library.model, byte_alphabet()
+        self.space = self.alphabet[0x20]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         kept = json.loads(self.library.to_str())
@@ -58,15 +69,25 @@ class Encoder(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if _UNSURE.search(piece):
-            ids = self.whole(piece)
+        if not piece:
+            return b""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            tokens = [piece]
+        elif word[-1:] in ",." and word[:-1].isalpha():
+            tokens = [piece[:-1], piece[-1]]
+        elif _UNSURE.search(piece):
+            return self.whole(piece)
         else:
             tokens = _PATTERN.findall(piece)
-            if len(tokens) > 1:
-                ids = b"".join(map(self.__getitem__, tokens))
+        if len(tokens) > 1:
+            ids = b"".join(map(self.__getitem__, tokens))
+        else:
+            if piece.isascii() and word.isalpha():
+                mapped = self.space + word if piece[0] == " " else word
             else:
                 mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
+            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(mapped)])
         if len(piece) < 64 and len(self) < self.bound:
             self[piece] = ids
         return ids
@@ -77,7 +98,7 @@ class Encoder(dict):
             return b""
         if not self.by_pattern or any(s in text for s in self.special):
             return self.whole(text)
-        if "\0" in text or _IRREGULAR.search(text):
+        if "\0" in text or _irregular(text):
             return b"".join(map(self.__getitem__, _STRETCH.split(text)))
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 

@@ -26,7 +26,7 @@ from .textbatch import slices
 
 END = 2
 #: Ids from which a shard is closed, rounds, rules of a round, occurrences that a rule needs, gain below which rounds end.
-SHARD_IDS, ROUNDS, RULES, LEAST, GAIN = 1 << 20, 4, 4096, 16, 0.02
+SHARD_IDS, ROUNDS, RULES, LEAST, GAIN = 1 << 20, 3, 8192, 16, 0.02
 MAGIC, HEADER = b"RPT1", "<4sBIQQQI"
 _BITS = 18
 
@@ -248,7 +248,8 @@ def read_shards(spark: SparkSession, root: str) -> DataFrame:
                     ["name", "part", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("shard").repartition(max(1, min(n, 20_000)), "shard").mapInArrow(run, "name string, part int, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, -(-n // 8), min(n, spark.sparkContext.defaultParallelism))  # about eight shards each
+    rows = shards.select("shard").repartition(tasks, "shard").mapInArrow(run, "name string, part int, start long, n_tokens long, ids_crc32 long")
     return rows.join(bounded_broadcast(bases, 100_000), "part").select("name", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
