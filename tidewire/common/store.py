@@ -37,6 +37,20 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that batches of long texts stay small.
+
+    Leaves a session that has a bound of its own as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > 256 << 20:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_root(spark)}/tidewire/{label}-{uuid.uuid4().hex}"
@@ -50,7 +64,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
