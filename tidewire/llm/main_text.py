@@ -16,12 +16,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common.store import written
-from .textbatch import slices
+from ..common.store import small_batches, written
 
 ARTICLE, PLAIN, OTHER = 0, 1, 2
 #: Share of a page's characters in shared lines from which the pair counts as copies and nothing is deleted.
@@ -173,23 +173,15 @@ def nearest(path: str, others: list[tuple[str, list[str]] | None]) -> list[str]
 
 
 DONE, FIRST, LAST = 0, 1, 2
-_PAGE = "url string, host string, path string, lines array<string>, kinds array<int>"
 _PAIRED = "status int, part int, url string, text string, host string, path string, lines array<string>, kinds array<int>, other_path string, other_lines array<string>"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as they travel: compressed."""
+    compress = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for part in slices(batch, "html", 4 << 20):
-            urls = part.column("url").to_pylist()
-            parsed = [page_lines(h) for h in part.column("html").to_pylist()]
-            split = [re.fullmatch(r"(?s)[^/]*//([^/?#]*)(.*)", u or "") for u in urls]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("page_id"), part.column("url"), pa.array([m[1].lower() if m else "" for m in split], pa.string()), pa.array([m[2] if m else "" for m in split], pa.string()),
-                    pa.array([p[0] for p in parsed], pa.list_(pa.string())), pa.array([p[1] for p in parsed], pa.list_(pa.int32())),
-                ],
-                ["page_id", "url", "host", "path", "lines", "kinds"],
-            )
+        packed = [None if h is None else compress(h.encode()) for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "packed"])
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +204,15 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], names)
 
+    unpack = zstandard.ZstdDecompressor().decompress
     before = page = None
     for batch in batches:
         if schema is None:
             text, many = pa.string(), pa.list_(pa.string())
             types = [batch.schema.field("page_id").type, pa.int32(), pa.int32(), text, text, text, text, many, pa.list_(pa.int32()), text, many]
             schema = pa.schema(list(zip(names, types, strict=True)))
-        for after in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "lines", "kinds")), strict=True):
+        for page_id, url, host, path, packed in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "packed")), strict=True):
+            after = (page_id, url, host, path, *page_lines(None if packed is None else unpack(packed).decode()))
             if page is not None:
                 out.append(result(page, before, after, FIRST if before is None else DONE))
             before, page = page, after
@@ -247,11 +241,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     that has a third of all pages is spread over many tasks; only a partition's first and last page meet those
     of the partitions beside it in a join. Other columns, whatever their names, are not read.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.mapInArrow(_parse, f"page_id {kind}, {_PAGE}").withColumn("slot", F.monotonically_increasing_id())
-    parsed = written(parsed, "lines")
-    sorted_ = parsed.repartitionByRange("host", "path", "slot").sortWithinPartitions("host", "path", "slot").drop("slot")
+    url = r"(?s)^[^/]*//([^/?#]*)(.*)$"
+    host, path = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), url, 1)), F.regexp_extract(F.coalesce("url", F.lit("")), url, 2)
+    keyed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("slot"), "html")
+    packed = keyed.mapInArrow(_zip, f"page_id {kind}, url string, host string, path string, slot long, packed binary")
+    sorted_ = packed.repartitionByRange("host", "path", "slot").sortWithinPartitions("host", "path", "slot").drop("slot")
     paired = written(sorted_.mapInArrow(_pair, f"page_id {kind}, {_PAIRED}"), "paired")
 
     ends = paired.where(F.col("status") > DONE)
