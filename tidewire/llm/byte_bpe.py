@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Entries of a worker's cache; stretches beyond that are made anew each time.
-CACHE = 800_000
+CACHE = 300_000
 
 _PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _IRREGULAR = re.compile(r" (?=\s|\Z)")
@@ -106,8 +106,10 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for the vocabulary at ``path``."""
+def encoder(path: str, bound: int = CACHE) -> Encoder:
+    """The worker's encoder for the vocabulary at ``path``, with room for ``bound`` stretches at least."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path] = Encoder(path, bound)
+    own = _encoders[path]
+    own.bound = max(own.bound, bound)
+    return own

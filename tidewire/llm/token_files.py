@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common.store import bounded_broadcast, new_path
+from ..common.store import bounded_broadcast, new_path, small_batches
 from .byte_bpe import encoder
 from .files import create, open_for_reading
 from .textbatch import slices
 
 END = 2
+#: Stretches that a worker keeps the ids of.
+CACHE = 700_000
 #: Ids from which a shard is closed, rounds, rules of a round, occurrences that a rule needs, gain below which rounds end.
 SHARD_IDS, ROUNDS, RULES, LEAST, GAIN = 1 << 20, 3, 8192, 16, 0.02
 MAGIC, HEADER = b"RPT1", "<4sBIQQQI"
@@ -53,8 +55,9 @@ def re_pair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarra
             break
         number = np.full(1 << _BITS, -1, dtype=np.int32)
         number[full] = np.arange(len(full), dtype=np.int32)
-        at = np.flatnonzero(number[cell] >= 0)
-        of = number[cell[at]]
+        of = number[cell]
+        at = np.flatnonzero(of >= 0)
+        of = of[at]
         pair = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
         chosen = np.zeros(len(full), dtype=np.uint64)
         chosen[of] = pair  # one pair of each cell, most likely its most frequent
@@ -140,8 +143,16 @@ class Shard:
 
     def decode_all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the shard, and the offsets of its documents among them."""
-        ends = np.concatenate([[0], np.cumsum(self.sizes(self.symbols), dtype=np.int64)])
-        return expand(self.symbols, self.rules, self.base), ends[self.offsets]
+        flat = expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)
+        table = np.concatenate([np.arange(self.base, dtype=np.uint32), flat])  # what each symbol stands for, one after the other
+        lengths = np.concatenate([np.ones(self.base, np.int32), self.lengths.astype(np.int32)])
+        place = np.cumsum(lengths, dtype=np.int32) - lengths
+        symbols = self.symbols.astype(np.intp)
+        sizes = lengths[symbols]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at = np.repeat(place[symbols] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return table[at], ends[self.offsets]
 
 
 def dump(part: int, start: int, doc_ids: list[str | None], ids: list[bytes], base: int) -> bytes:
@@ -198,7 +209,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end: int = END, id_
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, CACHE)
         part, base = TaskContext.get().partitionId(), own.library.get_vocab_size()
         names: list[str | None] = []
         ids: list[bytes] = []
@@ -260,6 +271,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "do
     their texts' hashes. An empty table gives no shards and an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     root = new_path(spark, "tokens")
     write_shards(docs, root, tokenizer, end, id_col, text_col)
     kind = docs.schema[id_col].dataType
