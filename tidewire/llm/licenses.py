@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common.store import small_batches
 from .textbatch import ALNUM_WORD, slices, word_hash, words_of
 
 # Phrases and the labels that their places give.
@@ -55,7 +56,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, n = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 words = words_of(part.column("text"), ALNUM_WORD, fold=True)
                 at = np.minimum(np.searchsorted(ranked, words.hash), len(ranked) - 1)
                 hit = np.flatnonzero(ranked[at] == words.hash)
@@ -121,12 +122,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     starts. ``labels`` adds the templates found; ``score`` is the best share of a found template's words, 0 without one. A null
     or empty text has no words, null places, empty labels and score 0. Repeated rows give repeated rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     index = Index(*document_frequencies(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 words = words_of(part.column("text"), ALNUM_WORD, fold=True)
                 n, m = np.diff(words.first), part.num_rows
                 h, first = words.hash, words.first

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common.store import small_batches
 from .textbatch import SPACED_WORD, Words, byte_table, constants, mix, slices, utf8, windows, words_of
 
 #: Labelled documents that the weights are fitted on, and lines that each gives.
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 lines, features = _batch(part.column("text"), None)
                 out = []
                 for a, b in zip(lines.first[:-1], lines.first[1:], strict=True):
@@ -263,13 +264,14 @@ def with_quality(docs: DataFrame, crf: Crf, text_col: str = "text", content_shar
     zero counts, a content share of 0 and fails. Every row of ``docs`` gives one row with all its columns;
     a column named ``quality`` is replaced.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "quality"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     fields = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, _batch(part.column("text"), crf))], ["row", *fields])
 
     schema = packed.select("row").schema

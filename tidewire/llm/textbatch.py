@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHINGLE = 5
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -57,7 +57,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
         for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(max(n, 2 * CHUNK), base, dtype=np.uint64)
+            steps = np.full(2 * CHUNK, base, dtype=np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0], _powers[1]
@@ -217,7 +217,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """The batch in slices whose texts have about ``max_bytes`` at most (one text may be longer)."""
     if not batch.num_rows:
         return

@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common.store import small_batches
 from .textbatch import slices
 
 #: Entries of the broadcast table, entries of a worker's cache, and pre-tokens that one task reports.
-TABLE, CACHE, REPORTED = 32_768, 600_000, 4_096
+TABLE, CACHE, REPORTED = 32_768, 400_000, 4_096
 
 _loaded: dict[str, object] = {}
 
@@ -119,6 +120,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     limit. A null id stays null; repeated rows give repeated rows; an empty table gives an empty result.
     Other columns of ``docs``, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = frequent(docs, "text", table) if splits_at_spaces(model) else []
     lengths = dict(zip(words, map(len, load_sentencepiece(model).encode(words, num_threads=1)), strict=True)) if words else {}

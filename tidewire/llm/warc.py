@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common.store import bounded_broadcast, new_path, written
+from ..common.store import bounded_broadcast, new_path, small_batches, written
 from .files import create, open_for_reading
 from .textbatch import slices
 
@@ -239,6 +239,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     An empty table gives an empty archive and result. Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     root = new_path(spark, "warc")
     write_archive(pages, root, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType
