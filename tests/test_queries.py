@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewire.plans.queries import ORACLE, QUERIES
+from tidewire.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 

@@ -58,3 +58,34 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("y"), ((F.col("n_chars") % 1000) / 1000.0).alias("p"))
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets: a line item is one, from its supplier's host to its order's or back."""
+    c, n = F.col, F.col("l_linenumber")
+    df = table(spark, sf_dir, "lineitem")
+    near = F.concat(F.lit("10.0.0."), (c("l_suppkey") % 20 + 1).cast("string"))
+    far = F.concat(F.when(c("l_orderkey") % 5 == 0, "203.0.113.").otherwise("10.1.0."), (c("l_orderkey") % 20 + 1).cast("string"))
+    port_near, port_far = (40000 + c("l_suppkey") % 50).cast("int"), F.get(F.array(*[F.lit(p) for p in (22, 53, 80, 443, 445, 3389, 6667, 8080)]), (c("l_partkey") % 8).cast("int"))
+    out, tcp = n % 2 == 1, c("l_partkey") % 3 < 2
+    bits = F.get(F.array(*[F.lit(b) for b in (16, 2, 18, 16, 24, 4, 17)]), (n % 7).cast("int"))
+    payload = F.when(n.isin(3, 4), c("l_quantity").cast("int") * 10).otherwise(0)
+    flip = lambda a, b: F.when(out, a).otherwise(b)
+    return df.select(
+        (c("l_orderkey") * 8 + n).cast("long").alias("seq"), (epoch("l_shipdate") + c("l_partkey") % 86400 + n * 0.25).alias("timestamp"), flip(near, far).alias("src_ip"), flip(far, near).alias("dst_ip"),
+        F.when(tcp, 6).otherwise(17).alias("protocol"), (F.when(tcp, 54).otherwise(42) + payload).alias("packet_length"), flip(port_near, port_far).alias("src_port"), flip(port_far, port_near).alias("dst_port"),
+        F.when(c("l_suppkey") % 2 == 0, 64).otherwise(128).alias("ttl"), F.when(tcp, bits).alias("tcp_flags"), F.when(tcp, (c("l_partkey") * 100).cast("long")).alias("tcp_seq"), F.when(tcp, c("l_quantity").cast("int") * 100).alias("tcp_window"), payload.alias("payload_length"),
+    )
+
+
+def frames(packets: DataFrame) -> DataFrame:
+    """Ethernet frames (``timestamp``, ``frame``) of IPv4 packets as :func:`packets` gives them."""
+    c = F.col
+    h = lambda e, digits: F.lpad(F.hex(e.cast("long")), digits, "0")
+    ip = lambda e: F.concat(*[h(F.get(F.split(e, r"\."), k), 2) for k in range(4)])
+    lit = F.lit
+    body = F.when(c("protocol") == 6, F.concat(h(c("src_port"), 4), h(c("dst_port"), 4), h(c("tcp_seq"), 8), lit("00000000"), lit("50"), h(c("tcp_flags"), 2), h(c("tcp_window"), 4), lit("00000000"))).otherwise(
+        F.concat(h(c("src_port"), 4), h(c("dst_port"), 4), h(c("payload_length") + 8, 4), lit("0000"))
+    )
+    head = F.concat(lit("0" * 24 + "0800" + "4500"), h(c("packet_length") - 14, 4), lit("00000000"), h(c("ttl"), 2), h(c("protocol"), 2), lit("0000"), ip(c("src_ip")), ip(c("dst_ip")))
+    return packets.select("timestamp", F.unhex(F.concat(head, body, F.repeat(lit("41"), c("payload_length")))).alias("frame"))
