@@ -57,3 +57,20 @@ def entropy(df: DataFrame, key: str, value: str) -> DataFrame:
     counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
     # H = log2 n - sum(c log2 c) / n needs no second pass over the counts.
     return counts.groupBy(key).agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
+
+
+def login_windows(logins: DataFrame, windows: DataFrame, width: float) -> DataFrame:
+    """Login figures of each window (``host``, ``start``, ``end``) of at most ``width`` seconds; both ends belong to it.
+
+    Windows and logins meet on the host and a time bucket of the window's width: a window touches two buckets, so each
+    login is compared with the windows of its own bucket only.
+    """
+    c = F.col
+    at = lambda x: F.floor(x / width).cast("long")
+    spread = windows.select("*", F.explode(F.sequence(at(c("start")), at(c("end")))).alias("bucket"))
+    inside = logins.withColumn("bucket", at(c("t"))).join(spread, ["host", "bucket"]).where((c("t") >= c("start")) & (c("t") <= c("end")))
+    f, n = c("fails"), c("fails") + c("successes")
+    sums = inside.groupBy("host", "start", "end").agg(F.count_if("failed").alias("fails"), F.count_if(~c("failed")).alias("successes"), F.count_distinct("account").alias("users"), F.count_distinct(F.when(c("source") != "", c("source"))).alias("sources"))
+    ratio = f / n
+    score = 0.5 * F.least(F.lit(1.0), f / 10) + 0.3 * ratio + 0.2 * F.least(F.lit(1.0), c("users") / 5)
+    return sums.select("host", "start", "end", "fails", "successes", ratio.alias("ratio"), "users", "sources", score.alias("score"), ((f >= 5) & (ratio >= 0.7)).alias("brute"))
