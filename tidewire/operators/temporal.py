@@ -40,3 +40,39 @@ def hazard(wait: Column, tau: float) -> Column:
 def sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """Session windows per key; the same plan serves a stream once it has a watermark."""
     return df.groupBy(key, F.session_window(ts, gap).alias("session"))
+
+
+def merged_spans(spans: DataFrame, keys: list[str], start: str, end: str, tie: str, gap: float = 0.0) -> DataFrame:
+    """Spans of a key that overlap or lie at most ``gap`` apart as one row: start, end, how many."""
+    before = Window.partitionBy(*keys).orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
+    reach = spans.withColumn("reach", F.max(end).over(before))
+    runs = islands(reach, keys, [start, tie], F.coalesce(F.col(start) - F.col("reach") > gap, F.lit(True)))
+    return runs.groupBy(*keys, "run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
+
+
+def next_span(df: DataFrame, spans: DataFrame, keys: list[str], t: str, tie: str) -> DataFrame:
+    """``df`` with the ``wait`` until the first span (start, end) that does not end before its time; 0 inside one, null if none follows.
+
+    Spans are merged, so they and the rows lie on one line: a row's span is the one that ends next. One window over the
+    union of both, no join of pairs.
+    """
+    merged = merged_spans(spans.withColumn("span tie", F.lit(0)), keys, "start", "end", "span tie")
+    points = df.select(*keys, F.col(t).alias("at"), F.lit(0).alias("kind"), F.struct(*df.columns).alias("row"), F.lit(None).cast("double").alias("start"))
+    ends = merged.select(*keys, F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(points.schema["row"].dataType).alias("row"), "start")
+    ahead = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    line = points.union(ends).withColumn("next", F.min("start").over(ahead))
+    return line.where("kind = 0").select("row.*", F.greatest(F.col("next") - F.col("at"), F.lit(0.0)).alias("wait"))
+
+
+def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 in the whole order, without one task that sorts it all.
+
+    ``bucket`` is an integer that never falls along the order. Rows are numbered inside their bucket; the counts of
+    the buckets, of which there are few, say how many rows precede it.
+    """
+    b, own = "numbered bucket", "numbered place"
+    placed = df.withColumn(b, bucket)
+    counts = placed.groupBy(b).agg(F.count("*").alias("rows"))
+    before = counts.select(F.col(b).alias("other bucket"), (F.sum("rows").over(Window.orderBy(b)) - F.col("rows")).alias("rows before"))
+    inside = placed.withColumn(own, F.row_number().over(Window.partitionBy(b).orderBy(*order)))
+    return inside.join(before, F.col(b).eqNullSafe(F.col("other bucket"))).withColumn(name, F.coalesce("rows before", F.lit(0)) + F.col(own)).drop(b, own, "other bucket", "rows before")
