@@ -35,13 +35,14 @@ def negative_targets(edges: DataFrame, capture: str, target: str, key: str, seed
     Targets are numbered per capture; an edge draws a number below its own target's count less one and steps over its
     own. A capture with one target has no negatives.
     """
-    ranked = edges.select(capture, target).distinct().withColumn("k", F.row_number().over(Window.partitionBy(capture).orderBy(target)) - 1)
-    sizes = ranked.groupBy(capture).agg(F.count("*").alias("targets"))
-    own = edges.join(ranked, [capture, target]).join(sizes, capture).where("targets > 1")
-    drawn = F.pmod(F.col(key) * 2654435761 + seed, F.col("targets") - 1)
-    picked = own.withColumn("pick", drawn + F.when(drawn >= F.col("k"), 1).otherwise(0))
-    names = ranked.select(F.col(capture), F.col("k").cast("long").alias("pick"), F.col(target).alias("negative"))
-    return picked.join(names, [capture, "pick"]).drop("pick", "k", "targets")
+    place, size, pick = "target place", "target count", "target pick"
+    ranked = edges.select(capture, target).distinct().withColumn(place, F.row_number().over(Window.partitionBy(capture).orderBy(target)) - 1)
+    sizes = ranked.groupBy(capture).agg(F.count("*").alias(size))
+    own = edges.join(ranked, [capture, target]).join(sizes, capture).where(F.col(size) > 1)
+    drawn = F.pmod(F.col(key) * 2654435761 + seed, F.col(size) - 1)
+    picked = own.withColumn(pick, drawn + F.when(drawn >= F.col(place), 1).otherwise(0))
+    names = ranked.select(F.col(capture), F.col(place).cast("long").alias(pick), F.col(target).alias("negative"))
+    return picked.join(names, [capture, pick]).drop(pick, place, size)
 
 
 def held_out_edges(edges: DataFrame, a: str, b: str, share: float, salt: str) -> DataFrame:

@@ -74,3 +74,80 @@ def login_windows(logins: DataFrame, windows: DataFrame, width: float) -> DataFr
     ratio = f / n
     score = 0.5 * F.least(F.lit(1.0), f / 10) + 0.3 * ratio + 0.2 * F.least(F.lit(1.0), c("users") / 5)
     return sums.select("host", "start", "end", "fails", "successes", ratio.alias("ratio"), "users", "sources", score.alias("score"), ((f >= 5) & (ratio >= 0.7)).alias("brute"))
+
+
+def behaviour(flows: DataFrame) -> DataFrame:
+    """Flows of each source by what they look like, and a threat score of the mix."""
+    from ..functions.flow import fingerprint
+
+    c, x = F.col, flows.select(F.col("src_ip").alias("host"), fingerprint().alias("f")).select("host", "f.*")
+    is_ = lambda name: F.count_if(c("profile") == name)
+    sums = x.groupBy("host").agg(F.count("*").alias("n"), is_("InteractiveShell").alias("shells"), is_("BurstRecon").alias("scans"), is_("BulkExfiltration").alias("exfiltrations"), is_("C2Beaconing").alias("beacons"), F.count_if("mismatch").alias("mismatches"))
+    score = (0.4 * c("shells") + 0.3 * c("mismatches") + 0.2 * c("beacons") + 0.3 * c("exfiltrations")) / F.greatest(F.lit(1.0), 0.5 * c("n"))
+    return sums.withColumn("threat", F.least(F.lit(1.0), score))
+
+
+def exposure(flows: DataFrame, k: int, window: str = "window") -> DataFrame:
+    """How much of each window the last ``k`` flows of a host show: one row of totals."""
+    from pyspark.sql import Window
+
+    c = F.col
+    recent = F.row_number().over(Window.partitionBy("host", window).orderBy(F.desc("start_time"), F.desc("seq")))
+    per = incidence(flows).select("host", window, "is_attack", recent.alias("k")).groupBy("host", window).agg(F.count("*").alias("n"), F.count_if("is_attack").alias("attacks"), F.count_if(c("is_attack") & (c("k") <= k)).alias("shown"))
+    return per.agg(F.count("*").alias("windows"), F.count_if(c("n") > k).alias("cut"), F.sum(F.greatest(c("n") - k, F.lit(0))).alias("hidden"), F.count_if((c("attacks") > 0) & (c("shown") == 0)).alias("blind"))
+
+
+def class_weights(rows: DataFrame, label: str, low: float = 0.1, high: float = 10.0) -> DataFrame:
+    """Weights of classes: the root of their inverse share, clipped, with geometric mean 1."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
+    raw = sizes.crossJoin(F.broadcast(total)).select(label, "n", F.least(F.greatest(F.sqrt(F.col("rows") / (F.col("classes") * F.col("n"))), F.lit(low)), F.lit(high)).alias("raw"))
+    centre = raw.agg(F.exp(F.avg(F.ln("raw"))).alias("centre"))
+    return raw.crossJoin(F.broadcast(centre)).select(label, "n", (F.col("raw") / F.col("centre")).alias("weight"))
+
+
+def credibility(rows: DataFrame) -> DataFrame:
+    """Per-host figures of a labelled series (``host``, ``t``, ``event_id``, ``category``, ``is_attack``) in one row."""
+    from pyspark.sql import Window
+
+    c, before = F.col, F.lag("category").over(Window.partitionBy("host").orderBy("t", "event_id"))
+    steps = rows.select("host", "category", "is_attack", (before != c("category")).cast("int").alias("turn"))
+    cells = steps.groupBy("host", "category").agg(F.count("*").alias("n"), F.count_if("is_attack").alias("attacks"), F.sum("turn").alias("turns"), F.count("turn").alias("steps"))
+    hosts = cells.groupBy("host").agg(F.sum("n").alias("n"), F.max("n").alias("modal"), F.sum("attacks").alias("attacks"), F.sum("turns").alias("turns"), F.sum("steps").alias("steps"))
+    return hosts.agg(
+        F.count("*").alias("hosts"), F.sum("n").alias("n"), (F.sum("attacks") / F.sum("n")).alias("positive_rate"), (F.sum("modal") / F.sum("n")).alias("modal_accuracy"), (F.sum("turns") / F.sum("steps")).alias("churn"),
+        F.percentile("n", F.lit(0.5)).alias("median_length"), F.max("n").alias("longest"), F.count_if(c("n") >= 16).alias("long_hosts"),
+    )
+
+
+def missed_numbers(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """Numbers that a key's sequence leaves out.
+
+    Neighbours are compared inside slices of 4,096 numbers and slices with each other, so one long sequence is many tasks.
+    """
+    from pyspark.sql import Window
+
+    sliced = rows.select(key, F.col(number).alias("k"), F.floor(F.col(number) / 4096).alias("slice")).distinct()
+    per = sliced.groupBy(key, "slice").agg(F.count("*").alias("seen"), F.min("k").alias("low"), F.max("k").alias("high"))
+    jump = F.col("low") - F.lag("high").over(Window.partitionBy(key).orderBy("slice")) - 1
+    gaps = per.select(key, "seen", (F.col("high") - F.col("low") + 1 - F.col("seen")).alias("inside"), F.coalesce(jump, F.lit(0)).alias("between"))
+    return gaps.groupBy(key).agg(F.sum("seen").alias("seen"), F.sum(F.col("inside") + F.col("between")).alias("missed"))
+
+
+def advice(flows: DataFrame) -> DataFrame:
+    """A rule of thumb per internal target about the flows that come in from outside: risk and label."""
+    c, inbound = F.col, ~internal(F.col("src_ip")) & internal(F.col("dst_ip"))
+    sums = flows.where(inbound).groupBy("dst_ip").agg(F.count("*").alias("n"), F.count_distinct("dst_port").alias("ports"), F.max(c("dst_port").isin(80, 443, 8080)).alias("web"))
+    risk = F.least(F.lit(0.96), 0.40 + F.least(F.lit(0.65), c("n") / 75 * 0.50 + 0.25))
+    return sums.select(c("dst_ip").alias("host"), "n", risk.alias("risk"), F.when(c("ports") >= 5, "PortScan").when(c("web"), "WebAttack").otherwise("Exploit").alias("label"))
+
+
+def primary_target(flows: DataFrame, assets: list[str]) -> DataFrame:
+    """The host most worth watching, one row: the one with most flows from outside, assets first; else the most active
+    asset; else the most active internal host; else the most active one. Equal ones by name."""
+    c = F.col
+    inbound = flows.where(~internal(c("src_ip")) & internal(c("dst_ip"))).groupBy(c("dst_ip").alias("host")).agg(F.count("*").cast("double").alias("x"))
+    active = activity(flows).select("host", c("activity").alias("x"))
+    asset = c("host").isin(*assets)
+    ranked = inbound.select("host", "x", F.when(asset, 1).otherwise(2).alias("rule")).union(active.select("host", "x", F.when(asset, 3).when(internal(c("host")), 4).otherwise(5).alias("rule")))
+    return ranked.orderBy("rule", F.desc(F.round("x", 6)), "host").limit(1)

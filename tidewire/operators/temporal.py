@@ -61,7 +61,7 @@ def next_span(df: DataFrame, spans: DataFrame, keys: list[str], t: str, tie: str
     ends = merged.select(*keys, F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(points.schema["row"].dataType).alias("row"), "start")
     ahead = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
     line = points.union(ends).withColumn("next", F.min("start").over(ahead))
-    return line.where("kind = 0").select("row.*", F.greatest(F.col("next") - F.col("at"), F.lit(0.0)).alias("wait"))
+    return line.where("kind = 0").select("row.*", F.when(F.col("next").isNotNull(), F.greatest(F.col("next") - F.col("at"), F.lit(0.0))).alias("wait"))
 
 
 def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:

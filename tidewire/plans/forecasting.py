@@ -129,7 +129,7 @@ def f24_score_functions(s, d):
     return rounded(x.select("doc_id", "band", "tempered", "any_step", "b.low", "b.high", "lead", F.get("e", F.lit(0)).alias("c0"), F.get("e", F.lit(1)).alias("c1"), "step"))
 
 
-@query(f"""with {SERIES}, u as (select host, t lo, t+1800 hi from series where event_id%11=0) select event_id, min(greatest(lo-t,0)) wait from series s left join u on u.host=s.host and u.hi>=s.t group by event_id""")
+@query(f"""with {SERIES}, u as (select host, t lo, t+1800 hi from series where event_id%11=0) select event_id, min(case when lo>t then lo-t when lo<=t then 0.0::double end) wait from series s left join u on u.host=s.host and u.hi>=s.t group by event_id""")
 def j13_next_span(s, d):
     """The wait until the first unknown span that is not over yet, 0 inside one."""
     a = series(s, d)

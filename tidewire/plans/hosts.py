@@ -1 +1,110 @@
-"""Queries."""
+"""Queries of addresses, host figures and interval joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import address as N
+from ..functions import flow as X
+from ..operators import hosts as H
+from ..operators import temporal as T
+from ..sources.tables import flows, series, table
+from .base import FLOW_WINDOW, FLOWS, GRID, PRIVATE, SERIES, query, rounded
+
+_NUM = "(split_part({0},'.',1)::bigint*16777216+split_part({0},'.',2)::bigint*65536+split_part({0},'.',3)::bigint*256+split_part({0},'.',4)::bigint)"
+
+
+@query(f"""with {FLOWS}, h as (select distinct dst_ip host from flows), p as (select host, split_part(host,'.',1)::int a, split_part(host,'.',2)::int b, split_part(host,'.',3)::int c, split_part(host,'.',4)::int d from h), q as (select *, a=10 or (a=203 and b=0 and c=113) pr from p)
+ select host, 1.0::double f0, 1.0::double f1, pr::int::double f2, (not pr)::int::double f3, 0.0::double f4, 0.0::double f5, 0.0::double f6, round(a/255,6) f7, round(b/255,6) f8, round(c/255,6) f9, round(d/255,6) f10, 1.0::double f11 from q""")
+def f04_address_features(s, d):
+    hosts = flows(s, d).select(F.col("dst_ip").alias("host")).distinct()
+    return rounded(hosts.select("host", *[x.alias(f"f{k}") for k, x in enumerate(N.address_features(F.col("host")))]))
+
+
+@query(f"""with {FLOWS}, c as (select seq, string_split(src_ip,'.') a, string_split(dst_ip,'.') b, src_ip, dst_ip from flows) select seq, case when a[1]<>b[1] then 0.0::double when a[2]<>b[2] then 0.25::double when a[3]<>b[3] then 0.5::double when a[4]<>b[4] then 0.75::double else 1.0::double end cohesion,
+ case when {_NUM.format("src_ip")} between 167772160 and 167837695 then 'internal' else 'external' end source_site, case when {_NUM.format("dst_ip")} between 167837696 and 167903231 then 'internal' else 'external' end target_site from c""")
+def p15_sites(s, d):
+    """F05 and P15."""
+    f = flows(s, d)
+    return f.select("seq", N.cohesion(F.col("src_ip"), F.col("dst_ip")).alias("cohesion"), N.site(F.col("src_ip"), ("10.0.0.0/16",)).alias("source_site"), N.site(F.col("dst_ip"), ("10.1.0.0/16",)).alias("target_site"))
+
+
+@query("""with c as (select page_id, unnest(string_split(url,'')) ch from pages where url is not null), n as (select page_id, ch, count(*) c from c where ch<>'' group by all) select page_id, round(log2(sum(c))-sum(c*log2(c))/sum(c),6) entropy from n group by page_id""")
+def f08_text_entropy(s, d):
+    return rounded(table(s, d, "pages").where("url is not null").select("page_id", N.text_entropy(F.col("url")).alias("entropy")))
+
+
+@query("""select page_id, case when page_id%3=0 then 'POST' when page_id%3=1 then 'GET' end verb, case when page_id%3<2 then regexp_extract(url,'^\\S+') end target from pages""")
+def f10_request_lines(s, d):
+    verb = F.when(F.col("page_id") % 3 == 0, "POST").when(F.col("page_id") % 3 == 1, "GET").otherwise("NOPE")
+    return table(s, d, "pages").select("page_id", N.request(F.concat_ws(" ", verb, "url", F.lit("HTTP/1.1"))).alias("r")).select("page_id", "r.verb", "r.target")
+
+
+@query(f"""with {FLOWS} select seq, ('0x'||substr(sha256(src_ip),1,15))::bigint % 1000 host_id, cast(round(start_time*1e6::double) as bigint) ts_us, round((end_time-start_time)*1000,3) duration_ms, case protocol when 6 then 'TCP' when 17 then 'UDP' when 1 then 'ICMP' end protocol_name from flows""")
+def f30_evidence(s, d):
+    """F21 and F30."""
+    f = flows(s, d)
+    name = F.when(F.col("protocol") == 6, "TCP").when(F.col("protocol") == 17, "UDP").when(F.col("protocol") == 1, "ICMP").otherwise(F.col("protocol").cast("string"))
+    return rounded(f.select("seq", N.stable_id(F.col("src_ip"), 1000).alias("host_id"), F.round(F.col("start_time") * 1e6).cast("long").alias("ts_us"), (X.duration() * 1000).alias("duration_ms"), name.alias("protocol_name")), 3)
+
+
+@query(f"""with {FLOWS}, q as (select *, end_time-start_time dur, fwd_bytes+bwd_bytes tot, fwd_bytes/greatest(fwd_packets,1) sf, bwd_bytes/greatest(bwd_packets,1) sb, dst_port in (80,443,8000,8080,8443) web from flows),
+ k as (select *, case when not web and dur>=2 and fwd_packets>=4 and bwd_packets>=4 and sf<=250 and sb<=350 and tot<50000 then 1 when web and dur>=10 and fwd_packets>=15 and bwd_packets>=15 and sf<=200 and sb<=250 and tot<50000 then 1
+  when dur<=0.5 and fwd_packets+bwd_packets<=3 and bwd_packets<=1 then 3 when fwd_bytes>30000 and (fwd_bytes-bwd_bytes)/(tot+1e-5)>0.75 and sf>800 then 4 when tot<=1200 and fwd_packets between 1 and 3 and bwd_packets between 1 and 3 and tot/(fwd_packets+bwd_packets)<180 then 5 else 7 end k from q),
+ g as (select src_ip host, count(*) n, count_if(k=1) shells, count_if(k=3) scans, count_if(k=4) exfiltrations, count_if(k=5) beacons, count_if(case k when 1 then dst_port not in (22,23) when 4 then dst_port in (53,22,23) when 5 then not web else false end) mismatches from k group by 1)
+ select *, round(least(1,(0.4::double*shells+0.3::double*mismatches+0.2::double*beacons+0.3::double*exfiltrations)/greatest(1,0.5::double*n)),6) threat from g""")
+def a08_behaviour(s, d):
+    return rounded(H.behaviour(flows(s, d)))
+
+
+@query(f"""with {FLOWS}, g as ({GRID} from ends), r as (select host, w, is_attack, row_number() over (partition by host, w order by start_time desc, seq desc) k from g), p as (select host, w, count(*) n, count_if(is_attack) a, count_if(is_attack and k<=3) shown from r group by all) select count(*) windows, count_if(n>3) cut, cast(sum(greatest(n-3,0)) as bigint) hidden, count_if(a>0 and shown=0) blind from p""")
+def a10_exposure(s, d):
+    return H.exposure(T.on_grid(flows(s, d), "start_time", FLOW_WINDOW), 3)
+
+
+@query(f"""with {FLOWS}, c as (select coarse_category category, count(*) n from flows group by 1), r as (select category, n, least(greatest(sqrt(sum(n) over ()/(count(*) over ()*n)),0.1::double),10) w from c) select category, n, round(w/exp(avg(ln(w)) over ()),6) weight from r""")
+def a18_class_weights(s, d):
+    return rounded(H.class_weights(flows(s, d).withColumnRenamed("coarse_category", "category"), "category"))
+
+
+@query(f"""with {SERIES}, l as (select host, category, is_attack, (lag(category) over (partition by host order by t,event_id)<>category)::int turn from series), c as (select host, category, count(*) n from l group by all), h as (select host, sum(n) n, max(n) m from c group by host)
+ select count(*) hosts, cast(sum(n) as bigint) n, (select round(avg(is_attack::int),6) from l) positive_rate, round(sum(m)/sum(n),6) modal_accuracy, (select round(avg(turn),6) from l) churn, round(median(n),6) median_length, cast(max(n) as bigint) longest, count_if(n>=16) long_hosts from h""")
+def a21_credibility(s, d):
+    return rounded(H.credibility(series(s, d)))
+
+
+@query(f"""with {SERIES}, x as (select distinct host, event_id k from series), g as (select host, k-lag(k) over (partition by host order by k)-1 m from x) select host, count(*) seen, cast(coalesce(sum(m),0) as bigint) missed from g group by host""")
+def a23_missed_numbers(s, d):
+    """A23 and X07."""
+    return H.missed_numbers(series(s, d), "host", "event_id")
+
+
+@query(f"""with {FLOWS}, g as (select dst_ip host, count(*) n, count(distinct dst_port) ports, max((dst_port in (80,443,8080))::int) web from (select * replace (dst_ip as src_ip, src_ip as dst_ip) from flows) where not {PRIVATE.format("src_ip")} and {PRIVATE.format("dst_ip")} group by 1) select host, n, round(least(0.96::double, 0.40::double+least(0.65::double, n/75*0.5::double+0.25::double)),6) risk, case when ports>=5 then 'PortScan' when web=1 then 'WebAttack' else 'Exploit' end "label" from g""")
+def f20_advice(s, d):
+    """F20, over the flows with their ends exchanged, so that some come from outside."""
+    f = flows(s, d)
+    return rounded(H.advice(f.withColumns({"src_ip": F.col("dst_ip"), "dst_ip": F.col("src_ip")})))
+
+
+@query(f"""with {FLOWS}, g as (select dst_ip host, count(*)::double x from (select * replace (dst_ip as src_ip, src_ip as dst_ip) from flows) where not {PRIVATE.format("src_ip")} and {PRIVATE.format("dst_ip")} group by 1) select host, x, case when host in ('10.0.0.3','10.0.0.4') then 1 else 2 end "rule" from g order by 3, 2 desc, 1 limit 1""")
+def l04_primary_target(s, d):
+    f = flows(s, d)
+    return H.primary_target(f.withColumns({"src_ip": F.col("dst_ip"), "dst_ip": F.col("src_ip")}), ["10.0.0.3", "10.0.0.4"])
+
+
+@query(f"""with {SERIES}, sp as (select event_id span, t "start", t+7200 "end" from series where event_id%25=0) select s.event_id, (min(struct_pack(a := sp."start", b := sp.span))).b span from series s left join sp on s.t between sp."start" and sp."end" group by 1""")
+def j03_first_interval(s, d):
+    """The first interval that contains a row's time."""
+    a = series(s, d)
+    spans = a.where("event_id % 25 = 0").select(F.col("event_id").alias("span"), F.col("t").alias("start"), (F.col("t") + 7200).alias("end"))
+    return N.first_containing(a.select("event_id", "t"), spans, "t", 7200).select("event_id", "span")
+
+
+@query(f"""with {FLOWS}, m as (select max(start_time) m from flows) select count(*) n, cast(sum(fwd_bytes+bwd_bytes) as bigint) bytes, count_if(bwd_packets=0) unanswered, round(sum(fwd_bytes+bwd_bytes)*8/{FLOW_WINDOW}/1e6::double,6) mbps, count_if(is_attack) flagged from flows, m where start_time>m-{FLOW_WINDOW}""")
+def a13_last_window(s, d):
+    """The last window of time, and its figures."""
+    f = flows(s, d)
+    last = f.agg(F.max("start_time").alias("last"))
+    total = F.col("fwd_bytes") + F.col("bwd_bytes")
+    x = f.crossJoin(F.broadcast(last)).where(F.col("start_time") > F.col("last") - FLOW_WINDOW)
+    return rounded(x.agg(F.count("*").alias("n"), F.sum(total).alias("bytes"), F.count_if(F.col("bwd_packets") == 0).alias("unanswered"), (F.sum(total) * 8 / FLOW_WINDOW / 1e6).alias("mbps"), F.count_if("is_attack").alias("flagged")))
