@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import address
 from tidewire.operators import forecast, graphs, metrics, splits, temporal
-from tidewire.streaming.flow_table import flow_deltas
+from tidewire.streaming.flow_table import flow_deltas, latest_per_kind
 
 PACKET = "timestamp double, src_ip string, src_port int, dst_ip string, dst_port int, protocol int, packet_length int"
 
@@ -97,3 +97,8 @@ def test_forecast_samples_stay_inside_segments(spark):
     got = forecast.forecast_samples(df, ["host", "segment"], "t", "id", 2, 1, 2).collect()
     assert [(r.id, r.steps[0].attack, r.steps[0].categories) for r in got] == [(1, True, ["Recon"])] * 2
     assert forecast.forecast_samples(df, ["host", "segment"], "t", "id", 3, 1, 2).count() == 0
+
+
+def test_latest_event_of_each_kind(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, None)], "kind string, at int, body string")
+    assert sorted(map(tuple, latest_per_kind(df, "kind", "at").collect())) == [("a", 3, "y"), ("b", 2, None)]
