@@ -82,6 +82,21 @@ def test_near_duplicates(docs, monkeypatch, small):
     assert any(not r.kept for r in got)
 
 
+def test_near_duplicates_with_a_shared_passage(spark, monkeypatch):
+    """Pairs at the threshold among more than ``SMALL`` texts that have 60 % of their shingles in common."""
+    monkeypatch.setattr(near_dup, "SMALL", 32)
+    rng = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(64)], []
+    for i in range(250):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        other = own[:20] + ["x", *own[21:23], "y"] + own[24:]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    a, b, c = (_set(rows[i][1]) for i in (0, 1, 2))
+    assert 100 * len(a & b) >= 85 * len(a | b) and 2 * len(a & c) < len(a | c)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_deduplicate_keeps_one_of_each(docs):
     kept = near_dup.deduplicate(docs, 80)
     assert kept.columns == docs.columns

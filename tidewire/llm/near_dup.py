@@ -5,8 +5,10 @@ several independent trees, texts branch by the minwise tokens at positions that
 the same branch may be similar. A branch with many texts branches again; a small one is compared
 exhaustively, by sketches, and what may be similar is confirmed on the full sets.
 
-Nothing here depends on a group fitting into a task: large branches are split by joins, and a branch that
-does not get smaller (thousands of variants of one text) is dealt out in blocks that share some leaders.
+Nothing here depends on a group fitting into a task: large branches are split by joins. The texts of branches that do
+not get smaller (a passage that thousands of texts share, thousands of variants of one text) are joined by their
+rarest shingles, which leaves out no pair. Variants that even share those are dealt out in blocks with some leaders, and
+what that does not connect is compared block by block.
 A branch gives a bounded number of pairs per text, those that connect it first. Where that left candidates out,
 what confirmed links do not connect yet is compared again on full sets, block by block, and only links leave the tasks.
 """
@@ -28,6 +30,8 @@ from .textbatch import SPACED_WORD, constants, distinct, mix, shingles, slices,
 SKETCH, TREES, BRANCH, LEVELS = 128, 10, 2, 4
 #: Texts of a branch that are compared exhaustively.
 SMALL = 1024
+#: Texts that share a rare shingle and are still compared on their own; where more do, groups that overlap are one.
+FEW = 128
 #: Texts of a block where unconnected texts are compared on full sets.
 CELL = 2048
 #: Candidate pairs that a branch may give, times its texts; what it leaves out is settled block by block.
@@ -195,8 +199,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.drop("tag").join(nodes, "node", "left_semi")
 
 
-def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Leaves of all trees with their sketches; sizes of leaves that were cut into blocks; one row per set."""
+def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Leaves of all trees with their sketches; the sets of branches that do not get small; one row per set."""
     roots = base.where("n_shingles > 0").select("set_key", F.explode("roots").alias("node"))
     members = written(_shared(roots).dropDuplicates(["node", "set_key"]), "members")
     wanted = members.select("set_key").distinct()
@@ -204,7 +208,7 @@ def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = written(sets.join(wanted, "set_key", "left_semi"), "sets")
     rows = written(members.join(sets.drop("text_hash"), "set_key"), "branches")
 
-    leaves, blocks = [], []
+    leaves, hard = [], []
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
         large = written(sizes.where(F.col("n") > SMALL), "large")
@@ -215,7 +219,7 @@ def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         leaves.append(rows.join(few, "node", "left_anti"))
         rows = rows.join(few, "node")
         if level == LEVELS:
-            blocks.append(rows)
+            hard.append(rows)
             break
         position = F.pmod(F.xxhash64("node", F.lit(level), F.col("step")), F.lit(SKETCH)).cast("int") * 2 + 1
         branched = (
@@ -223,28 +227,31 @@ def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             .withColumn("child", F.xxhash64("node", "step", F.substring(F.col("sketch"), position, F.lit(2))))
         )
         child_sizes = branched.groupBy("node", "child").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-        # A child with most of its parent's texts will not get small by branching: such a parent is cut into blocks.
+        # A child with most of its parent's texts will not get small by branching: such a parent's texts are joined by rare shingles.
         stuck = written(child_sizes.where(F.col("m") * 2 > F.col("n")).where(F.col("m") > SMALL).select("node").distinct(), "stuck")
         hold = bounded_broadcast(stuck, BROADCAST_ROWS)
-        blocks.append(rows.join(hold, "node", "left_semi"))
+        hard.append(rows.join(hold, "node", "left_semi"))
         rest = branched.join(hold, "node", "left_anti").select("set_key", F.col("child").alias("node"), "n_shingles", "sketch")
         rows = written(_shared(rest).dropDuplicates(["node", "set_key"]).select("set_key", "node", "n_shingles", "sketch"), "branches")
     leaf = leaves[0].select("set_key", "node", "n_shingles", "sketch")
     for other in leaves[1:]:
         leaf = leaf.unionByName(other.select("set_key", "node", "n_shingles", "sketch"))
-    big = None
-    for other in blocks:
-        other = other.select("set_key", "node", "n_shingles", "sketch", "n")
-        big = other if big is None else big.unionByName(other)
-    return leaf, big, sets
+    keys = None
+    for other in hard:
+        keys = other.select("set_key") if keys is None else keys.union(other.select("set_key"))
+    if keys is not None:
+        keys = written(keys.distinct(), "hard")
+        keys = keys if keys.limit(1).count() else None
+    return leaf, keys, sets
 
 
 LEADERS = 16
 
 
 def _in_blocks(big: DataFrame) -> DataFrame:
-    """Large branches dealt out in blocks; every block also gets the branch's leaders."""
-    rows = big.withColumn("blocks", F.ceil(F.col("n") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    """Large groups dealt out in blocks; every block also gets the group's leaders."""
+    sizes = big.groupBy("node").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"))
+    rows = big.join(bounded_broadcast(written(sizes, "sizes"), BROADCAST_ROWS), "node").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     lead = (
         rows.groupBy("node", "blocks", F.pmod(F.xxhash64("set_key", F.lit(1)), F.lit(LEADERS)).alias("seat"))
         .agg(F.min(F.struct(F.xxhash64("set_key", F.lit(2)).alias("o"), "set_key", "n_shingles", "sketch")).alias("x"))
@@ -273,6 +280,46 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for part in slices(batch, "shingles"):
+            sets = part.column("shingles").to_pylist()
+            of = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column("set_key").take(pa.array(of)), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["set_key", "shingle"])
+
+
+def _by_rare_shingles(docs: DataFrame, sets: DataFrame, hard: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of sets (``node``) in which each pair of ``hard`` sets that is a link meets: a prefix filter.
+
+    With shingles in one order, here by how few sets hold them, two sets that are a link share one of the first
+    ``n - ceil(threshold % of n) + 1`` shingles of each. The second table, if any, has the groups of more than ``FEW`` sets,
+    those that share a set as one.
+    """
+    own = written(sets.join(hard, "set_key", "left_semi"), "hard-sets")
+    each = written(_sets_of(docs, own, shingle).mapInArrow(_each_shingle, "set_key binary, shingle long"), "each")
+    holders = written(each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    common = each.join(bounded_broadcast(holders, BROADCAST_ROWS), "shingle").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    n = F.col("n_shingles")
+    first = F.floor(n * (100 - threshold) / 100) + 1 - (n - F.size("common"))  # shingles of one set come before these
+    first = F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    rows = written(common.join(own.select("set_key", "n_shingles"), "set_key").select("set_key", F.explode(first).alias("x")).select("set_key", F.col("x.shingle").alias("node")), "prefixes")
+    # Shingles that the same sets show are one group.
+    tags = [F.bit_xor(F.xxhash64("set_key", F.lit(i))).alias(f"tag{i}") for i in (4, 5)]
+    groups = rows.groupBy("node").agg(F.count("*").alias("m"), *tags).where("m > 1").groupBy("m", "tag4", "tag5").agg(F.min("node").alias("node"))
+    groups = written(groups.select("node", "m"), "groups")
+    most = min(FEW, SMALL)
+    few = groups.where(F.col("m") <= most).select("node")
+    sketched = own.select("set_key", "n_shingles", "sketch")
+    small = rows.join(bounded_broadcast(few, BROADCAST_ROWS), "node").join(sketched, "set_key")
+    many = written(rows.join(bounded_broadcast(groups.where(F.col("m") > most).select("node"), BROADCAST_ROWS), "node"), "many")
+    if not many.limit(1).count():
+        return small, None
+    stars = many.join(many.groupBy("node").agg(F.min("set_key").alias("b")), "node").select(F.col("set_key").alias("a"), "b").distinct()
+    masses = connected_components(stars, label="mass").select(F.col("node").alias("set_key"), F.col("mass").alias("least"), F.xxhash64("mass").alias("node"))
+    return small, written(masses.join(sketched, "set_key"), "masses")
+
+
 def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     both = np.concatenate([x, y])
     both.sort()
@@ -421,15 +468,19 @@ KEY_HASH, KEY_ID, KEY_ROWS = "near dup: hash", "near dup: id", "near dup: rows"
 
 def _links(docs: DataFrame, base: DataFrame, threshold: int, shingle: int) -> DataFrame | None:
     """Confirmed links between different sets; enough of them to connect whatever links connect."""
-    leaf, big, sets = _branches(base)
-    found = _candidates(leaf, threshold)
-    if big is not None:
-        found = found.unionByName(_candidates(_in_blocks(big), threshold))
+    leaf, hard, sets = _branches(base)
+    found, masses = _candidates(leaf, threshold), None
+    if hard is not None:
+        rare, masses = _by_rare_shingles(docs, sets, hard, threshold, shingle)
+        found = found.unionByName(_candidates(rare, threshold))
+    if masses is not None:
+        found = found.unionByName(_candidates(_in_blocks(masses), threshold))
     found = written(found, "candidates")
     pairs = written(found.where("b is not null").distinct(), "pairs")
-    if not pairs.count():
+    if masses is None and not pairs.count():
         return None
-    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+    ends = (ends if masses is None else ends.union(masses.select("set_key"))).distinct()
     wanted = written(sets.join(ends, "set_key", "left_semi"), "wanted")
     full = written(_sets_of(docs, wanted, shingle), "shingles")
     with_sets = pairs.join(full.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -438,7 +489,9 @@ def _links(docs: DataFrame, base: DataFrame, threshold: int, shingle: int) -> Da
     links = written(tested.where("linked").select("a", "b"), "links")
 
     marked = found.where("b is null").select(F.col("a").alias("set_key"))
-    marked = marked if big is None else marked.union(big.select("set_key"))
+    if masses is not None:  # the sets of a mass are one clump, connected or not
+        marked = marked.union(masses.select("set_key"))
+        pairs = pairs.union(masses.select("least", "set_key"))
     marked = written(marked.distinct(), "marked")
     if marked.count():
         links = links.unionByName(_rest(pairs, links, marked, wanted, full, threshold))
@@ -448,7 +501,7 @@ def _links(docs: DataFrame, base: DataFrame, threshold: int, shingle: int) -> Da
 def _rest(pairs: DataFrame, links: DataFrame, marked: DataFrame, wanted: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     """Links that are missing where branches left candidates out.
 
-    Candidate pairs, confirmed or not, connect texts to clumps, and a text is in one clump. In each clump with a marked text
+    Candidate pairs, confirmed or not, and masses connect texts to clumps, and a text is in one clump. In each clump with a marked text
     all texts but those of its largest component (the rest) meet every block of the clump, so each pair that
     could still matter is compared, in tasks of bounded size.
     """
