@@ -97,6 +97,17 @@ def test_near_duplicates_with_a_shared_passage(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_trees_follow_the_threshold():
+    def missed(threshold, n):
+        share = threshold / 100
+        return (1 - share * (1 - (1 - share) ** near_dup.BRANCH) ** near_dup.LEVELS) ** n
+
+    for threshold in (60, 80, 85, 95):
+        n = near_dup.trees(threshold)
+        assert missed(threshold, n) <= near_dup.MISSED < missed(threshold, n - 1)
+    assert (near_dup.trees(85), near_dup.trees(80), near_dup.trees(100)) == (10, 13, 1)
+
+
 def test_deduplicate_keeps_one_of_each(docs):
     kept = near_dup.deduplicate(docs, 80)
     assert kept.columns == docs.columns

@@ -15,6 +15,7 @@ what confirmed links do not connect yet is compared again on full sets, block by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from ..common.components import connected_components
 from ..common.store import bounded_broadcast, small_batches, written
 from .textbatch import SPACED_WORD, constants, distinct, mix, shingles, slices, words_of
 
-#: Positions of a sketch, 16 bits each; trees; positions that a large branch branches by; levels of branching.
-SKETCH, TREES, BRANCH, LEVELS = 128, 10, 2, 4
+#: Positions of a sketch, 16 bits each; positions that a large branch branches by; levels of branching.
+SKETCH, BRANCH, LEVELS = 128, 2, 4
+#: Share of pairs at the threshold that all trees together may miss, if their branches are large on every level.
+MISSED = 4e-7
 #: Texts of a branch that are compared exhaustively.
 SMALL = 1024
 #: Texts that share a rare shingle and are still compared on their own; where more do, groups that overlap are one.
@@ -43,7 +46,6 @@ BROADCAST_ROWS = 200_000
 
 _XOR32 = constants(SKETCH, 101).astype(np.uint32)
 _MUL32 = constants(SKETCH, 202).astype(np.uint32) | np.uint32(1)
-_XOR64, _MUL64 = constants(TREES, 303), constants(TREES, 404)
 _KEYS = constants(2, 505)
 
 
@@ -63,14 +65,23 @@ def _minima(values: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return best
 
 
-def sketch(values: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The root branches of a set in each tree, and its sketch."""
-    roots = mix(_minima(values, _XOR64, _MUL64) ^ _XOR64).view(np.int64)
+def trees(threshold: int) -> int:
+    """The trees that miss at most ``MISSED`` of the pairs at the threshold."""
+    share = threshold / 100
+    met = share * (1 - (1 - share) ** BRANCH) ** LEVELS
+    return 1 if met == 1 else math.ceil(math.log(MISSED) / math.log1p(-met))
+
+
+def sketch(values: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The root branches of a set in each tree, and its sketch; a tree has a constant in ``xor`` and ``mul`` each."""
+    roots = mix(_minima(values, xor, mul) ^ xor).view(np.int64)
     low = _minima((values >> np.uint64(32)).astype(np.uint32), _XOR32, _MUL32)
     return roots, ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
-def _sketches(shingle: int):
+def _sketches(threshold: int, shingle: int):
+    xor, mul = constants(trees(threshold), 303), constants(trees(threshold), 404)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -80,7 +91,7 @@ def _sketches(shingle: int):
                     own = distinct(values[a:b])
                     n.append(len(own))
                     if len(own):
-                        root, low = sketch(own)
+                        root, low = sketch(own, xor, mul)
                         keys.append(set_key(own))
                         roots.append(root)
                         sketches.append(low)
@@ -422,7 +433,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, id_c
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.mapInArrow(_sketches(shingle), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, roots array<long>, sketch binary")
+    base = docs.mapInArrow(_sketches(threshold, shingle), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, roots array<long>, sketch binary")
     base = written(base, "sketches")
     links = _links(docs, base, threshold, shingle)
 
