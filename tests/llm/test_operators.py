@@ -1,8 +1,10 @@
 """The training-data operators against brute force, on texts chosen to be awkward."""
 
 import hashlib
+import os.path
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,31 +119,79 @@ def test_deduplicate_keeps_one_of_each(docs):
     assert near_dup.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_main_text():
-    def page(body):
-        return f"<html><head><title>t</title></head><body>{body}</body></html>"
+def _page(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
 
+def test_main_text():
     shared = "<p>Site line</p>"
-    lines, kinds = main_text.page_lines(page("<nav><a href='x>y'>menu</a></nav><article><h1>T &amp; U</h1><p>one<br>two  <b>x</b><p>three</article><div class=\"ad\">buy</div>"))
+    lines, kinds = main_text.page_lines(_page("<nav><a href='x>y'>menu</a></nav><article><h1>T &amp; U</h1><p>one<br>two  <b>x</b><p>three</article><div class=\"ad\">buy</div>"))
     assert main_text.main_text(lines, kinds, None) == "T & U\n\none two x\n\nthree"
-    a, b = main_text.page_lines(page(shared + "<p>own</p>")), main_text.page_lines(page(shared + "<p>other</p>"))
-    assert main_text.main_text(*a, b[0]) == "own" and main_text.main_text(*a, a[0]) == "Site line\n\nown"
+    a, b = main_text.page_lines(_page(shared + "<p>own</p>")), main_text.page_lines(_page(shared + "<p>other</p>"))
+    assert main_text.main_text(*a, b[0]) == "own"
     assert main_text.page_lines(None) == ([], []) and main_text.page_lines("<p>x<div class=\"open")[0] == ["x"]
+    one, two = (main_text.page_lines(_page(f"<main><p>menu</p><p>{x}</p></main>")) for x in ("first text", "second text"))
+    assert main_text.main_text(*one, two[0]) == "first text" and main_text.main_text(*one, two[0], ["else"]) == "menu\n\nfirst text"
+    for body in ('<article class="post share-enabled"><p>x</p></article>', "<form><div><article><p>x</p></article></div><input></form>", "<form><p>x</p></form>", '<article><h2>c</h2></article><div><p>x y z</p></div><footer>f</footer><article class="comment">no</article>'):
+        assert main_text.main_text(*main_text.page_lines(_page(body)), None).endswith(("x", "x y z"))
+
+
+def test_common_lines_are_longest():
     rng = random.Random(2)
-    for _ in range(200):
-        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+    for _ in range(600):
+        x, y = ([rng.choice("abcdefg"[: rng.randint(1, 7)]) for _ in range(rng.randint(0, 12))] for _ in range(2))
         table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x)):
             for j in range(len(y)):
                 table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
-        assert len(main_text.common_lines(x, y)) == table[-1][-1]
-
-
-def test_main_text_over_partitions(spark):
-    rows = [(i, f"http://h{i % 3}.org/p/{i:03d}", f"<body><p>foot {i % 3}</p><p>own {i}</p></body>") for i in range(60)] + [(100, None, None), (101, "http://alone.org/", "<p>only</p>"), (101, "http://alone.org/x", "")]
-    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert len(got) == 63 and all(got[i, u] == (f"own {i}", len(f"own {i}")) for i, u, _ in rows[:60])
-    assert got[101, "http://alone.org/"] == ("only", 4) and got[100, None] == ("", 0)
+        found, rest = main_text.common_lines(x, y), iter(y)
+        assert len(found) == table[-1][-1] and found == sorted(set(found)) and all(any(x[i] == w for w in rest) for i in found)
+    began = time.process_time()
+    for x, y in ((["q"] + ["x"] * 20_000, ["x"] * 19_000 + ["y", "q"]), ([str(rng.randrange(900)) for _ in range(9_000)], [str(rng.randrange(900)) for _ in range(9_000)])):
+        main_text.common_lines(x, y)
+    assert time.process_time() - began < 3
+
+
+def test_main_text_over_partitions(spark, monkeypatch):
+    """Hosts with copies, near copies and a long run of copies, against pairing by hand; the clashing columns are not read."""
+    rng = random.Random(8)
+    rows, hosts = [], defaultdict(list)
+    for i in range(400):
+        host = f"h{rng.choice([0, 0, 0, 1, 2, i])}.org"
+        if hosts[host] and rng.random() < 0.4:
+            body = rng.choice(hosts[host])[1]
+            body += "<p>last</p>" if rng.random() < 0.3 else ""
+        else:
+            own = "".join(f"<p>{' '.join(rng.choice('abcdefghijklmnopqrstuvwxyz') * 3 for _ in range(6))} {i}</p>" for _ in range(4))
+            body = f"<p>top {host}</p><p>{rng.choice(['x', 'y'])} notice</p>{own}" + rng.choice(["", f"<article><p>art {i} with a text of its own</p><p>shared in articles</p></article>"]) + "<p>foot</p>"
+        path = f"/{rng.choice('abc')}/{i:03d}"
+        hosts[host].append((path, body))
+        rows.append((i, f"http://{host}{path}", _page(body), f"http://{host}", path, "k", 1))
+    for i in range(400, 700):
+        path = f"/b/50/{i}"
+        hosts["h1.org"].append((path, "<p>top h1.org</p><p>a run of copies</p><p>foot</p>"))
+        rows.append((i, f"http://h1.org{path}", _page(hosts["h1.org"][-1][1]), None, None, None, None))
+    rows += [(1000, None, None, None, None, None, None), (1001, "http://alone.org/", "<p>only</p>", None, None, None, None), (1002, "http://", "<p>no host</p>", None, None, None, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, status string, part int").repartition(5)
+    got = sorted((r.url or "", r.text, r.n_chars) for r in main_text.extract(pages).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [("", "", 0), ("http://", "no host", 7), ("http://alone.org/", "only", 4)]
+    for host, own in hosts.items():
+        own = [(path, main_text.page_lines(_page(body))) for path, body in sorted(own, key=lambda x: x[0])]
+        groups = []
+        for page in own:
+            if not groups or not main_text.are_copies(page[1], groups[-1][0][1]):
+                groups.append([])
+            groups[-1].append(page)
+        for k, group in enumerate(groups):
+            for path, page in group:
+                sides = [(p[0], p[1][0]) for p in ([groups[k - 1][-1]] if k else [None]) + ([groups[k + 1][0]] if k + 1 < len(groups) else [None]) if p] if len(groups) > 1 else []
+                both = sorted(sides, key=lambda s: -len(os.path.commonprefix([path, s[0]])))
+                want.append((f"http://{host}{path}", *(lambda t: (t, len(t)))(main_text.main_text(*page, *[x[1] for x in both] or [None]))))
+    assert got == sorted(want)
+    assert all("foot" not in text for url, text, _ in got if "/b/50/4" in url)
+    assert main_text.extract(pages.limit(0)).count() == 0
 
 
 def test_warc(spark):
