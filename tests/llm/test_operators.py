@@ -196,13 +196,17 @@ def test_main_text_over_partitions(spark, monkeypatch):
 
 def test_warc(spark):
     long = "y" * 200
-    rows = [(5, "u", long), (2, "u\r\nx", long), (2, "v", long), (None, None, long), (7, "w", None), (8, "w", "short"), (9, "w", "short"), (10, "z", "é" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(5, "u", long), (2, "u\r\nx", long), (2, "v", long), (None, None, long), (7, "w", None), (8, "w", "short"), (9, "w", "short"), (9, "w", "short"), (9, "w2", "other"), (10, "z", "é" * 300_000)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
     want = [(i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if h == long and i != 2 else "response", 2 if h == long and i != 2 else None) for i, _, h in rows]
     assert Counter(map(tuple, warc.archived(pages).collect())) == Counter(want)
     root = warc.new_path(spark, "test")
     warc.write_archive(pages, root, frame=500, bundle=1000)
     assert {(r.record_id, r.payload.decode()) for r in warc.fetch(spark, root, spark.createDataFrame([(8,), (10,)], "page_id long")).collect()} == {("8", "short"), ("10", "é" * 300_000)}
+    nines = warc.fetch(spark, root, spark.createDataFrame([(9,)], "page_id long")).collect()
+    assert sorted(r.payload.decode() for r in nines) == ["other", "short", "short"] and len({r.urn for r in nines}) == 3
+    index = spark.read.schema(warc.INDEX).parquet(f"{root}/index").collect()
+    assert len(index) == len(rows) and len({r.urn for r in index}) == len(rows) - 1  # two rows of the smallest id with one payload
     assert warc.archived(pages.limit(0)).count() == 0
 
 

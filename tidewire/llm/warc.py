@@ -91,20 +91,20 @@ class BundleReader:
         return self.decompressor.decompress(self.stream.read(packed), max_output_size=plain)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = DATE, own: str = "") -> bytes:
-    """One response or revisit record. A response's record id follows from its page id, so revisits can name it."""
+def urn(of: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, of)}>"
 
-    def urn(of) -> str:
-        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, of)}>"
 
+def record(page_id, url: str | None, payload: bytes, digest: str, own: str, refers_to=None, revisit: bool = False, date: str = DATE) -> bytes:
+    """One response or revisit record; ``own`` is what its record id is made of, and a revisit names its response's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(own if revisit or page_id is None else f'page:{page_id}')}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(own)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else f"WARC-Target-URI: {url}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {urn(f'page:{refers_to}')}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {urn(f'page:{refers_to}:{digest}')}", f"X-Refers-To-Page-ID: {refers_to}"]
     block = http if revisit else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -121,7 +121,7 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, data[end + 4 : stop], stop + 4
 
 
-INDEX = "bundle string, record_id string, frame int, offset int, length int"
+INDEX = "bundle string, record_id string, urn string, frame int, offset int, length int"
 
 
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame: int = FRAME, bundle: int = BUNDLE) -> None:
@@ -129,16 +129,21 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
 
     Of rows with equal payloads of at least REVISIT_FROM bytes, that with the smallest id is a response and
     the others revisit it; rows that repeat this id and payload are responses too, for a record cannot
-    revisit itself. A null payload is empty; a null id comes last and is not referred to. Tasks write
-    bundles under unique names, and the index, written by Spark's commit, names the bundles that count.
+    revisit itself. A null payload is empty; a null id comes last and is not referred to. Rows that share an id have
+    records of their own: a record's URN follows from its place in its bundle, and that of a response that others revisit from
+    its id and digest. Tasks write bundles under unique names, and the index, written by Spark's commit, names the bundles that
+    count, with every record's id (``record_id``), URN, frame and offset.
     """
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= REVISIT_FROM)
     groups = pages.where("long").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     again = written(groups.where("n > 1").select("digest", "first"), "payloads")
-    rows = pages.join(bounded_broadcast(again, BROADCAST_ROWS), "digest", "left")
+    # Short payloads never meet the repeated ones: each has a key of its own, so that a join that shuffles spreads them.
+    key = F.when(F.col("long"), F.col("digest")).otherwise(F.concat(F.lit("short "), F.monotonically_increasing_id().cast("string")))
+    again = bounded_broadcast(again.withColumnRenamed("digest", "key"), BROADCAST_ROWS)
+    rows = pages.withColumn("key", key).join(again, "key", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = rows.select(F.col("id").cast("string"), "url", "html", "digest", F.when(revisit, F.col("first")).cast("string").alias("first"), revisit.alias("revisit"))
+    rows = rows.select(F.col("id").cast("string"), "url", "html", "digest", F.when(revisit, F.col("first")).cast("string").alias("refers_to"), revisit.alias("revisit"), (F.col("first").isNotNull() & ~revisit).alias("named"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = uri = None
@@ -146,25 +151,26 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
         for batch in batches:
             for part in slices(batch, "html"):
                 out = []
-                for page_id, url, html, digest, first, revisit in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for page_id, url, html, digest, refers_to, revisit, named in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if writer is None:
                         stream, uri = create(f"{root}/bundles", ".warc.zst")
                         writer, done = BundleWriter(stream, frame), 0
-                    data = record(page_id, url, html.encode(), digest, first, revisit, own=f"{uri}#{done}")
+                    own = f"page:{page_id}:{digest}" if named else f"{uri}#{done}"
+                    data = record(page_id, url, html.encode(), digest, own, refers_to, revisit)
                     done += 1
-                    out.append((uri, page_id, *writer.add(data), len(data)))
+                    out.append((uri, page_id, urn(own), *writer.add(data), len(data)))
                     if writer.size >= bundle:
                         writer.close()
                         writer = None
                 columns = [list(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["bundle", "record_id", "frame", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["bundle", "record_id", "urn", "frame", "offset", "length"])
         if writer is not None:
             writer.close()
 
     rows.mapInArrow(run, INDEX).write.parquet(f"{root}/index")
 
 
-RECORDS = "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary"
+RECORDS = "record_id string, urn string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary"
 
 
 def _fields(head: dict[str, str], block: bytes, payloads: bool) -> tuple:
@@ -177,11 +183,11 @@ def _fields(head: dict[str, str], block: bytes, payloads: bool) -> tuple:
         size = len(payload)
         if hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload of {head['WARC-Record-ID']} does not have its digest")
-    return head.get("X-Page-ID"), size, digest, head["WARC-Type"], head.get("X-Refers-To-Page-ID"), head.get("WARC-Target-URI"), payload if payloads else None
+    return head.get("X-Page-ID"), head["WARC-Record-ID"], size, digest, head["WARC-Type"], head.get("X-Refers-To-Page-ID"), head.get("WARC-Target-URI"), payload if payloads else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
+    types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in RECORDS.split(", ")])
 
