@@ -252,6 +252,20 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(chats.limit(0)).count() == 0
 
 
+def test_long_chats(spark):
+    """A conversation of thousands of turns and one of very long texts, with columns whose names the operator uses itself."""
+    long = [(1, i, ("user", "assistant", "assistant")[i % 3], f"turn {i} </s> é😀" * (i % 3)) for i in range(6_000)] + [(2, i, "assistant" if i % 2 else "user", "long\n[NEXT] " * 60_000) for i in range(4)]
+    chats = spark.createDataFrame([(*r, "x", [1]) for r in long], "conv_id long, turn long, role string, text string, formatted string, turns array<int>")
+    began = time.time()
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chats)).collect()}
+    assert time.time() - began < 60
+    for k in (1, 2):
+        loss = "".join(x for i, _, r, x in long if i == k and r == "assistant")
+        assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (sum(r[0] == k for r in long), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    spans = chat.format_chats(chats.where("conv_id = 1")).first()
+    assert all(spans.formatted[s.start : s.end] == long[[i for i in range(6_000) if i % 3][k]][3].replace("</s>", "<\\/s>") for k, s in enumerate(spans.loss_spans))
+
+
 def test_licenses(docs):
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs).collect())
     want: Counter = Counter()

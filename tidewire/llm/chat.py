@@ -77,16 +77,66 @@ def _parts(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
+def _let(value: Column, of) -> Column:
+    """``of`` applied to a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _running(lengths: Column, start: Column) -> Column:
+    """What precedes each of some lengths, from ``start`` on; for arrays of moderate size, since it grows an array."""
+    empty = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, empty, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _starts(lengths: Column) -> Column:
+    """What precedes each of any number of lengths: sums over stretches of about the square root of their number, then within each."""
+
+    def of(all_: Column) -> Column:
+        k = F.greatest(F.ceil(F.sqrt(F.size(all_))).cast("int"), F.lit(1))
+        stretches = F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(1), F.size(all_), k), lambda first: F.slice(all_, first, k)))
+        stretches = F.coalesce(stretches, F.array().cast("array<array<int>>"))
+
+        def within(s: Column) -> Column:
+            sums = F.transform(s, lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n))
+            return _let(_running(sums, F.lit(0)), lambda bases: F.flatten(F.transform(s, lambda x, i: _running(x, F.get(bases, i)))))
+
+        return _let(stretches, within)
+
+    return _let(lengths, of)
+
+
 def _spans(parts: Column) -> Column:
     """Code-point spans (start, end) of the pieces under the loss mask."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def add(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part["s"])
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(part["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def of(p: Column) -> Column:
+        lengths = F.transform(p, lambda part: F.length(part["s"]))
+
+        def cut(both: Column) -> Column:
+            spans = F.transform(p, lambda part, i: F.struct(part["loss"].alias("loss"), F.get(both["starts"], i).alias("start"), (F.get(both["starts"], i) + F.get(both["lengths"], i)).alias("end")))
+            return F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+        return _let(lengths, lambda n: _let(F.struct(n.alias("lengths"), _starts(n).alias("starts")), cut))
+
+    return _let(parts, of)
+
+
+#: Code points of the stretches that a text is cut into to read spans of it.
+STRETCH = 4_096
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The texts of code-point spans, as an array; each reads the stretches of the text that it lies in and no more."""
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def read(cut: Column) -> Column:
+        def one(span: Column) -> Column:
+            first, last = F.floor(span["start"] / STRETCH).cast("int"), F.floor((span["end"] - 1) / STRETCH).cast("int")
+            own = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+            return F.when(span["end"] > span["start"], F.substring(own, span["start"] % STRETCH + 1, span["end"] - span["start"])).otherwise("")
+
+        return F.transform(spans, one)
 
-    return F.aggregate(parts, start, add, lambda acc: acc["spans"])
+    return _let(stretches, read)
 
 
 def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -125,8 +175,8 @@ def read_turns(formatted: Column) -> Column:
 def read_back(chats: DataFrame) -> DataFrame:
     """What the output of :func:`format_chats` holds: counts and digests of its turns and of what is under its loss mask."""
     turns = F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    read = chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss"))
+    loss = F.transform(masked(F.col("formatted"), F.col("loss_spans")), unescape)
+    read = chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
