@@ -1,7 +1,7 @@
 """Shared scratch storage: tables and files that every executor can see.
 
 Intermediate results go below ``spark.checkpoint.dir``; a folder of our own is used only where that
-setting is absent, as in local tests.
+setting is absent, as in local tests; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -31,6 +31,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidewire-"))
         spark.sparkContext.setCheckpointDir(f"file://{_own[0]}/rdd")
@@ -75,11 +77,14 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: Column | None = None, max_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it has at most ``max_rows`` rows, else ``df``.
 
-    ``df`` should be cheap to count: a written table. Beyond the bound the join that uses it shuffles.
+    Where rows differ in size, ``row_bytes`` is about how many bytes one has, and their sum has to be within ``max_bytes``
+    as well. ``df`` should be cheap to count: a written table. Beyond the bound the join that uses it shuffles.
     """
-    if df.count() <= max_rows:
+    size = F.sum(row_bytes if row_bytes is not None else F.lit(0)).alias("bytes")
+    found = df.agg(F.count("*").alias("rows"), size).first()
+    if found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes:
         return F.broadcast(df)
     return df
