@@ -3,9 +3,10 @@
 A test item is short and a document long, so their Jaccard similarity says little; what counts is the share
 of the item's shingles that the document has. An item's sketch is its smallest shingle hashes, its bottom-k
 MinHash. If an item may lack ``m`` shingles, any ``m + 1`` of them include one that a containing document has, so
-k is ``m + 1`` and no pair is missed. Items are partitioned by size (powers of two): the largest sketch hash
-of a partition bounds what a document has to show of itself, and documents too small for a partition do not
-meet it. A document that shows a sketch hash is a candidate; exact containment on all shingles decides.
+k is ``m + 1`` and no pair is missed. Items are partitioned by size (powers of two), and a table of bounded size says for each
+cell of the hash space which is the smallest partition with a sketch hash in it. A document shows those of its hashes
+whose cell holds a partition that it is large enough for; of these, the ones that are sketch hashes make candidates, and
+exact containment on all shingles decides.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 from ..common.store import bounded_broadcast, written
 
 SHINGLE, CONTAINMENT = 5, 80
-#: Rows up to which a counted sketch table or candidate table is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a counted sketch table or candidate table is broadcast, and bytes up to which items with their shingles are.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Cells of the table of sketch hashes; a power of two. A byte each travels with the plan, however many items there are.
+CELLS = 1 << 17
+_EMPTY_CELL = 255
 
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
@@ -27,13 +31,13 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     """
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    def of(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
-        few = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
-        return F.when(F.size(w) >= n, many).otherwise(few)
+    def of(h: Column) -> Column:
+        many = F.slice(F.transform(h, lambda first, i: F.xxhash64(first, *(F.get(h, i + k) for k in range(1, n)))), F.lit(1), F.size(h) - (n - 1))
+        few = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
+        return F.when(F.size(h) >= n, many).otherwise(few)
 
-    # A one-element transform names the words, so that they are split once.
-    return F.flatten(F.transform(F.array(words), of))
+    # A one-element transform names the words' hashes, so that they are made once.
+    return F.flatten(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of))
 
 
 def _unsigned(h: Column) -> Column:
@@ -50,6 +54,33 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, shingle: int, co
     return sets.withColumn("part", F.floor(F.log2("n_item")).cast("int")).withColumn("item_sketch", sketch)
 
 
+def sketch_table(entries: DataFrame) -> bytes:
+    """For each cell of the hash space the smallest size partition that has a sketch hash there, else 255; CELLS bytes."""
+    cells = entries.groupBy(F.col("rank").bitwiseAND(CELLS - 1).alias("cell")).agg(F.min("part").alias("part")).collect()  # at most CELLS rows
+    table = bytearray([_EMPTY_CELL]) * CELLS
+    for row in cells:
+        table[row["cell"]] = row["part"]
+    return bytes(table)
+
+
+def shown_hashes(shingles: Column, table: bytes, containment: int) -> Column:
+    """Those of a text's hashes that may be sketch hashes of an item that the text can contain, as structs of the hash's
+    ``rank`` and the number ``n`` of the text's shingles."""
+
+    def of(s: Column) -> Column:
+        largest = F.floor(F.log2(100.0 * F.size(s) / containment)).cast("int")
+        known = F.unhex(F.lpad(F.hex(F.greatest(largest, F.lit(0))), 2, "0"))
+        ranks = F.transform(s, _unsigned)
+
+        def fits(own: Column) -> Column:
+            return F.filter(own["ranks"], lambda r: F.substring(F.lit(table), (r.bitwiseAND(CELLS - 1) + 1).cast("int"), F.lit(1)) <= own["known"])
+
+        found = F.flatten(F.transform(F.array(F.struct(ranks.alias("ranks"), known.alias("known"))), fits))
+        return F.transform(found, lambda r: F.struct(r.alias("rank"), F.size(s).alias("n")))
+
+    return F.flatten(F.transform(F.array(shingles), of))
+
+
 def contamination(docs: DataFrame, items: DataFrame, containment: int = CONTAINMENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and an item that it contains: ``doc_id``, ``text_hash``, ``item_id``, ``n_item``, ``n_shared``.
 
@@ -61,13 +92,11 @@ def contamination(docs: DataFrame, items: DataFrame, containment: int = CONTAINM
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where("text is not null")
     items = written(item_sketches(items, item_id_col, item_text_col, shingle, containment), "items")
-    bounds = items.groupBy("part").agg(F.max(F.element_at("item_sketch", -1)).alias("bound")).collect()  # a row for each power of two
-    largest = max((r["bound"] for r in bounds), default=-1)
-
     entries = items.withColumn("item_key", F.xxhash64("item_shingles")).select("item_id", "item_key", "part", F.explode("item_sketch").alias("rank"))
     ranks = bounded_broadcast(written(entries.groupBy("rank").agg(F.min("part").alias("part")), "ranks"), BROADCAST_ROWS)
-    own = F.transform(F.array(shingle_hashes(F.col("text"), shingle)), lambda s: F.struct(F.size(s).alias("n"), F.filter(F.transform(s, _unsigned), lambda r: r <= largest).alias("ranks")))
-    shown = docs.select("doc_id", "text_hash", F.element_at(own, 1).alias("own")).select("doc_id", "text_hash", F.col("own.n").alias("n"), F.explode("own.ranks").alias("rank"))
+    own = shown_hashes(shingle_hashes(F.col("text"), shingle), sketch_table(entries), containment)
+    # The outer form: a plain explode has Spark filter on the array first and so make it twice.
+    shown = docs.select("doc_id", "text_hash", F.explode_outer(own).alias("own")).select("doc_id", "text_hash", "own.n", "own.rank")
     fits = 100 * F.col("n") >= containment * F.pow(F.lit(2), F.col("part"))
     hits = shown.join(ranks, "rank").where(fits).select("doc_id", "text_hash", "n", "rank").distinct()
     pairs = written(hits.join(entries, "rank").where(fits).select("doc_id", "text_hash", "item_id", "item_key").distinct(), "pairs")
@@ -78,7 +107,7 @@ def contamination(docs: DataFrame, items: DataFrame, containment: int = CONTAINM
     full = items.withColumn("item_key", F.xxhash64("item_shingles")).select("item_id", "item_key", "item_shingles", "n_item")
     tested = pairs.join(sets, "text_hash")
     same_item = full["item_id"].eqNullSafe(tested["item_id"]) & (full["item_key"] == tested["item_key"])
-    tested = tested.join(bounded_broadcast(full, BROADCAST_ROWS // 10), same_item).select(
+    tested = tested.join(bounded_broadcast(full, BROADCAST_ROWS, 8 * F.size("item_shingles") + 64, BROADCAST_BYTES), same_item).select(
         "doc_id", "text_hash", full["item_id"], "n_item", F.size(F.array_intersect("item_shingles", "shingles")).cast("long").alias("n_shared")
     )
     found = tested.where(100 * F.col("n_shared") >= containment * F.col("n_item"))
