@@ -338,6 +338,62 @@ def test_viterbi_finds_the_best_labelling():
         assert score(quality.viterbi(e, s)) == pytest.approx(best)
 
 
+def test_likelihood_against_all_labellings():
+    rng = np.random.default_rng(7)
+    x, w, s = rng.normal(size=(3, 5, 10)), rng.normal(size=10), rng.normal(size=(2, 2))
+    there = np.array([[True] * 5, [True] * 3 + [False] * 2, [True] + [False] * 4])
+    y = rng.integers(0, 2, (3, 5)) * there
+
+    def value(w, s):
+        total = 0.0
+        for f, t, own in zip(x, there, y, strict=True):
+            n = int(t.sum())
+            each = {}
+            for k in range(1 << n):
+                labels = [k >> i & 1 for i in range(n)]
+                each[tuple(labels)] = sum(float(f[i] @ w) for i in range(n) if labels[i]) + sum(s[a][b] for a, b in zip(labels, labels[1:], strict=False))
+            total += each[tuple(own[:n].tolist())] - np.log(sum(np.exp(v) for v in each.values()))
+        return total
+
+    got, gw, gs = quality.likelihood(x, there, y, w, s)
+    assert got == pytest.approx(value(w, s))
+    for k in range(10):
+        step = np.eye(10)[k] * 1e-5
+        assert gw[k] == pytest.approx((value(w + step, s) - value(w - step, s)) / 2e-5, abs=1e-5)
+    for a in (0, 1):
+        for b in (0, 1):
+            step = np.zeros((2, 2))
+            step[a, b] = 1e-5
+            assert gs[a, b] == pytest.approx((value(w, s + step) - value(w, s - step)) / 2e-5, abs=1e-5)
+
+
+def test_lines_of_mixed_texts_are_told_apart(spark):
+    """Held-out texts of whose lines a known share is junk: fitted weights find about that share, and training labels hold."""
+    rng = random.Random(9)
+
+    def line(good):
+        words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 14))]
+        return " ".join(words).capitalize() + "." if good else rng.choice([" ".join(w.upper() + "!!" for w in words), " | ".join(words), " ".join(w + "###" for w in words)])
+
+    train = [(i, "\n".join(line(i % 2) for _ in range(rng.randint(2, 100)))) for i in range(120)]
+    docs = spark.createDataFrame(train, "doc_id long, text string")
+    crf = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    mixed = []
+    for i in range(60):
+        n = rng.randint(10, 30)
+        k = rng.randint(3, n - 3)
+        goods = [j < k for j in range(n)] if i % 2 else [(j // 5) % 2 == 0 for j in range(n)]
+        lines = [line(g) for g in goods]
+        words = [len(WORD.findall(x)) for x in lines]
+        mixed.append((i, "\n".join(lines), sum(w for w, g in zip(words, goods, strict=True) if g) / sum(words)))
+    found = {r.doc_id: r.quality.content_share for r in quality.with_quality(spark.createDataFrame([m[:2] for m in mixed], "doc_id long, text string"), crf).collect()}
+    assert all(abs(found[i] - share) < 0.15 for i, _, share in mixed) and any(0.1 < x < 0.9 for x in found.values())
+    f, w = np.zeros((4, 10)), np.array([10, 20, 30, 40])
+    f[:, 0] = [-9, -8, -1, -0.5]
+    labels = quality.line_labels(f, w, 1, quality.Crf((1.0, *[0.0] * 9), ((0.0, 0.0), (0.0, 0.0))))
+    assert labels @ w >= 50 and labels.tolist() == [0, 0, 1, 1]
+
+
 def test_contamination(spark, docs):
     texts = _texts()
     items = [(1, " ".join(texts[10].split(" ")[5:40])), (2, texts[40]), (3, "never seen before in any of these texts at all"), (4, None), (5, ""), (None, "a b c d"), (1, " ".join(texts[10].split(" ")[5:40])), (6, "one"), (7, " ".join(texts[-2].split(" ")[300:330]))]

@@ -2,7 +2,11 @@
 
 The CRF labels each line that has a word as content or boilerplate; Viterbi decoding finds the best
 labelling of the whole text, and the share of words in content lines decides whether a text is kept.
-The weights are fitted on a bounded sample of labelled documents; everything else reads every whole text.
+The weights are fitted on a bounded sample of labelled documents, in Spark tasks that start from common weights, go some steps on
+their own documents and have their weights averaged. Labels are of documents, so those of lines are inferred: chains run
+on over the lines of document after document, which shows the CRF where content and boilerplate meet, and each round
+decodes the lines anew under the constraint that a good document is mostly content and a bad one mostly not. Everything else
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -15,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common.store import small_batches
+from ..common.store import small_batches, written
 from .textbatch import SPACED_WORD, Words, byte_table, constants, mix, slices, utf8, windows, words_of
 
-#: Labelled documents that the weights are fitted on, and lines that each gives.
-SAMPLE, SAMPLE_LINES = 2_000, 64
+#: Labelled documents that the weights are fitted on (all lines of each), and tasks that fit.
+SAMPLE, TASKS = 2_000, 8
+#: Rounds of averaging, steps of a task in a round, lines of a chain.
+ROUNDS, STEPS, CHAIN = 4, 40, 64
+#: What a document's label adds to the scores of its lines when they are decoded for the fit.
+LEANING = 2.0
 #: Share of words in content lines from which a text is kept.
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -183,56 +191,70 @@ def _batch(column: pa.Array, crf: Crf | None):
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, share
 
 
-def fit_crf(samples: list[tuple[np.ndarray, int]], rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> Crf:
-    """Maximum-likelihood weights for line sequences whose lines all have one label (1: content).
+def likelihood(x: np.ndarray, there: np.ndarray, y: np.ndarray, w: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of labelled chains and its gradients by emission weights and steps.
 
-    Gradient ascent with momentum on the conditional log-likelihood; forward and backward sums run over
-    all sequences at once. With one label only, :data:`PRIOR`.
+    ``x`` are features (chain, line, feature), ``there`` says which lines of the padded chains exist, ``y`` are labels. Forward and
+    backward sums run over all chains at once.
     """
-    samples = [(f, y) for f, y in samples if len(f)]
-    if len({y for _, y in samples}) < 2:
-        return PRIOR
-    n, longest = len(samples), max(len(f) for f, _ in samples)
-    x = np.zeros((n, longest, _K))
-    there = np.zeros((n, longest), dtype=bool)
-    for i, (f, _) in enumerate(samples):
-        x[i, : len(f)], there[i, : len(f)] = f, True
-    y = np.array([label for _, label in samples])
-    length = there.sum(axis=1)
-    truth_x = (x * (there * y[:, None])[:, :, None]).sum(axis=(0, 1))
-    truth_s = np.zeros((2, 2))
-    for label in (0, 1):
-        truth_s[label, label] = (length[y == label] - 1).sum()
-    w, s = np.zeros(_K), np.zeros((2, 2))
-    dw, ds = np.zeros(_K), np.zeros((2, 2))
+    n, longest = there.shape
+    e = np.zeros((n, longest, 2))
+    e[:, :, 1] = np.where(there, x @ w, 0)
+    alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    alpha[:, 0] = e[:, 0]
+    for t in range(1, longest):
+        a = np.logaddexp(alpha[:, t - 1, 0, None] + s[0], alpha[:, t - 1, 1, None] + s[1]) + e[:, t]
+        alpha[:, t] = np.where(there[:, t, None], a, alpha[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        m = e[:, t + 1] + beta[:, t + 1]
+        beta[:, t] = np.where(there[:, t + 1, None], np.logaddexp(s[:, 0] + m[:, 0, None], s[:, 1] + m[:, 1, None]), 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    p = np.exp(alpha + beta - z[:, None, None])[:, :, 1] * there
+    pair = np.exp(alpha[:, :-1, :, None] + s + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
+    truth = np.zeros((2, 2))
+    np.add.at(truth, (y[:, :-1][there[:, 1:]], y[:, 1:][there[:, 1:]]), 1)
+    score = float((e[:, :, 1] * y).sum() + (truth * s).sum() - z.sum())
+    return score, np.einsum("nt,ntk->k", y * there - p, x), truth - pair.sum(axis=(0, 1))
+
+
+def line_labels(features: np.ndarray, words: np.ndarray, label: int, crf: Crf) -> np.ndarray:
+    """The best labelling of a training text's lines under which its label holds: mostly content (1) or mostly not (0)."""
+    e = features @ np.array(crf.emission) + (LEANING if label else -LEANING)
+    found = np.array(viterbi(e.tolist(), crf.step))
+    need = CONTENT_SHARE * words.sum()
+    for i in np.argsort(-e if label else e, kind="stable"):  # lines nearest to the text's label turn first
+        if (found @ words >= need) == bool(label):
+            break
+        found[i] = label
+    return found
+
+
+def fit_steps(texts: list[tuple[np.ndarray, np.ndarray, int]], crf: Crf, first: bool, steps: int = STEPS, rate: float = 1.0, decay: float = 1e-3) -> Crf:
+    """Weights after some steps of gradient ascent with momentum on texts (features, words, label) that follow each other.
+
+    In the ``first`` round every line has its text's label.
+    """
+    y = np.concatenate([np.full(len(w), label) if first else line_labels(f, w, label, crf) for f, w, label in texts])
+    n = -(-len(y) // CHAIN)
+    pad = n * CHAIN - len(y)
+    x = np.concatenate([f for f, _, _ in texts] + [np.zeros((pad, _K))]).reshape(n, CHAIN, _K)
+    there = (np.arange(n * CHAIN) < len(y)).reshape(n, CHAIN)
+    y = np.concatenate([y, np.zeros(pad, dtype=y.dtype)]).reshape(n, CHAIN)
+    w, s = np.array(crf.emission), np.array(crf.step)
+    dw, ds = np.zeros_like(w), np.zeros_like(s)
     total = there.sum()
-    for _ in range(rounds):
-        e = np.zeros((n, longest, 2))
-        e[:, :, 1] = x @ w
-        e = np.where(there[:, :, None], e, 0)
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            a = np.logaddexp(alpha[:, t - 1, 0, None] + s[0], alpha[:, t - 1, 1, None] + s[1]) + e[:, t]
-            alpha[:, t] = np.where(there[:, t, None], a, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            m = e[:, t + 1] + beta[:, t + 1]
-            b = np.logaddexp(s[:, 0] + m[:, 0, None], s[:, 1] + m[:, 1, None])
-            beta[:, t] = np.where(there[:, t + 1, None], b, 0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha + beta - z[:, None, None])[:, :, 1] * there
-        pair = np.exp(alpha[:, :-1, :, None] + s + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
-        gw = (truth_x - np.einsum("nt,ntk->k", p, x)) / total - decay * w
-        gs = (truth_s - pair.sum(axis=(0, 1))) / total - decay * s
-        dw, ds = 0.9 * dw + gw, 0.9 * ds + gs
+    for _ in range(steps):
+        _, gw, gs = likelihood(x, there, y, w, s)
+        dw, ds = 0.9 * dw + gw / total - decay * w, 0.9 * ds + gs / total - decay * s
         w, s = w + rate * dw, s + rate * ds
     return Crf(tuple(w.tolist()), (tuple(s[0].tolist()), tuple(s[1].tolist())))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """Weights fitted on the ``sample`` labelled documents whose hashed ids are smallest, up to SAMPLE_LINES lines of each.
+    """Weights fitted on the ``sample`` labelled documents whose hashed ids are smallest, all lines of each.
 
-    A document with several labels counts with the smallest; null labels and ids are skipped.
+    A document with several labels counts with the smallest, an id with several texts with the smallest of their lines; null labels
+    and ids are skipped. Without documents of both labels: :data:`PRIOR`.
     """
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -241,17 +263,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         for batch in batches:
             for part in slices(batch, "text"):
                 lines, features = _batch(part.column("text"), None)
-                out = []
+                out, words = [], []
                 for a, b in zip(lines.first[:-1], lines.first[1:], strict=True):
-                    rows = np.flatnonzero(lines.n_words[a:b])[:SAMPLE_LINES] + a
+                    rows = np.flatnonzero(lines.n_words[a:b]) + a
                     out.append(features[rows].ravel())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(out, pa.list_(pa.float64()))], ["id", "label", "lines"])
+                    words.append(lines.n_words[rows])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(out, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], ["id", "label", "lines", "words"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, lines array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("lines").alias("lines"))
-    collected = sorted(rows.collect(), key=lambda r: r["id"])
-    return fit_crf([(np.array(r["lines"]).reshape(-1, _K), r["label"]) for r in collected])
+    rows = texts.select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, lines array<double>, words array<long>").where(F.size("lines") > 0)
+    rows = rows.groupBy("id").agg(F.min(F.struct("label", "lines", "words")).alias("own")).select("id", "own.*")
+    rows = written(rows.repartition(TASKS, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id", F.lit(1)), "id").select(F.spark_partition_id().alias("task"), "label", "lines", "words"), "lines")
+    if rows.select("label").distinct().count() < 2:
+        return PRIOR
+
+    def round_(crf: Crf, first: bool):
+        def fit(task: pa.Table) -> pa.Table:
+            columns = (task.column(c).to_pylist() for c in ("label", "lines", "words"))
+            own = [(np.array(f).reshape(-1, _K), np.array(w), y) for y, f, w in zip(*columns, strict=True)]
+            new = fit_steps(own, crf, first) if len({y for *_, y in own}) > 1 else crf
+            n = sum(len(w) for _, w, _ in own) if new is not crf else 0
+            return pa.table({"n": pa.array([n], pa.int64()), "weights": pa.array([[*new.emission, *new.step[0], *new.step[1]]], pa.list_(pa.float64()))})
+
+        return fit
+
+    crf = Crf((0.0,) * _K, ((0.0, 0.0), (0.0, 0.0)))
+    for k in range(ROUNDS):
+        found = rows.groupBy("task").applyInArrow(round_(crf, k == 0), "n long, weights array<double>").where("n > 0").collect()  # a row for each of TASKS
+        if not found:
+            return PRIOR
+        mean = np.average([r["weights"] for r in sorted(found, key=lambda r: r["weights"])], axis=0, weights=[r["n"] for r in sorted(found, key=lambda r: r["weights"])]).tolist()
+        crf = Crf(tuple(mean[:_K]), (tuple(mean[_K : _K + 2]), tuple(mean[_K + 2 :])))
+    return crf
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double"
