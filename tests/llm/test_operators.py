@@ -277,6 +277,55 @@ def test_licenses(docs):
     assert {r.labels for r in licenses.scan(docs).where("doc_id = 9").collect()} == {"apache,cc-by-nc,mit"}
 
 
+def _standing(words, label_texts):
+    """Labels and best share by comparing every stretch of every text with every template."""
+    best = {}
+    for label, text, key in label_texts:
+        t, k = text.split(), key.split()
+        long = int(licenses.STRETCH * len(t))
+        for a in range(len(words)):
+            own = words[a : a + long]
+            if len(own) < 0.8 * len(t) or sum((Counter(own) & Counter(t)).values()) < 0.8 * len(t) - 1e-9 or not any(own[i : i + len(k)] == k for i in range(len(own))):
+                continue
+            row = [0] * (len(t) + 1)
+            for w in own:
+                before = row[:]
+                for j, x in enumerate(t):
+                    row[j + 1] = before[j] + 1 if w == x else max(before[j + 1], row[j])
+            if row[-1] >= len(t) - int(0.2 * len(t) + 1e-9):
+                best[label] = max(best.get(label, 0), row[-1] / len(t))
+    return best
+
+
+def test_license_templates_against_every_stretch(spark):
+    rng = random.Random(12)
+    rows = [(0, None), (1, ""), (2, "This program is free software: you can really redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"), (3, "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met")]
+    vocabulary = licenses.template_words()
+    for i in range(4, 90):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += [rng.choice(vocabulary if rng.random() < 0.5 else ["zz", "yy"]) for _ in range(rng.randint(0, 12))]
+            own = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 1 + len(own) // 3)):
+                k = rng.randrange(len(own) + 1)
+                own[k : k + rng.randint(0, 1)] = [rng.choice(["so", "the", "license"])] * rng.randint(0, 1)
+            words += own
+        rows.append((i, " ".join(words).upper() if i % 7 == 0 else ", ".join(words)))
+    rows += [(4, rows[4][1]), (91, "mit license " * 5_000)]
+    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, labels string, score double")
+    got = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in licenses.scan(docs.repartition(3)).collect())
+    want: Counter = Counter()
+    for i, text in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        base = {label for p, label in licenses.PHRASES.items() if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}
+        best = _standing(w, licenses.TEMPLATES) if i != 91 else {}
+        want[i, ",".join(sorted(base | set(best))), round(max(best.values(), default=0.0), 9)] += 1
+    assert got == want
+    labels = {i: x for i, x, _ in got}
+    assert labels[2] == "gpl" and labels[3] == "bsd"
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 def test_packing(docs):
     by = {t: _ids(t) for t in {r.text for r in docs.collect()}}
     got = packing.pack(docs, BPE).collect()

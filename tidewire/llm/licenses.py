@@ -1,14 +1,15 @@
 """License scans by a positional index of rare tokens.
 
-Licence templates are indexed by word and position. Of each file the licence words that are rarest in the
-corpus are looked up; postings of one template that agree on the relative position mark where the template
-may stand. There all its words are compared, and its mandatory key phrase has to stand in its place.
+Licence templates are indexed by their rare words and these words' positions. Of each file the licence words it has are looked
+up by falling IDF; postings of one template whose relative positions agree, but for words that are added or left out, mark
+where the template may stand. There its words are aligned with the file's, and its mandatory key phrase has to stand among them.
+A template has so many rare words that a file that holds it has two of them, so the index leaves none out.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,18 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "free of charge to any person"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses", "general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "source and binary forms"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "with or without fee"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "alter it and redistribute it freely"),
 )
-#: Rarest words of a template that are looked up; how many of them have to agree; share of words that has to match.
-RARE, AGREE, SHARE = 5, 2, 0.8
+#: Share of a template's words that has to stand in a file in their order, within how many times the template's length, and rare
+#: words whose relative positions have to agree.
+SHARE, STRETCH, AGREE = 0.8, 1.25, 2
 
 
 def template_words() -> list[str]:
@@ -70,44 +80,118 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[
     return {w: counts.get(k, 0) for k, w in enumerate(vocabulary)}, counts.get(-1, 0)
 
 
+class Template:
+    """A template's words, what an alignment needs, and how many of its rarest words are indexed."""
+
+    def __init__(self, label: str, text: str, key: str, idf: dict[str, float]):
+        words = text.split()
+        self.label, self.n = label, len(words)
+        self.missing = int((1 - SHARE) * self.n + 1e-9)
+        self.longest = int(STRETCH * self.n)
+        self.hashes = [int(word_hash(w)) for w in words]
+        self.own = np.unique(np.array(self.hashes, dtype=np.uint64))
+        self.key = [int(word_hash(w)) for w in key.split()]
+        self.bits: dict[int, int] = {}
+        for i, h in enumerate(self.hashes):
+            self.bits[h] = self.bits.get(h, 0) | 1 << i
+        rare = sorted(set(words), key=lambda w: (-idf[w], w))[: self.missing + AGREE]
+        self.agree = min(AGREE, len(rare))
+        self.rare = {int(word_hash(w)): idf[w] for w in rare}
+        #: How far the relative positions of aligned words may lie before and after the start of the stretch.
+        self.before, self.after = self.missing, self.longest - self.n + self.missing
+
+    def aligned(self, words: list[int]) -> int:
+        """Length of the longest common subsequence of the template and ``words``."""
+        full = v = (1 << self.n) - 1
+        for w in words:
+            if u := v & self.bits.get(w, 0):
+                v = (v + u | v - u) & full
+        return self.n - v.bit_count()
+
+    def has_key(self, words: list[int]) -> bool:
+        k = len(self.key)
+        return any(words[i : i + k] == self.key for i in range(len(words) - k + 1))
+
+    def starts(self, agreeing: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Ranges of places where the template may begin, from (relative position, word) of looked-up words."""
+        agreeing.sort()
+        ranges: list[tuple[int, int]] = []
+        first, inside = 0, Counter()
+        for d, word in agreeing:
+            inside[word] += 1
+            while agreeing[first][0] < d - self.before - self.after:
+                left = agreeing[first][1]
+                inside[left] -= 1
+                if not inside[left]:
+                    del inside[left]
+                first += 1
+            if len(inside) >= self.agree:
+                a, b = d - self.after, d + self.before + 1
+                if ranges and a <= ranges[-1][1]:
+                    ranges[-1] = ranges[-1][0], b
+                else:
+                    ranges.append((a, b))
+        return ranges
+
+    def best(self, words: np.ndarray, agreeing: list[tuple[int, int]]) -> float:
+        """The largest share of the template's words that stands in a stretch with the key phrase; 0 below SHARE."""
+        ranges = self.starts(agreeing)
+        if not ranges:
+            return 0.0
+        need, found = self.n - self.missing, 0
+        known = np.concatenate([[0], np.cumsum(np.isin(words, self.own))])
+        for a, b in ranges:
+            starts = np.arange(max(a, 0), max(min(b, len(words)), 0))
+            starts = starts[known[np.minimum(starts + self.longest, len(words))] - known[starts] >= need]
+            for start in starts.tolist():
+                own = words[start : start + self.longest].tolist()
+                if own[0] in self.bits and (n := self.aligned(own)) >= max(need, found + 1) and self.has_key(own):
+                    found = n
+                    if found == self.n:
+                        return 1.0
+        return found / self.n
+
+
 class Index:
-    """Postings of the templates' rarest words, and what verification needs."""
+    """Postings of the templates' rarest words: for each its IDF and the (template, position)s where it stands."""
 
     def __init__(self, frequencies: dict[str, int], n: int):
-        self.idf = {w: math.log((1 + n) / (1 + k)) for w, k in frequencies.items()}
-        self.templates = []
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, (label, text, key) in enumerate(TEMPLATES):
-            words, phrase = text.split(), key.split()
-            hashes = np.array([word_hash(w) for w in words])
-            at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RARE]
-            for i, w in enumerate(words):
-                if w in rare:
-                    postings[int(hashes[i])].append((t, i))
-            self.templates.append((label, hashes, slice(at, at + len(phrase)), min(AGREE, len(rare))))
-        self.postings = dict(postings)
-        self.anchors = np.sort(np.array(list(postings), dtype=np.uint64))
+        idf = {w: math.log((1 + n) / (1 + k)) for w, k in frequencies.items()}
+        self.templates = [Template(label, text, key, idf) for label, text, key in TEMPLATES]
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.idf: dict[int, float] = {}
+        for t, template in enumerate(self.templates):
+            self.idf |= template.rare
+            for i, h in enumerate(template.hashes):
+                if h in template.rare:
+                    self.postings[h].append((t, i))
+        self.postings = dict(self.postings)
+        self.anchors = np.sort(np.array(list(self.postings), dtype=np.uint64))
         self.phrases = [(np.array([word_hash(w) for w in p.split()]), label) for p, label in PHRASES.items()]
 
     def found(self, words: np.ndarray, places: np.ndarray) -> dict[str, float]:
-        """Labels whose templates stand in a file, with the best share of matching words; ``places`` are its anchors."""
-        agreeing: dict[tuple[int, int], set[int]] = defaultdict(set)
+        """Labels whose templates stand in a file, with the best share of aligned words.
+
+        ``places`` are the file's indexed words. Its distinct ones are looked up by falling IDF; templates of which it has
+        too few rare words to agree are left out.
+        """
+        by_word: dict[int, list[int]] = defaultdict(list)
         for p in places.tolist():
-            word = int(words[p])
+            by_word[int(words[p])].append(p)
+        ranked = sorted(by_word, key=lambda w: (-self.idf[w], w))
+        left = Counter(t for w in ranked for t in {t for t, _ in self.postings[w]})
+        open_ = {t for t, n in left.items() if n >= self.templates[t].agree}
+        agreeing: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for word in ranked:
             for t, i in self.postings[word]:
-                agreeing[t, p - i].add(word)
+                if t in open_:
+                    agreeing[t].extend((p - i, word) for p in by_word[word])
         best: dict[str, float] = {}
-        for (t, start), rare in agreeing.items():
-            label, hashes, key, least = self.templates[t]
-            if len(rare) < least:
-                continue
-            a, b = max(0, -start), min(len(hashes), len(words) - start)
-            same = np.zeros(len(hashes), dtype=bool)
-            same[a:b] = words[start + a : start + b] == hashes[a:b]
-            share = float(same.mean())
-            if share >= SHARE and same[key].all():
-                best[label] = max(best.get(label, 0.0), share)
+        for t in sorted(agreeing, key=lambda t: -self.templates[t].n):
+            template = self.templates[t]
+            share = template.best(words, agreeing[t])
+            if share:
+                best[template.label] = max(best.get(template.label, 0.0), share)
         return best
 
 
@@ -119,7 +203,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text in lower case (A-Z). ``n_base`` counts the places
     where a base phrase's words stand consecutively, ``first_word`` and ``last_word`` are the smallest and the largest of their
-    starts. ``labels`` adds the templates found; ``score`` is the best share of a found template's words, 0 without one. A null
+    starts. ``labels`` adds the templates found: SHARE of a template's words stand in their order in a stretch of at most STRETCH times
+    its length that holds its key phrase; ``score`` is the best such share, 0 without one. A null
     or empty text has no words, null places, empty labels and score 0. Repeated rows give repeated rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
