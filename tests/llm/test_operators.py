@@ -343,6 +343,31 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
+def test_evolution_beats_best_fit():
+    """Pieces that were cut from full sequences, three from each: best fit in falling size wastes room that the search finds."""
+    for seed in range(3):
+        rng, sizes = random.Random(seed), []
+        for _ in range(40):
+            a = rng.randint(390, 500)
+            b = rng.randint(260, (1024 - a) // 2)
+            sizes += [a, b, 1024 - a - b]
+        first: tuple = ([], [])
+        packing.best_fit(sorted(range(120), key=lambda i: -sizes[i]), sizes, *first, 1024)
+        population = []
+        for epoch in range(4):
+            population = packing.evolve(sizes, population, [], 1024, epoch)
+        assert len(first[0]) >= 42 and len(population[0][0]) < len(first[0])
+        assert packing.lower_bound(sizes, 1024) == 40 <= len(population[0][0])
+
+
+def test_lower_bound_holds():
+    rng = random.Random(5)
+    assert packing.lower_bound([600] * 7 + [500] * 7, 1024) == 11 and packing.lower_bound([], 1024) == 0 and packing.lower_bound([1024, 512, 512], 1024) == 2
+    for _ in range(200):  # pieces cut from full sequences need just these
+        parts = [p for _ in range(rng.randint(1, 8)) for p in (lambda c: [b - a for a, b in zip([0, *c], [*c, 1024], strict=True)])(sorted(rng.sample(range(1, 1024), rng.randint(0, 4))))]
+        assert packing.lower_bound(parts, 1024) == -(-sum(parts) // 1024)
+
+
 def test_evolution_never_loses_a_piece():
     rng = random.Random(4)
     sizes = sorted((rng.randint(1, 700) for _ in range(300)), reverse=True)

@@ -3,15 +3,17 @@
 Texts become token pieces of at most ``capacity`` tokens; pieces go into sequences of that capacity, as few
 as possible. Pieces that fill a sequence need no search. The others are dealt at random over islands of
 bounded size. On each island a population of packings evolves: a crossover injects whole well-filled
-sequences of one packing into another, removes what is then there twice, and best-fits the displaced
-pieces. Between epochs an island's fullest sequences migrate to the next island as patterns of lengths, which it
-fills with its own pieces. An island that meets its lower bound is done.
+sequences of one packing into another, removes what is then there twice, lets the displaced pieces change places with
+smaller ones where that fills a sequence better, and best-fits the rest. Between epochs an island's fullest sequences migrate to
+the next island as patterns of lengths, which it fills with its own pieces. Epochs go on until no island gets along
+with fewer sequences; one that meets its lower bound is done.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from .byte_bpe import encoder
 from .textbatch import mix, slices
 
 CAPACITY, END = 1024, 2
-#: Pieces of an island, packings of its population, crossovers of an epoch, epochs, patterns that migrate.
-ISLAND, POPULATION, CROSSOVERS, EPOCHS, ELITE = 8_192, 5, 12, 3, 64
+#: Pieces of an island, packings of its population, patterns that migrate.
+ISLAND, POPULATION, ELITE = 8_192, 6, 64
+#: Crossovers of an epoch: as many as handle this number of pieces, and at least the second number.
+HANDLED, CROSSOVERS = 100_000, 12
 
 Bins = list[list[int]]
 
@@ -100,25 +104,73 @@ def _fitness(packing: tuple[Bins, list[int]]) -> tuple[int, int]:
     return -len(packing[0]), sum(f * f for f in packing[1])
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Sequences that any packing needs: pieces over half the capacity each take one, and for each threshold no
+    piece of at least that size fits to those that leave less room."""
+    ordered = sorted(sizes, reverse=True)
+    sums = [0]
+    for size in ordered:
+        sums.append(sums[-1] + size)
+    best = -(-sums[-1] // capacity)
+    descending = [-s for s in ordered]
+    half = bisect_left(descending, -(capacity // 2))  # pieces larger than half
+    for k in sorted({s for s in ordered if 2 * s <= capacity}):
+        alone = bisect_left(descending, -(capacity - k))  # larger than capacity - k: nothing of size k or more joins them
+        rest = sums[bisect_right(descending, -k)] - sums[alone]
+        best = max(best, alone + max(half - alone, -(-rest // capacity)))
+    return max(best, half)
+
+
+def dominate(bins: Bins, fills: list[int], displaced: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Let displaced pieces take the place of one or two smaller pieces of a bin where that fills it better.
+
+    Changes ``bins`` and ``fills``; returns what is displaced then.
+    """
+    free = sorted((sizes[i], i) for i in displaced)
+    for b, own in enumerate(bins):
+        room = capacity - fills[b]
+        if not room or not free:
+            continue
+        best, swap = 0, None
+        for k, i in enumerate(own):
+            for j in (-1, *range(k + 1, min(len(own), 8))):
+                out = sizes[i] + (sizes[own[j]] if j >= 0 else 0)
+                at = bisect_right(free, (out + room, len(sizes))) - 1
+                if at >= 0 and free[at][0] - out > best:
+                    best, swap = free[at][0] - out, (at, k, j)
+                    if best == room:
+                        break
+            if best == room:
+                break
+        if swap:
+            at, k, j = swap
+            new = free.pop(at)[1]
+            for i in (own[k], own[j]) if j >= 0 else (own[k],):
+                insort(free, (sizes[i], i))
+            bins[b] = [i for n, i in enumerate(own) if n != k and n != j] + [new]
+            fills[b] += best
+    return [i for _, i in free]
+
+
 def inject(base: tuple[Bins, list[int]], bins: Bins, sizes: list[int], capacity: int, loose: int = 0) -> tuple[Bins, list[int]]:
-    """A packing with the given bins whole; what ``base`` had with them is displaced and best-fitted.
+    """A packing with the given bins whole; what ``base`` had with them is displaced, exchanged and best-fitted.
 
     So are the pieces of the ``loose`` least full of the bins that stay.
     """
     taken = {i for b in bins for i in b}
     stay, displaced = [], []
     for b, fill in zip(*base, strict=True):
-        left = [i for i in b if i not in taken]
-        if len(left) == len(b):
+        if taken.isdisjoint(b):
             stay.append((fill, b))
         else:
-            displaced += left
+            displaced += [i for i in b if i not in taken]
     stay.sort(key=lambda x: -x[0])
     for _, b in stay[len(stay) - loose :] if loose else []:
         displaced += b
     stay = stay[: len(stay) - loose] if loose else stay
     child = [list(b) for b in bins] + [list(b) for _, b in stay]
     fills = [sum(sizes[i] for i in b) for b in bins] + [f for f, _ in stay]
+    displaced = dominate(child, fills, displaced, sizes, capacity)
     displaced.sort(key=lambda i: -sizes[i])
     best_fit(displaced, sizes, child, fills, capacity)
     return child, fills
@@ -145,12 +197,17 @@ def from_patterns(patterns: list[list[int]], sizes: list[int]) -> Bins:
 
 
 def evolve(sizes: list[int], population: list[tuple[Bins, list[int]]], patterns: list[list[int]], capacity: int, seed: int) -> list[tuple[Bins, list[int]]]:
-    """One epoch of an island; the population, best first. An empty one is seeded by best fit on perturbed orders."""
+    """One epoch of an island; the population, best first.
+
+    An empty one is seeded by best fit: of pieces in falling size, and in random orders.
+    """
     rng = random.Random(seed)
-    bound = -(-sum(sizes) // capacity)
+    bound = lower_bound(sizes, capacity)
     if not population:
         for k in range(POPULATION):
-            order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + (rng.random() * 0.1 if k else 0)))
+            order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+            if k:
+                rng.shuffle(order)
             packing: tuple[Bins, list[int]] = ([], [])
             best_fit(order, sizes, *packing, capacity)
             population.append(packing)
@@ -159,13 +216,15 @@ def evolve(sizes: list[int], population: list[tuple[Bins, list[int]]], patterns:
     if patterns:
         population.append(inject(population[0], from_patterns(patterns, sizes), sizes, capacity))
     population.sort(key=_fitness, reverse=True)
-    for _ in range(CROSSOVERS):
+    for _ in range(max(CROSSOVERS, HANDLED // max(1, len(sizes)))):
         if len(population[0][0]) == bound or len(population) < 2:
             break
         base, other = rng.sample(population, 2)
         full = sorted(range(len(other[0])), key=lambda b: -other[1][b])[: max(1, len(other[0]) // 2)]
         chosen = [other[0][b] for b in rng.sample(full, max(1, len(full) * rng.randint(1, 5) // 10))]
-        population.append(inject(base, chosen, sizes, capacity, loose=min(4, len(base[0]))))
+        child = inject(base, chosen, sizes, capacity, loose=rng.randint(1, min(5, len(base[0]))))
+        if all(_fitness(child) != _fitness(p) for p in population):
+            population.append(child)
         population.sort(key=_fitness, reverse=True)
         del population[POPULATION:]
     return population
@@ -209,7 +268,7 @@ def _epoch(key, items: pd.DataFrame, before: pd.DataFrame | None, capacity: int,
     bins, fills = found[0]
     best = sorted(range(len(bins)), key=lambda b: -fills[b])[:ELITE]
     elite = [[sizes[i] for i in bins[b]] for b in best]
-    row = (int(key[0]), [_assigned(p, len(sizes)) for p in found], elite, len(bins), -(-sum(sizes) // capacity))
+    row = (int(key[0]), [_assigned(p, len(sizes)) for p in found], elite, len(bins), lower_bound(sizes, capacity))
     return pd.DataFrame([row], columns=columns)
 
 
@@ -233,13 +292,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     pieces = pieces.withColumn("island", F.pmod("slot", F.lit(islands)))
     items = pieces.where(F.col("length") < capacity).select("island", "slot", "length")
     state = written(items.groupBy("island").applyInPandas(lambda key, rows: _epoch(key, rows, None, capacity, 0), STATE), "islands")
-    for epoch in range(1, EPOCHS):
-        todo = state.where("bins > bound")
-        if not todo.limit(1).count():
+    epoch, fewest = 0, None
+    while True:
+        found = state.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
+        if not found["bins"] or found["bins"] == found["bound"] or found["bins"] == fewest:
             break
+        fewest, todo = found["bins"], state.where("bins > bound")
         guests = state.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guests"))
         mine = todo.select("island", "population").join(guests, "island")
         both = items.join(todo.select("island"), "island", "left_semi").groupBy("island").cogroup(mine.groupBy("island"))
+        epoch += 1
         later = both.applyInPandas(_later(capacity, epoch), STATE)
         state = written(later.unionByName(state.where("bins <= bound")), "islands")
 
