@@ -239,6 +239,27 @@ def test_re_pair_random_access():
             assert np.array_equal(shard.decode(k, a, b), want[a:b])
 
 
+def test_re_pair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    for k in range(12):
+        parts = [rng.zipf(1.3, 3000).clip(1, 40), np.repeat(rng.integers(1, 5, 300), rng.integers(1, 30, 300)), rng.integers(1, 4, int(rng.integers(1, 2000)))]
+        symbols = np.concatenate(parts[k % 3 :]).astype(np.uint32)
+        last = rng.random(len(symbols)) < 0.02
+        last[-1] = True
+        packed, ends, rules = token_files.re_pair(symbols, last, 1000)
+        assert np.array_equal(token_files.expand(packed, rules, 1000), symbols)
+        sizes = token_files.Shard(0, 0, [], 1000, rules, token_files.expansion_lengths(rules, 1000), np.zeros(1), packed).sizes(packed)
+        assert np.array_equal(np.cumsum(sizes)[ends] - 1, np.flatnonzero(last))
+        counts, i = Counter(), 0
+        while i < len(packed) - 1:  # occurrences that do not overlap themselves
+            pair = int(packed[i]), int(packed[i + 1])
+            if not ends[i]:
+                counts[pair] += 1
+            i += 2 if i + 2 < len(packed) and pair[0] == pair[1] == packed[i + 2] and not ends[i] and not ends[i + 1] else 1
+        assert max(counts.values(), default=0) < token_files.LEAST
+        assert np.all(np.bincount(np.concatenate([packed, rules.ravel()]), minlength=1000 + len(rules))[1000:] >= 1)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "one\\"), (1, 2, "assistant", "[NEXT]\n<s>"), (2, None, None, None), (2, 0, "tool[TEXT]", "\\[\\INST]<<SYS>>"), (2, 0, "system", "<</SYS>>"), (None, 0, "assistant", "x")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -1,7 +1,8 @@
 """Token-id files compressed by Re-Pair, with random access.
 
-A shard holds the ids of consecutive documents. Rounds of Re-Pair replace its most frequent pairs of
-neighbouring symbols by nonterminals; no pair spans two documents. The file stores the rules, each
+A shard holds the ids of consecutive documents. Re-Pair replaces its most frequent pairs of
+neighbouring symbols by nonterminals until no pair is left that occurs often enough to gain a byte; no pair spans two
+documents. The file stores the rules, each
 nonterminal's expansion length and the symbols of each document, so any range of a document is decoded from the
 symbols that cover it.
 """
@@ -27,77 +28,107 @@ from .textbatch import slices
 END = 2
 #: Stretches that a worker keeps the ids of.
 CACHE = 700_000
-#: Ids from which a shard is closed, rounds, rules of a round, occurrences that a rule needs, gain below which rounds end.
-SHARD_IDS, ROUNDS, RULES, LEAST, GAIN = 1 << 20, 3, 8192, 16, 0.02
+#: Ids from which a shard is closed, and occurrences that a rule needs: it takes 12 bytes, an occurrence saves a symbol of up to 3.
+SHARD_IDS, LEAST = 1 << 20, 5
 MAGIC, HEADER = b"RPT1", "<4sBIQQQI"
-_BITS = 18
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def frequent_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur LEAST times, in order, and how often each does."""
+    pairs = np.sort(pairs)
+    ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], True)) if len(pairs) else np.zeros(0, np.int64)
+    counts = np.diff(ends, prepend=-1)
+    often = counts >= LEAST
+    return pairs[ends[often]], counts[often]
+
+
+def places_among(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each pair in the ordered ``known`` ones, -1 if it is none; a hash table first, a search where it collides."""
+    shift = np.uint64(64 - max(8, len(known).bit_length() + 4))
+    table = np.full(1 << (64 - int(shift)), -1, np.int32)
+    table[(known * _SPREAD >> shift).view(np.int64)] = np.arange(len(known), dtype=np.int32)
+    found = table[(pairs * _SPREAD >> shift).view(np.int64)]
+    wrong = np.flatnonzero((found >= 0) & (known[found] != pairs))
+    if len(wrong):
+        at = np.minimum(np.searchsorted(known, pairs[wrong]), len(known) - 1)
+        found[wrong] = np.where(known[at] == pairs[wrong], at, -1)
+    return found
+
+
+def _chosen(at: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """Which occurrences, given by place and their pair's rank, are replaced: those that outrank both that overlap them.
+
+    Of overlapping occurrences of one pair (a run of one symbol) every other one is taken.
+    """
+    ranks = np.zeros(n + 1, np.int64)  # of the pair that begins one place before
+    ranks[at + 1] = rank
+    left, right = ranks[at], ranks[at + 2]
+    chosen = (left < rank) & (right <= rank)
+    run = np.flatnonzero(left == rank)
+    if len(run):
+        places = at[run]
+        begins = np.flatnonzero(np.append(True, np.diff(places) != 1))
+        start = np.repeat(places[begins] - 1, np.diff(np.append(begins, len(places))))
+        offset = places - start - (ranks[start] > rank[run])  # where a better pair takes the run's first symbol, it begins one later
+        chosen[run] = (offset & 1 == 0) & (right[run] <= rank[run])
+    return chosen
 
 
 def re_pair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compressed symbols, which of them end a document, and the rules (pairs), numbered from ``base``.
 
-    Each round counts all pairs in hashed cells, takes the fullest cells' pairs and replaces their
-    occurrences from left to right at once; later rounds pair nonterminals as well.
+    Each round counts pairs exactly and replaces, of all that occur LEAST times, the occurrences that no more frequent pair overlaps;
+    rounds end when no such pair is left. After the first, only places next to a new nonterminal and those that
+    lost to an overlapping pair can hold one, so a round costs what the last one changed.
     """
     rules: list[np.ndarray] = []
     known = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 * LEAST:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        cell = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)).astype(np.intp)
-        cell[last[:-1]] = 0  # no pair spans documents; cell 0 stays unused
-        counts = np.bincount(cell, minlength=1 << _BITS)
-        counts[0] = 0
-        full = np.argpartition(counts, -RULES)[-RULES:]
-        full = full[counts[full] >= LEAST]
-        if not len(full):
-            break
-        number = np.full(1 << _BITS, -1, dtype=np.int32)
-        number[full] = np.arange(len(full), dtype=np.int32)
-        of = number[cell]
-        at = np.flatnonzero(of >= 0)
-        of = of[at]
-        pair = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        chosen = np.zeros(len(full), dtype=np.uint64)
-        chosen[of] = pair  # one pair of each cell, most likely its most frequent
-        match = pair == chosen[of]
-        often = np.bincount(of[match], minlength=len(full)) >= LEAST
-        match &= often[of]
-        at, of = at[match], of[match]
-        if not len(at):
+    open_ = np.flatnonzero(~last[:-1])  # no pair spans documents
+    while len(open_):
+        pairs = (symbols[open_].astype(np.uint64) << np.uint64(32)) | symbols[open_ + 1]
+        often, counts = frequent_pairs(pairs)
+        if not len(often):
             break
-        run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))  # of neighbouring occurrences every other one counts
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1
-        at, of = at[odd == 0], of[odd == 0]
-        used = np.flatnonzero(np.bincount(of, minlength=len(full)))
-        rule = np.zeros(len(full), dtype=np.uint32)
+        of = places_among(pairs, often)
+        at, of = open_[of >= 0], of[of >= 0]
+        rank = (counts.astype(np.int64) << 32) + np.arange(1, len(often) + 1)
+        chosen = _chosen(at, rank[of], len(symbols))
+        replaced = np.bincount(of[chosen], minlength=len(often))
+        used = np.flatnonzero(replaced >= LEAST)
+        if not len(used):  # the most frequent pair overlaps itself and occurs too rarely beside itself
+            open_ = at[of != np.argmax(rank)]
+            continue
+        chosen &= (replaced >= LEAST)[of]
+        rule = np.zeros(len(often), np.uint32)
         rule[used] = base + known + np.arange(len(used), dtype=np.uint32)
+        where = at[chosen]
         symbols, last = symbols.copy(), last.copy()
-        symbols[at] = rule[of]
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        pairs = chosen[used]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        symbols[where] = rule[of[chosen]]
+        last[where] = last[where + 1]
+        stay = np.ones(len(symbols), dtype=bool)
+        stay[where + 1] = False
+        place = np.cumsum(stay, dtype=np.int32) - 1
+        symbols, last = symbols[stay], last[stay]
+        may = np.zeros(len(symbols), dtype=bool)
+        may[place[at[~chosen]]] = True
+        may[place[where]] = True
+        may[np.maximum(place[where] - 1, 0)] = True
+        open_ = np.flatnonzero((may & ~last)[:-1])
+        rules.append(np.stack([often[used] >> np.uint64(32), often[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         known += len(used)
-        before = len(symbols)
-        symbols, last = symbols[keep], last[keep]
-        if before - len(symbols) < GAIN * before:
-            break
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each nonterminal stands for."""
     lengths = np.ones(len(rules), dtype=np.uint32)
-    for _ in range(ROUNDS):
+    while True:
         own = np.concatenate([np.ones(1, np.uint32), lengths])
         new = own[np.maximum(rules[:, 0].astype(np.int64) - base + 1, 0)] + own[np.maximum(rules[:, 1].astype(np.int64) - base + 1, 0)]
         if np.array_equal(new, lengths):
-            break
+            return lengths
         lengths = new
-    return lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
