@@ -102,3 +102,25 @@ def test_forecast_samples_stay_inside_segments(spark):
 def test_latest_event_of_each_kind(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, None)], "kind string, at int, body string")
     assert sorted(map(tuple, latest_per_kind(df, "kind", "at").collect())) == [("a", 3, "y"), ("b", 2, None)]
+
+
+def test_ranged_places_and_slices(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(k % 2, float(k * 37 % 101), k) for k in range(101)] + [(None, None, 200), (0, 5.0, 201), (0, 5.0, 202)]
+    df = spark.createDataFrame(rows, "g int, t double, id int").repartition(5)
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    assert [(r.t, r.id) for r in temporal.ranged(df, ["t", "id"], "n").orderBy("n").collect()] == [(t, i) for _, t, i in sorted(rows, key=key)]
+    within = {(r.g, r.id): r.n for r in temporal.ranged_within(df, ["g"], ["t", "id"], "n").collect()}
+    for g in (0, 1, None):
+        assert [within[g, i] for _, _, i in sorted((r for r in rows if r[0] == g), key=key)] == list(range(1, 1 + sum(r[0] == g for r in rows)))
+    import numpy as np
+
+    cuts = {r.g: (r.a, r.b) for r in temporal.exact_quantiles(df, ["g"], "t", {"a": 0.7, "b": 0.25}).collect()}
+    for g in (0, 1):
+        assert cuts[g] == pytest.approx(tuple(np.quantile([t for x, t, _ in rows if x == g], q) for q in (0.7, 0.25)))
+    full = df.where("t is not null")
+    whole = {(r.g, r.id): r.segment for r in temporal.gap_segments(full, ["g"], "t", "id", 2.5).collect()}
+    for width in (1.0, 7.0, 1000.0):
+        assert {(r.g, r.id): r.segment for r in temporal.sliced_segments(full, ["g"], "t", "id", 2.5, width).collect()} == whole
+    assert temporal.sliced_segments(full.limit(0), ["g"], "t", "id", 2.5, 7.0).count() == 0 and temporal.ranged(full.limit(0), ["t"], "n").count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

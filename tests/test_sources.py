@@ -40,7 +40,7 @@ def test_sessions(spark):
 
     rows = [p(0, "a", "b", 2, 10), p(1, "b", "a", 18, 50), p(2, "a", "b", 16, 11), p(3, "a", "b", 24, 11, 5), p(4, "a", "b", 24, 11, 5), p(5, "a", "c", 2, 7, 3), p(6, "c", "a", 4), p(7, "c", "a", 20)]
     df = spark.createDataFrame(rows, "seq long, timestamp double, src_ip string, src_port int, dst_ip string, dst_port int, protocol int, tcp_flags int, tcp_seq long, payload_length int")
-    got = {r.pair: [r[c] for c in packets.SESSION_COUNTS] for r in packets.sessions(df, 100).collect()}
+    got = {r.pair: [r[c] for c in ("tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn", "attempts", "completed")] for r in packets.sessions(df, 100).collect()}
     # A SYN with a payload counts as retransmitted; a RST with ACK answers nothing.
     assert got == {"a:1|b:2": [5, 1, 1, 1, 0, 1, 1], "a:1|c:2": [3, 1, 1, 0, 1, 1, 0]}
     assert packets.sessions(df.limit(0), 100).count() == 0

@@ -46,12 +46,14 @@ def fingerprint() -> Column:
     exfiltration = (fb > 30000) & (asymmetry > 0.75) & (size(fb, fp) > 800)
     beacon = (total <= 1200) & fp.between(1, 3) & bp.between(1, 3) & (size(total, packets) < 180)
 
-    def result(name, mismatch: Column, confidence: float) -> Column:
+    def result(name, mismatch: Column, confidence) -> Column:
         return F.struct(name.alias("profile"), mismatch.alias("mismatch"), F.lit(confidence).alias("confidence"))
 
+    off_port = ~port.isin(*SHELL_PORTS)
+    shell = result(F.lit("InteractiveShell"), off_port, F.when(off_port, 0.92).otherwise(0.85))
+
     return (
-        F.when(plain, result(F.lit("InteractiveShell"), ~port.isin(*SHELL_PORTS), 0.92))
-        .when(hidden, result(F.lit("InteractiveShell"), ~port.isin(*SHELL_PORTS), 0.85))
+        F.when(plain | hidden, shell)
         .when(recon, result(F.lit("BurstRecon"), F.lit(False), 0.90))
         .when(exfiltration, result(F.lit("BulkExfiltration"), port.isin(*QUIET_PORTS), 0.95))
         .when(beacon, result(F.lit("C2Beaconing"), ~web, 0.80))

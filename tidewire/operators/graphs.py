@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flow import internal, plausibility
+from .temporal import ranged, ranged_within
 
 
 def both_ways(edges: DataFrame, a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
@@ -15,14 +16,8 @@ def both_ways(edges: DataFrame, a: str = "src_ip", b: str = "dst_ip") -> DataFra
 
 
 def bipartite(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Edges with separate numbers for sources (from 0) and targets (after the sources), in order of their names.
-
-    Names are numbered inside prefixes of a hash-free order, so no task sorts all of them.
-    """
-    from .temporal import numbered
-
-    first = lambda c: F.coalesce(F.ascii(F.substring(c, -1, 1)), F.lit(-1))
-    ids = lambda c, n: numbered(edges.select(F.col(c).alias("name")).distinct(), first("name"), ["name"], n)
+    """Edges with separate numbers for sources (from 0) and targets (after the sources), in order of their names."""
+    ids = lambda c, n: ranged(edges.select(F.col(c).alias("name")).distinct(), ["name"], n)
     left, right = ids(a, "u"), ids(b, "i")
     n = left.agg(F.count("*").alias("sources"))
     x = edges.join(left.select(F.col("name").alias(a), (F.col("u") - 1).alias("u")), a).join(right.select(F.col("name").alias(b), (F.col("i") - 1).alias("i")), b)
@@ -36,7 +31,7 @@ def negative_targets(edges: DataFrame, capture: str, target: str, key: str, seed
     own. A capture with one target has no negatives.
     """
     place, size, pick = "target place", "target count", "target pick"
-    ranked = edges.select(capture, target).distinct().withColumn(place, F.row_number().over(Window.partitionBy(capture).orderBy(target)) - 1)
+    ranked = ranged_within(edges.select(capture, target).distinct(), [capture], [target], place).withColumn(place, F.col(place) - 1)
     sizes = ranked.groupBy(capture).agg(F.count("*").alias(size))
     own = edges.join(ranked, [capture, target]).join(sizes, capture).where(F.col(size) > 1)
     drawn = F.pmod(F.col(key) * 2654435761 + seed, F.col(size) - 1)
@@ -64,7 +59,9 @@ def edge_scores(alerts: DataFrame, talks: DataFrame, horizon: float, least: floa
     early = alerts.select(c("host").alias("a"), c("event_id").alias("u"), c("t").alias("tu"), c("category").alias("cu"), c("forecast").alias("fu"), bucket.alias("bucket"))
     late = alerts.select(c("host").alias("b"), c("event_id").alias("v"), c("t").alias("tv"), c("category").alias("cv"), c("forecast").alias("fv"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
     dt = c("tv") - c("tu")
-    joined = early.join(pairs, "a").join(late, ["b", "bucket"]).where(((dt > 0) | ((dt == 0) & (c("u") < c("v")))) & (dt <= horizon) & ~((c("cu") == "Benign") & (c("cv") == "Benign")))
+    # Hosts meet in buckets where both have alerts before the alerts themselves do.
+    met = early.select("a", "bucket").distinct().join(pairs, "a").join(late.select("b", "bucket").distinct(), ["b", "bucket"])
+    joined = early.join(met, ["a", "bucket"]).join(late, ["b", "bucket"]).where(((dt > 0) | ((dt == 0) & (c("u") < c("v")))) & (dt <= horizon) & ~((c("cu") == "Benign") & (c("cv") == "Benign")))
     seen = F.when(c("fu") & c("fv"), 0.5).when(c("fu") | c("fv"), 0.75).otherwise(1.0)
     return joined.select("u", "v", (plausibility(c("cu"), c("cv")) * (1 - dt / horizon) * c("place") * seen).alias("score")).where(c("score") >= least)
 

@@ -22,11 +22,13 @@ def window_attributes(flows: DataFrame, width: float, window: str = "window") ->
     """Fifteen attributes of each host in each window of a flow table that has a window column."""
     src, total = F.col("is_src"), F.sum(F.col("fwd_bytes") + F.col("bwd_bytes"))
     own = lambda a, b: F.sum(F.when(src, F.col(a)).otherwise(F.col(b)))
-    sums = incidence(flows).groupBy("host", window).agg(
+    # First by peer and port: the distinct counts then expand a table of pairs and not the flows.
+    pairs = incidence(flows).groupBy("host", window, "peer", "dst_port").agg(
         F.count("*").alias("n"), own("fwd_bytes", "bwd_bytes").alias("sent"), own("bwd_bytes", "fwd_bytes").alias("received"), own("fwd_packets", "bwd_packets").alias("psent"), own("bwd_packets", "fwd_packets").alias("preceived"),
-        total.alias("bytes"), F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets"), F.count_distinct("peer").alias("peers"), F.count_distinct("dst_port").alias("ports"),
-        F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"), F.sum(duration()).alias("seconds"),
+        total.alias("bytes"), F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets"), F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"), F.sum(duration()).alias("seconds"),
     )
+    added = ("n", "sent", "received", "psent", "preceived", "bytes", "packets", "tcp", "udp", "seconds")
+    sums = pairs.groupBy("host", window).agg(*[F.sum(x).alias(x) for x in added], F.count_distinct("peer").alias("peers"), F.count_distinct("dst_port").alias("ports"))
     c, one, span = F.col, F.lit(1.0), max(1.0, width)
     return sums.select(
         "host", window, scaled_log(c("n"), 10).alias("flows"), scaled_log(c("sent"), 20).alias("sent"), scaled_log(c("received"), 20).alias("received"), scaled_log(c("bytes"), 20).alias("bytes"),

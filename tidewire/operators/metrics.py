@@ -138,10 +138,10 @@ def label_sets(calibration: DataFrame, test: DataFrame, alpha: float) -> DataFra
     """
     own = F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p"))
     counts = calibration.groupBy("y", own.alias("r")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("y").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    upto = running_totals(counts.where("y = 1"), "r", ["c"]).unionByName(running_totals(counts.where("y = 0"), "r", ["c"]))
     n = calibration.groupBy("y").agg(F.count("*").alias("n"))
     k = F.ceil((F.col("n") + 1) * (1 - alpha))
-    cut = counts.select("y", "r", F.sum("c").over(w).alias("upto")).join(F.broadcast(n), "y").groupBy("y").agg(F.min(F.when(F.col("upto") >= k, F.col("r"))).alias("q"))
+    cut = upto.select("y", "r", F.col("upto_c").alias("upto")).join(F.broadcast(n), "y").groupBy("y").agg(F.min(F.when(F.col("upto") >= k, F.col("r"))).alias("q"))
     cuts = cut.agg(F.max(F.when(F.col("y") == 1, F.col("q"))).alias("q1"), F.max(F.when(F.col("y") == 0, F.col("q"))).alias("q0"))
     one, nought = F.coalesce(1 - F.col("p") <= F.col("q1"), F.lit(True)), F.coalesce(F.col("p") <= F.col("q0"), F.lit(True))
     sets = test.crossJoin(F.broadcast(cuts)).select("y", one.alias("one"), nought.alias("nought"))

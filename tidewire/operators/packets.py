@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,66 +133,41 @@ def packet_statistics(packets: DataFrame, width: float) -> DataFrame:
     return filled.withColumn("pause_cv", c("pause_std") / (c("pause_mean") + 1e-7))
 
 
-SESSION_COUNTS = ("tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn", "attempts", "completed")
-
-
-def _handshakes(rows: pd.DataFrame) -> list[int]:
-    """Counts of one source host's session group, in arrival order."""
-    n = dict.fromkeys(SESSION_COUNTS, 0)
-    live: dict[tuple, dict] = {}
-    for a, ap, b, bp, bits, seq, size in zip(rows.src_ip, rows.src_port, rows.dst_ip, rows.dst_port, rows.tcp_flags, rows.tcp_seq, rows.payload_length):
-        own, back = (a, ap, b, bp), (b, bp, a, ap)
-        syn, ack, rst = bits & 2, bits & 16, bits & 4
-        n["tcp"] += 1
-        if syn and not ack:
-            n["syn"] += 1
-            n["attempts"] += 1
-            live[own] = {"top": seq + size, "syn": True, "answered": False, "done": False}
-        elif syn:
-            n["syn_ack"] += 1
-            if back in live:
-                live[back]["answered"] = True
-        elif ack:
-            mine = live.get(own)
-            if mine and mine["syn"] and mine["answered"] and not mine["done"]:
-                mine["done"] = True
-                n["completed"] += 1
-        elif rst and live.get(back, {}).get("syn") and not live[back]["answered"]:
-            n["rst_after_syn"] += 1
-        mine = live.get(own)
-        if mine is None:
-            live[own] = {"top": seq + size, "syn": bool(syn), "answered": False, "done": False}
-        elif size > 0 and seq < mine["top"]:
-            n["retransmitted"] += 1
-        else:
-            mine["top"] = max(mine["top"], seq + size)
-    return list(n.values())
-
-
 def sessions(packets: DataFrame, width: float) -> DataFrame:
     """TCP progress of each pair of ends in each window: retransmissions, handshakes, resets.
 
-    A pair of ends in a window is a small group; arrival order inside it is by time, then ``seq``.
+    Inside a window packets go by time, then ``seq``. A SYN without ACK opens a session of its direction. The session
+    is answered by the next SYN with ACK from the other side, and completed by the first plain ACK of its own
+    side after that; a reset from the other side counts while it is not answered. A packet with a payload is a
+    retransmission if its direction has sent a byte beyond its first one since the session was opened, or if it opens one.
+    Everything comes from windows over (window, pair), which Spark sorts and may spill.
     """
-    tcp = windowed(packets.where("protocol = 6"), width)
+    c = F.col
     a, b = F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")
-    keyed = tcp.select("window", F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("pair"), "timestamp", "seq", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_flags", "tcp_seq", "payload_length")
-
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Partitions arrive sorted by group, so a group may span batches: its tail waits for the next batch.
-        held = None
-        for batch in groups:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (batch["window"] == batch["window"].iat[-1]) & (batch["pair"] == batch["pair"].iat[-1])
-            held, ready = batch[last], batch[~last]
-            if len(ready):
-                yield counted(ready)
-        if held is not None and len(held):
-            yield counted(held)
-
-    def counted(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(w, p, *_handshakes(g)) for (w, p), g in rows.groupby(["window", "pair"], sort=False)]
-        return pd.DataFrame(out, columns=["window", "pair", *SESSION_COUNTS])
-
-    ordered = keyed.repartition("window", "pair").sortWithinPartitions("window", "pair", "timestamp", "seq")
-    return ordered.mapInPandas(run, "window long, pair string, " + ", ".join(f"{c} long" for c in SESSION_COUNTS))
+    flag = lambda bit: c("tcp_flags").bitwiseAND(bit) > 0
+    tcp = windowed(packets.where("protocol = 6"), width).select(
+        "window", F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("pair"), (a <= b).alias("forth"), "timestamp", "seq", flag(2).alias("s"), flag(16).alias("a"), flag(4).alias("r"),
+        F.coalesce("tcp_seq", F.lit(0)).alias("first"), F.coalesce("payload_length", F.lit(0)).alias("size"),
+    )
+    order = Window.partitionBy("window", "pair").orderBy("timestamp", "seq")
+    seen = order.rowsBetween(Window.unboundedPreceding, 0)
+    opens, answers = c("s") & ~c("a"), c("s") & c("a")
+    rows = tcp.withColumn("at", F.row_number().over(order))
+    for way, own in (("forth", c("forth")), ("back", ~c("forth"))):
+        # When this direction opened its latest session, how many it opened, and when the other side last answered.
+        rows = rows.withColumn(f"{way} opened", F.max(F.when(opens & own, c("at"))).over(seen)).withColumn(f"{way} n", F.count(F.when(opens & own, 1)).over(seen)).withColumn(f"{way} answered", F.max(F.when(answers & ~own, c("at"))).over(seen))
+    by_way = lambda name, own: F.when(c("forth") == own, c(f"forth {name}")).otherwise(c(f"back {name}"))
+    opened, number, answered = (by_way(x, True) for x in ("opened", "n", "answered"))
+    completes = c("a") & ~c("s") & (answered > opened)
+    other_opened, other_answered = by_way("opened", False), by_way("answered", False)
+    resets = c("r") & ~c("s") & ~c("a") & other_opened.isNotNull() & ~F.coalesce(other_answered > other_opened, F.lit(False))
+    sent = Window.partitionBy("window", "pair", "forth", "session").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.select("window", "pair", "forth", "timestamp", "seq", "first", "size", opens.alias("opens"), answers.alias("answers"), number.alias("session"), completes.alias("completes"), resets.alias("resets"))
+    repeats = (c("size") > 0) & (c("opens") | F.coalesce(c("first") < F.max(c("first") + c("size")).over(sent), F.lit(False)))
+    n = lambda x: F.count_if(x)
+    by_session = marked.withColumn("repeats", repeats).groupBy("window", "pair", "forth", "session").agg(
+        F.count("*").alias("tcp"), n("repeats").alias("retransmitted"), n("opens").alias("syn"), n("answers").alias("syn_ack"), n("resets").alias("rst_after_syn"), F.max(c("completes").cast("int")).alias("completed")
+    )
+    return by_session.groupBy("window", "pair").agg(
+        *[F.sum(x).cast("long").alias(x) for x in ("tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn")], F.sum("syn").cast("long").alias("attempts"), F.sum(F.coalesce("completed", F.lit(0))).cast("long").alias("completed")
+    )

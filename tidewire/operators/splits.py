@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import numbered
+from .temporal import ranged
 
 SPLITS = ("train", "validation", "calibration", "test")
 
@@ -35,7 +35,7 @@ def chronological_groups(df: DataFrame, group: str, t: str, shares: tuple[float,
 
 def rotated(groups: DataFrame, value: str, tie: str) -> DataFrame:
     """Groups in order of ``value``, dealt in turn: four to train, one to validation, one to test."""
-    placed = numbered(groups, F.floor(F.col(value) * 64).cast("int"), [value, tie], "place")
+    placed = ranged(groups, [value, tie], "place")
     k = (F.col("place") - 1) % 6
     return placed.withColumn("split", F.when(k < 4, "train").when(k == 4, "validation").otherwise("test")).drop("place")
 

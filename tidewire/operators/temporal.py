@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common.store import written
+
 
 def on_grid(df: DataFrame, t: str, width: float, name: str = "window") -> DataFrame:
     """``df`` with the number of its window on a grid anchored at the first row; the anchor is one broadcast row."""
@@ -76,3 +78,58 @@ def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> Data
     before = counts.select(F.col(b).alias("other bucket"), (F.sum("rows").over(Window.orderBy(b)) - F.col("rows")).alias("rows before"))
     inside = placed.withColumn(own, F.row_number().over(Window.partitionBy(b).orderBy(*order)))
     return inside.join(before, F.col(b).eqNullSafe(F.col("other bucket"))).withColumn(name, F.coalesce("rows before", F.lit(0)) + F.col(own)).drop(b, own, "other bucket", "rows before")
+
+
+def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 in the whole order of any columns, without one task that sorts it all.
+
+    The table is range-partitioned, sorted in its partitions and written once, so that places are final; the partitions' counts
+    say how many rows precede each.
+    """
+    part, own, rows = "ranged part", "ranged place", "ranged rows"
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(sorted_.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(own)), "ranged")
+    counts = placed.groupBy(part).agg(F.count("*").alias(rows))
+    before = counts.select(part, (F.sum(rows).over(Window.orderBy(part)) - F.col(rows)).alias(rows))  # a row a partition
+    return placed.join(F.broadcast(before), part).withColumn(name, F.col(rows) + F.col(own) + 1).drop(part, own, rows)
+
+
+def ranged_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 among the rows of its key, also where few keys hold all rows."""
+    placed = ranged(df, [*keys, *order], name)
+    firsts = placed.groupBy(*[F.col(k).alias(f"{k} of first") for k in keys]).agg(F.min(name).alias("first place"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k} of first"))
+    return placed.join(firsts, same).select(*df.columns, (F.col(name) - F.col("first place") + 1).alias(name))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles by linear interpolation between order statistics, one row per key; null values do not count."""
+    placed = ranged_within(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value], "place")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("size"))
+    at = {name: (F.col("size") - 1) * share + 1 for name, share in shares.items()}
+    wanted = placed.join(F.broadcast(sizes), keys)
+    near = F.lit(False)
+    for x in at.values():
+        near = near | F.col("place").isin(F.floor(x), F.ceil(x))
+    # Each order statistic counts by how near its place is.
+    return wanted.where(near).groupBy(*keys).agg(*[F.sum(F.when(F.abs(F.col("place") - x) < 1, F.col(value) * (1 - F.abs(F.col("place") - x)))).alias(name) for name, x in at.items()])
+
+
+def sliced_segments(df: DataFrame, keys: list[str], t: str, tie: str, gap: float, width: float, name: str = "segment") -> DataFrame:
+    """What :func:`gap_segments` gives, for keys that hold a large share of all rows.
+
+    Time is cut into slices; windows run inside a key's slice, and what a slice has to know of the earlier ones (their last time, how
+    many segments began) comes from one row a slice.
+    """
+    cut, begins = "slice", "segment begins"
+    sliced = df.withColumn(cut, F.floor(F.col(t) / width))
+    over = Window.partitionBy(*keys).orderBy(cut)
+    lasts = sliced.groupBy(*keys, cut).agg(F.max(t).alias("slice last")).withColumn("slice before", F.lag("slice last").over(over)).drop("slice last")
+    inside = Window.partitionBy(*keys, cut).orderBy(t, tie)
+    pause = F.col(t) - F.coalesce(F.lag(t).over(inside), F.col("slice before"))
+    marked = sliced.join(lasts, [*keys, cut]).withColumn(begins, F.coalesce(pause > gap, F.lit(True)).cast("int"))
+    counts = marked.groupBy(*keys, cut).agg(F.sum(begins).alias("slice begins")).withColumn("begun before", F.sum("slice begins").over(over) - F.col("slice begins")).drop("slice begins")
+    running = F.sum(begins).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn(name, running).join(counts, [*keys, cut]).withColumn(name, (F.col(name) + F.col("begun before")).cast("long")).select(*df.columns, name)

@@ -11,6 +11,8 @@ from ..contract import SEVERITY, STAGES
 
 #: Window of flows (30 days), of alerts (an hour), horizon of alert pairs (a day), pause that ends a segment.
 FLOW_WINDOW, HOUR, HORIZON, PAUSE = 2_592_000, 3600, 86_400, 3 * 3600
+#: Seconds that move the flows of the test tables to where their times are valid.
+LATER = 604_800_000
 
 FLOWS = """flows as (select cast(l_orderkey*8+l_linenumber as bigint) seq,
   concat('10.0.',cast(l_suppkey // 250 as varchar),'.',cast(l_suppkey%250+1 as varchar)) src_ip,

@@ -68,7 +68,12 @@ def a03_packet_statistics(s, d):
     return rounded(P.packet_statistics(packets(s, d), WEEK), 4)
 
 
-@query(f"""with {PACKETS} select protocol, count(*) n, count_if(tcp_flags & 2 > 0 and tcp_flags & 16 = 0) syn, count_if(tcp_flags & 2 > 0 and tcp_flags & 16 > 0) syn_ack from packets where protocol=6 group by protocol""")
+@query(f"""with {PACKETS}, t as (select w, seq, "timestamp" ts, concat(src_ip,':',src_port) a, concat(dst_ip,':',dst_port) b, tcp_flags & 2 > 0 s, tcp_flags & 16 > 0 k, tcp_flags & 4 > 0 r, tcp_seq q, payload_length n from packets where protocol=6),
+ o as (select *, row_number() over (partition by w, least(a,b), greatest(a,b) order by ts, seq) i from t),
+ e as (select x.*, (select max(y.i) from o y where y.w=x.w and y.a=x.a and y.b=x.b and y.s and not y.k and y.i<=x.i) own, (select max(y.i) from o y where y.w=x.w and y.a=x.b and y.b=x.a and y.s and not y.k and y.i<=x.i) other,
+   (select max(y.i) from o y where y.w=x.w and y.a=x.b and y.b=x.a and y.s and y.k and y.i<=x.i) answer, (select max(y.i) from o y where y.w=x.w and y.a=x.a and y.b=x.b and y.s and y.k and y.i<=x.i) answer_other from o x),
+ f as (select *, n>0 and ((s and not k) or coalesce(q < (select max(z.q+z.n) from e z where z.w=e.w and z.a=e.a and z.b=e.b and z.i<e.i and z.own is not distinct from e.own), false)) again from e)
+ select w "window", concat(least(a,b),'|',greatest(a,b)) pair, count(*) tcp, count_if(again) retransmitted, count_if(s and not k) syn, count_if(s and k) syn_ack, count_if(r and not s and not k and other is not null and not coalesce(answer_other>other,false)) rst_after_syn,
+  count_if(s and not k) attempts, count(distinct case when k and not s and answer>own then concat(a,'/',own) end) completed from f group by all""")
 def a03_sessions(s, d):
-    """Totals of the session counts that do not depend on order; the rest is tested against small cases."""
-    return P.sessions(packets(s, d), WEEK).agg(F.sum("tcp").alias("n"), F.sum("syn").alias("syn"), F.sum("syn_ack").alias("syn_ack")).select(F.lit(6).alias("protocol"), "n", "syn", "syn_ack")
+    return P.sessions(packets(s, d), WEEK)

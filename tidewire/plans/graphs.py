@@ -20,7 +20,7 @@ def g01_interaction_graph(s, d):
     return G.both_ways(flows(s, d)).groupBy("node").agg(F.count("*").alias("degree"), F.count_distinct("peer").alias("peers"))
 
 
-@query(f"""with {FLOWS}, l as (select src_ip, row_number() over (order by ascii(right(src_ip,1)), src_ip)-1 u from (select distinct src_ip from flows)), r as (select dst_ip, row_number() over (order by ascii(right(dst_ip,1)), dst_ip)-1+(select count(*) from l) i from (select distinct dst_ip from flows)) select seq, u, i from flows join l using (src_ip) join r using (dst_ip)""")
+@query(f"""with {FLOWS}, l as (select src_ip, row_number() over (order by src_ip)-1 u from (select distinct src_ip from flows)), r as (select dst_ip, row_number() over (order by dst_ip)-1+(select count(*) from l) i from (select distinct dst_ip from flows)) select seq, u, i from flows join l using (src_ip) join r using (dst_ip)""")
 def g02_bipartite_ids(s, d):
     return G.bipartite(flows(s, d).select("seq", "src_ip", "dst_ip"), "src_ip", "dst_ip").select("seq", "u", "i")
 

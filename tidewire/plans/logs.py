@@ -9,10 +9,9 @@ from ..functions import labels as L
 from ..operators import hosts as H
 from ..sources import flow_files as R
 from ..sources.tables import flows, series
-from .base import FLOWS, SERIES, query, rounded
+from .base import FLOWS, LATER, SERIES, query, rounded
 
 #: Seven thousand days: the flows of the test tables are of the nineties, which the row guards refuse.
-LATER = 604_800_000
 RAW = ("BENIGN", "DoS Hulk", "PortScan", "FTP-Patator", "flow=From-Botnet-V42-TCP", "flow=Background-UDP", "Bot", "Infiltration", "Heartbleed", "Web Attack – Brute  Force", "mystery", "Normal")
 
 
@@ -147,13 +146,15 @@ def f13_tokens_and_lanes(s, d):
     return k.select("category", L.token_of(L.token_id(token)).alias("token"), L.token_id(token).alias("token_id"), L.lane(token).alias("lane"), L.lane_rank(L.lane(token)).alias("lane_rank"), L.level(F.col("category")).alias("level"))
 
 
-@query(f"""with {FLOWS}, a as (select floor(start_time/86400)*86400+{LATER}+seq*37%86400 t from flows), c as (select year(to_timestamp(t)) y, t-cast(floor(t/43200) as bigint)%2*43200 t from a where cast(floor(t/3600) as bigint)%24 not in (0,12)), h as (select y, cast(floor(t/3600) as bigint)%24 h from c), n as (select y, count(*)>=500 dial from c group by y)
+@query(f"""with {FLOWS}, a as (select floor(start_time/86400)*86400+{LATER}+seq*37%86400 t from flows), h as (select year(to_timestamp(t)) y, case cast(floor(t/3600) as bigint)%12 when 0 then 12 else cast(floor(t/3600) as bigint)%12 end h from a), n as (select y, count(*)>=500 and count_if(h between 1 and 7)>0 and count_if(h between 8 and 12)>0 dial from h group by y)
  select y::int "day", (case when dial and h between 1 and 7 then h+12 else h end) "hour", count(*) n from h join n using (y) group by all""")
 def p07_clock_repair(s, d):
-    """Times set to a twelve-hour clock a year, then put right."""
+    """Times set to a twelve-hour dial a year (midnight and noon read 12), then put right."""
     t = F.col("t")
-    rows = flows(s, d).select((F.floor(F.col("start_time") / 86400) * 86400 + LATER + F.col("seq") * 37 % 86400).cast("double").alias("t")).where(~(F.floor(t / 3600) % 24).isin(0, 12))
-    rows = rows.select(F.year(F.timestamp_seconds(t)).alias("day"), (t - F.floor(t / 43200) % 2 * 43200).alias("t"))
+    rows = flows(s, d).select((F.floor(F.col("start_time") / 86400) * 86400 + LATER + F.col("seq") * 37 % 86400).cast("double").alias("t"))
+    hour = F.floor(t / 3600) % 24
+    dial = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
+    rows = rows.select(F.year(F.timestamp_seconds(t)).alias("day"), (t + (dial - hour) * 3600).alias("t"))
     return R.clock_repair(rows, "t", "day").groupBy("day", (F.floor(t / 3600) % 24).alias("hour")).agg(F.count("*").alias("n"))
 
 

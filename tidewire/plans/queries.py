@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import temporal as T
 from ..sources.tables import flows, scores, series, table
 from ..streaming.windows import incidents, windowed_totals
-from .base import EDGES, FLOW_WINDOW, FLOWS, GRID, HORIZON, HOUR, LEAST_RATE, PAUSE, PRIVATE, SCORES, SERIES, SEV, query, rounded
+from .base import EDGES, FLOW_WINDOW, FLOWS, GRID, HORIZON, HOUR, LATER, LEAST_RATE, PAUSE, PRIVATE, SCORES, SERIES, SEV, query, rounded
 
 
 def _windowed(s, d):
@@ -30,7 +30,7 @@ def f02_edge_features(s, d):
   when dur<=0.5 and fwd_packets+bwd_packets<=3 and bwd_packets<=1 then 3 when fwd_bytes>30000 and (fwd_bytes-bwd_bytes)/(tot+1e-5)>0.75 and sf>800 then 4
   when tot<=1200 and fwd_packets between 1 and 3 and bwd_packets between 1 and 3 and tot/(fwd_packets+bwd_packets)<180 then 5 when web then 6 else 7 end k from q)
  select seq, ['InteractiveShell','InteractiveShell','BurstRecon','BulkExfiltration','C2Beaconing','BenignWeb','Unknown'][k] profile,
-  case when k in (1,2) then dst_port not in (22,23) when k=4 then dst_port in (53,22,23) when k=5 then not web else false end mismatch, [0.92,0.85,0.9,0.95,0.8,0.7,0.7][k]::double confidence from k""")
+  case when k in (1,2) then dst_port not in (22,23) when k=4 then dst_port in (53,22,23) when k=5 then not web else false end mismatch, (case when k in (1,2) then case when dst_port in (22,23) then 0.85 else 0.92 end else [0,0,0.9,0.95,0.8,0.7,0.7][k] end)::double confidence from k""")
 def f07_fingerprint(s, d):
     return flows(s, d).select("seq", X.fingerprint().alias("x")).select("seq", "x.*")
 
@@ -49,12 +49,19 @@ def f32_vector_distances(s, d):
     return rounded(e.join(b, "vec_id").select("vec_id", (ab / F.sqrt(aa * bb)).alias("cosine"), ((aa + bb - 2 * ab) / F.size("embedding")).alias("mse")), 5)
 
 
-@query(f"""with {FLOWS}, g as (select start_time is null or start_time<1262304000 or start_time>1893456000 bad_time, protocol=0 and dst_port=0 offload, lower(trim(src_ip)) in ('nan','','none','0') blank from flows)
+@query(f"""with {FLOWS}, r as (select case when seq%97=0 then null when seq%89=0 then -1 when seq%83=0 then 1e12 else start_time+{LATER} end t, case when seq%79=0 then 0 else protocol end pr, case when seq%79=0 or seq%73=0 then 0 else dst_port end po, case when seq%71=0 then 'NaN ' when seq%67=0 then '' when seq%61=0 then 'None' when seq%59=0 then '0' else src_ip end ip from flows),
+ g as (select t is null or t<1262304000 or t>1893456000 bad_time, pr=0 and po=0 offload, lower(trim(ip)) in ('nan','','none','0') blank from r)
  select count(*) n, count_if(bad_time) bad_time, count_if(offload) offload, count_if(blank) blank, count_if(not (bad_time or offload or blank)) kept from g""")
 def p04_row_guards(s, d):
+    """P01 to P04, with bad rows of every kind put among the flows."""
+    each = lambda n: F.col("seq") % n == 0
+    rows = flows(s, d).select(
+        F.when(each(97), F.lit(None)).when(each(89), -1.0).when(each(83), 1e12).otherwise(F.col("start_time") + LATER).alias("start_time"), F.when(each(79), 0).otherwise(F.col("protocol")).alias("protocol"),
+        F.when(each(79) | each(73), 0).otherwise(F.col("dst_port")).alias("dst_port"), F.when(each(71), "NaN ").when(each(67), "").when(each(61), "None").when(each(59), "0").otherwise(F.col("src_ip")).alias("src_ip"),
+    )
     bad, offload = X.invalid_time(F.col("start_time")), (F.col("protocol") == 0) & (F.col("dst_port") == 0)
     blank = F.lower(F.trim("src_ip")).isin("nan", "", "none", "0")
-    return flows(s, d).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad_time"), F.count_if(offload).alias("offload"), F.count_if(blank).alias("blank"), F.count_if(~(bad | offload | blank)).alias("kept"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad_time"), F.count_if(offload).alias("offload"), F.count_if(blank).alias("blank"), F.count_if(~(bad | offload | blank)).alias("kept"))
 
 
 @query(f"""with {FLOWS}, g as (select *, {PRIVATE.format("src_ip")} a, {PRIVATE.format("dst_ip")} b from flows)
@@ -91,7 +98,7 @@ def w04_gap_segments(s, d):
 @query(f"""with {SERIES}, a as (select * from series where category<>'Benign'), p as (select *, t-lag(t) over (partition by category order by t,event_id) gap from a), r as (select *, sum(case when gap is null or gap>300 then 1 else 0 end) over (partition by category order by t,event_id rows unbounded preceding) seg from p)
  select category, cast(seg as bigint) run, min(t) "start", max(t) "end", count(*) n from r group by category, seg""")
 def w05_attack_intervals(s, d):
-    df = T.gap_segments(series(s, d).where("category <> 'Benign'"), ["category"], "t", "event_id", 300, "run")
+    df = T.sliced_segments(series(s, d).where("category <> 'Benign'"), ["category"], "t", "event_id", 300, 86_400, "run")
     return df.groupBy("category", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
 
 
@@ -181,7 +188,7 @@ def l02_most_recent_flows(s, d):
 @query(f"""with {FLOWS}, q as (select protocol, quantile_cont(start_time,0.7) a, quantile_cont(start_time,0.85) b from flows group by protocol) select protocol, case when start_time>b then 'test' when start_time>a then 'val' else 'train' end split, count(*) n from flows join q using (protocol) group by all""")
 def g05_chronological_split(s, d):
     f = flows(s, d)
-    cuts = f.groupBy("protocol").agg(F.percentile("start_time", F.lit(0.7)).alias("a"), F.percentile("start_time", F.lit(0.85)).alias("b"))
+    cuts = T.exact_quantiles(f, ["protocol"], "start_time", {"a": 0.7, "b": 0.85})
     split = F.when(F.col("start_time") > F.col("b"), "test").when(F.col("start_time") > F.col("a"), "val").otherwise("train")
     return f.join(F.broadcast(cuts), "protocol").groupBy("protocol", split.alias("split")).agg(F.count("*").alias("n"))
 
