@@ -79,20 +79,20 @@ def per_class(rows: DataFrame, y: str = "y", guess: str = "guess") -> DataFrame:
     return sums.select(F.col("c").alias("class"), "support", _div(F.col("hit"), F.col("guessed")).alias("precision"), _div(F.col("hit"), F.col("support")).alias("recall"), _div(2 * F.col("hit"), F.col("guessed") + F.col("support")).alias("f1"))
 
 
-def running_totals(df: DataFrame, by: str, sums: list[str], descending: bool = False, slices: int = 4096) -> DataFrame:
-    """``df`` (one row per value of ``by``, from 0 to 1) with ``upto_<sum>``: totals of the rows up to and with this one.
+def running_totals(df: DataFrame, by: str, sums: list[str], descending: bool = False, slices: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` (one row per key and value of ``by``, from 0 to 1) with ``upto_<sum>``: totals of the key's rows up to and with this one.
 
     Values fall into slices of equal width; a window runs inside each slice, and one over the at most ``slices`` + 1
-    totals of the slices carries them on, so no task orders all values.
+    totals of a key's slices carries them on, so no task orders all values.
     """
     order = F.desc if descending else F.asc
     sliced = df.withColumn("slice", F.floor(F.col(by) * slices).cast("int"))
-    totals = sliced.groupBy("slice").agg(*[F.sum(c).alias(c) for c in sums])
-    over = Window.orderBy(order("slice"))
-    carried = totals.select("slice", *[(F.sum(c).over(over) - F.col(c)).alias(f"before {c}") for c in sums])
-    inside = Window.partitionBy("slice").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = sliced.groupBy(*keys, "slice").agg(*[F.sum(c).alias(c) for c in sums])
+    over = Window.partitionBy(*keys).orderBy(order("slice"))
+    carried = totals.select(*keys, "slice", *[(F.sum(c).over(over) - F.col(c)).alias(f"before {c}") for c in sums])
+    inside = Window.partitionBy(*keys, "slice").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
     summed = sliced.select("*", *[F.sum(c).over(inside).alias(f"upto_{c}") for c in sums])
-    joined = summed.join(F.broadcast(carried), "slice")
+    joined = summed.join(F.broadcast(carried) if not keys else carried, [*keys, "slice"])
     return joined.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"before {c}")).alias(f"upto_{c}") for c in sums])
 
 
