@@ -92,3 +92,14 @@ def first_containing(points: DataFrame, spans: DataFrame, t: str, width: float)
     inside = (at(F.col(t)) == F.col("span bucket")) & (F.col(t) >= F.col("start")) & (F.col(t) <= F.col("end"))
     found = points.join(spread, inside, "left")
     return found.groupBy(*points.columns).agg(F.min(F.struct("start", "span"))["span"].alias("span"))
+
+
+def site_profile(given: dict) -> dict:
+    """A site's settings: address blocks, assets, times to live, with what was not given set to its default; unknown keys are refused."""
+    default = {"inside": ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"], "assets": [], "node_ttl": 120.0, "edge_ttl": 60.0, "max_nodes": 500}
+    if unknown := set(given) - set(default):
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    out = default | given
+    for block in out["inside"]:
+        _block(block)
+    return out

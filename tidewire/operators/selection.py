@@ -147,7 +147,7 @@ def focus(flows: DataFrame, targets: DataFrame, order: list[str], peers: int = 1
     peer = F.when(F.col("src_ip") == F.col("target"), F.col("dst_ip")).otherwise(F.col("src_ip"))
     seen = near.groupBy("target", peer.alias("peer")).agg(F.min(F.struct(*order)).alias("first")).where("peer <> target")
     pairs = near.groupBy("target", "src_ip", "dst_ip").agg(F.min(F.struct(*order)).alias("first"))
-    return top_per_group(seen, ["target"], [F.col("first")], peers - 1).drop("first"), top_per_group(pairs, ["target"], [F.col("first")], edges).drop("first")
+    return top_per_group(seen, ["target"], [F.col("first"), F.col("peer")], peers - 1).drop("first"), top_per_group(pairs, ["target"], [F.col("first"), F.col("src_ip"), F.col("dst_ip")], edges).drop("first")
 
 
 def visible_from_next(rows: DataFrame, keys: list[str], window: str, value: str) -> DataFrame:

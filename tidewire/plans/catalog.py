@@ -1,6 +1,6 @@
 """All flow and alert queries: importing a module of queries registers them."""
 
-from . import captures, evaluation, forecasting, graphs, hosts, labelling, logs, metric_queries, queries  # noqa: F401
+from . import captures, evaluation, forecasting, graphs, hosts, labelling, logs, metric_queries, queries, selection  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
