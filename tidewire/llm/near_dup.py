@@ -228,7 +228,7 @@ def _branches(base: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
             break
         few = bounded_broadcast(large, BROADCAST_ROWS)
         leaves.append(rows.join(few, "node", "left_anti"))
-        rows = rows.join(few, "node")
+        rows = written(rows.join(few, "node"), "large-rows")  # read several times below
         if level == LEVELS:
             hard.append(rows)
             break
@@ -322,11 +322,12 @@ def _by_rare_shingles(docs: DataFrame, sets: DataFrame, hard: DataFrame, thresho
     most = min(FEW, SMALL)
     few = groups.where(F.col("m") <= most).select("node")
     sketched = own.select("set_key", "n_shingles", "sketch")
-    small = rows.join(bounded_broadcast(few, BROADCAST_ROWS), "node").join(sketched, "set_key")
-    many = written(rows.join(bounded_broadcast(groups.where(F.col("m") > most).select("node"), BROADCAST_ROWS), "node"), "many")
+    small = rows.join(bounded_broadcast(few, BROADCAST_ROWS), "node", "left_semi").join(sketched, "set_key")
+    many = written(rows.join(bounded_broadcast(groups.where(F.col("m") > most).select("node"), BROADCAST_ROWS), "node", "left_semi"), "many")
     if not many.limit(1).count():
         return small, None
-    stars = many.join(many.groupBy("node").agg(F.min("set_key").alias("b")), "node").select(F.col("set_key").alias("a"), "b").distinct()
+    centres = written(many.groupBy("node").agg(F.min("set_key").alias("b")), "centres")
+    stars = many.join(bounded_broadcast(centres, BROADCAST_ROWS), "node").select(F.col("set_key").alias("a"), "b").distinct()
     masses = connected_components(stars, label="mass").select(F.col("node").alias("set_key"), F.col("mass").alias("least"), F.xxhash64("mass").alias("node"))
     return small, written(masses.join(sketched, "set_key"), "masses")
 
