@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, main_text, near_dup, packing, quality, token_counts, token_files, warc
+from . import chat, decontam, filter_audit, licenses, main_text, mixing, near_dup, packing, quality, search, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_item", "n_shared")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc_bundles, op2_token_counts, op3_near_duplicates, op4_main_text, op5_token_files, op6_chat_format, op7_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination)
+    own = (op1_warc_bundles, op2_token_counts, op3_near_duplicates, op4_main_text, op5_token_files, op6_chat_format, op7_license_scan, op8_best_fit_packing, op9_quality_rules, op10_decontamination, op11_source_mix, op12_filter_audit, op13_lexical_search)
     return {f.__name__: f for f in own}
 
 
@@ -110,6 +122,45 @@ ORACLE = {
         n as (select item_id, count(*) n from i group by item_id)
         select doc_id, item_id, n n_item, count(*) n_shared from s join i using (s) join n using (item_id)
         group by all having 100 * count(*) >= 80 * n""",
+    "op11_source_mix": r"""
+        with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+                          cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) draw from documents),
+        s as (select source, sum(size)::bigint source_size, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] w from d group by source),
+        r as (select *, 3 * source_size cap, (select sum(source_size) from s) total,
+                     coalesce(sum(3 * source_size) over (order by 3 * source_size / w::double, source rows between unbounded preceding and 1 preceding), 0) clamped,
+                     sum(w) over (order by 3 * source_size / w::double, source rows between current row and unbounded following) open_weight from s),
+        l as (select arg_min((total - clamped)::double / open_weight, cap / w::double) level from r where cap >= (total - clamped)::double / open_weight * w),
+        t as (select source, source_size, least(cap::double, coalesce(level, 0) * w) target from r cross join l),
+        q as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end whole from t),
+        e as (select *, least(source_size, greatest(0, cast(floor(target + 0.5) as bigint) - whole * source_size)) quota from q),
+        u as (select doc_id, size, draw, e.*, sum(size) over (partition by d.source order by draw rows between unbounded preceding and current row)::bigint upto
+              from d join e on d.source is not distinct from e.source)
+        select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, quota - (upto - size))))::bigint taken from u""",
+    "op12_filter_audit": r"""
+        with w as (select doc_id, coalesce(lang, '') part, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words from documents),
+        f as (select doc_id, part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x),
+                                    regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by x), false)] fails from w),
+        l as (select part, fails, coalesce(max(quality = 1), false) good, coalesce(max(toxic = 1), false) toxic from f left join labels using (doc_id) group by doc_id, part, fails),
+        m as (select part, fails, count(*) n, count(*) filter (good) g, count(*) filter (toxic) t from l group by all),
+        k as (select unnest(['A', 'B', 'C', 'D', 'E']) k, generate_subscripts(['A', 'B', 'C', 'D', 'E'], 1) i),
+        o as (select a.k || b.k || c.k || d.k || e.k filter_order, [a.i, b.i, c.i, d.i, e.i] places from k a, k b, k c, k d, k e
+              where a.k not in (b.k, c.k, d.k, e.k) and b.k not in (c.k, d.k, e.k) and c.k not in (d.k, e.k) and d.k <> e.k),
+        s as (select *, places[step] place, list_position(list_transform(places, lambda p: fails[p]), true) first from m cross join o cross join (select unnest(range(1, 6)) step)),
+        c as (select part, filter_order, step, any_value(place) place, coalesce(sum(n) filter (first is null or first > step), 0) kept, coalesce(sum(n) filter (first = step), 0) removed,
+                     coalesce(sum(n) filter (fails[place] and first < step), 0) redundant, coalesce(sum(n) filter (fails[place] and len(list_filter(fails, lambda b: b)) = 1), 0) unique_fails,
+                     coalesce(sum(g) filter (first = step), 0) good_lost, coalesce(sum(t) filter (first = step), 0) toxic_lost from s group by part, filter_order, step)
+        select part, filter_order, cast(step as int) step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost,
+               (sum(removed) over (partition by part, place))::bigint shapley from c""",
+    "op13_lexical_search": rf"""
+        with d as (select doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{search.TERM}') t from documents where text is not null),
+        z as (select count(*) docs, sum(len(t))::bigint total from d where len(t) > 0),
+        p as (select doc_id, n, term, count(*) tf from (select doc_id, len(t) n, unnest(t) term from d) group by all),
+        w as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::double)) as bigint) w from p cross join z group by term),
+        i as (select item_id, term, count(*) r from (select item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{search.TERM}')) term from benchmark) group by all),
+        s as (select item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::bigint score
+              from i join w using (term) join p using (term) cross join z group by item_id, doc_id),
+        k as (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from s where score > 0)
+        select item_id, cast(rank as int) rank, doc_id, score from k where rank <= 20""",
 }
 
 
