@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import payload as Y
+from ..functions.address import text_entropy
 from ..functions.flow import internal
 from ..sources.capture import FLAGS
+from .temporal import sliced_segments
 
 # Ports of administration.
 ADMIN_PORTS = (22, 88, 139, 389, 445, 464, 3389, 5985, 5986)
@@ -133,6 +136,82 @@ def packet_statistics(packets: DataFrame, width: float) -> DataFrame:
     return filled.withColumn("pause_cv", c("pause_std") / (c("pause_mean") + 1e-7))
 
 
+def payload_features(packets: DataFrame, width: float) -> DataFrame:
+    """What the payloads of each source host in each window say: web requests and their targets, names asked for.
+
+    Needs ``payload``, which a capture gives if it is asked for. A request is a TCP payload of a web port whose first line begins with a
+    verb; a question is a UDP payload of the name port that is long enough. Means are 0 where there is nothing to take them of.
+    """
+    c, long_enough = F.col, lambda n: F.col("payload_length") >= n
+    of_port = lambda ports: F.coalesce(c("src_port").isin(*ports) | c("dst_port").isin(*ports), F.lit(False))
+    web, asks = (c("protocol") == 6) & of_port(Y.WEB_PORTS) & long_enough(Y.LEAST_REQUEST), (c("protocol") == 17) & of_port((Y.NAME_PORT,)) & long_enough(Y.LEAST_QUESTION)
+    # Payloads of other packets go no further.
+    marked = windowed(packets, width).select(c("src_ip").alias("host"), "window", asks.alias("asks"), F.when(web, Y.web_request(c("payload"))).alias("request"), Y.question_name(F.when(asks, c("payload"))).alias("name"))
+    told = marked.withColumn("uri", Y.target(c("request")))
+    found = told.groupBy("host", "window").agg(
+        F.count("request").alias("http_requests"), F.avg(F.when(c("uri").isNotNull(), text_entropy(c("uri")))).alias("http_uri_entropy_mean"), F.avg(Y.special_ratio(c("uri"))).alias("http_special_ratio"),
+        F.count_if("asks").alias("dns_queries"), F.count_distinct("name").alias("dns_domains"), F.avg(F.when(c("name").isNotNull(), text_entropy(c("name")))).alias("dns_entropy_mean"),
+    )
+    return found.na.fill(0.0, ["http_uri_entropy_mean", "http_special_ratio", "dns_entropy_mean"])
+
+
+def session_ratios(packets: DataFrame, width: float) -> DataFrame:
+    """Shares of a host's TCP packets, SYNs and handshakes in each window, of all sessions that it is an end of; 0 where there is nothing to share.
+
+    ``syn_only_ratio`` counts SYNs without any other flag, ``syn_no_response_ratio`` the sessions, one a direction, that were opened
+    last and not answered.
+    """
+    c, end = F.col, lambda k: F.regexp_replace(F.get(F.split("pair", r"\|"), k), r":\d+$", "")
+    by_host = _progress(packets, width).withColumn("host", F.explode(F.array_distinct(F.array(end(0), end(1)))))
+    names = ("tcp", "retransmitted", "syn", "syn_only", "syn_ack", "unanswered", "rst_after_syn", "completed")
+    sums = by_host.groupBy("host", "window").agg(*[F.sum(n).alias(n) for n in names])
+    share = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)
+    return sums.select(
+        "host", "window", "retransmitted", share("retransmitted", "tcp").alias("retransmission_ratio"), share("syn_only", "tcp").alias("syn_only_ratio"), share("syn_ack", "syn").alias("syn_ack_response_ratio"),
+        share("unanswered", "syn").alias("syn_no_response_ratio"), share("rst_after_syn", "syn").alias("rst_after_syn_ratio"), share("completed", "syn").alias("completion_ratio"),
+    )
+
+
+def packet_features(packets: DataFrame, width: float) -> DataFrame:
+    """All thirty packet features of each source host in each window; a host without TCP has no retransmissions or ratios, 0."""
+    both = ["host", "window"]
+    spoken = payload_features(packets, width)
+    ratios = session_ratios(packets, width)
+    out = packet_statistics(packets, width).drop("dns_queries").join(spoken, both).join(ratios, both, "left")
+    return out.na.fill(0, [c for c in ratios.columns if c not in both])
+
+
+def flow_steps(packets: DataFrame, width: float, idle: float = 30.0) -> DataFrame:
+    """What each window adds to each flow, flows living on until they are idle.
+
+    A flow ends after ``idle`` seconds without a packet, not with a window; the next packet of its ends begins a new one. A row is a flow
+    in a window in which it has packets: ``start``, ``last`` (so far), ``new_flow``, packets and bytes of either direction that the window
+    adds, and as ``total_...`` all of the flow so far. The flow's first packet (by time, then ``seq``) says which end is the source.
+
+    Pauses are found slice by slice (:func:`sliced_segments`), so a flow that holds most packets is no one task's.
+    """
+    c = F.col
+    end = lambda ip, port: F.struct(c(ip).alias("ip"), F.coalesce(c(port), F.lit(0)).alias("port"))
+    a, b = end("src_ip", "src_port"), end("dst_ip", "dst_port")
+    keys = ["protocol", "low", "high"]
+    keyed = packets.select("protocol", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), (a <= b).alias("up"), "timestamp", "seq", "packet_length")
+    parted = windowed(sliced_segments(keyed, keys, "timestamp", "seq", idle, width, "flow"), width)
+    up, size = c("up"), c("packet_length")
+    steps = parted.groupBy(*keys, "flow", "window").agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.min(F.struct("timestamp", "seq", "up"))["up"].alias("first_up"),
+        F.count_if(up).alias("n_up"), F.count_if(~up).alias("n_down"), F.sum(F.when(up, size).otherwise(0)).alias("b_up"), F.sum(F.when(up, 0).otherwise(size)).alias("b_down"),
+    )
+    # One row a window of a flow: what follows runs over these.
+    flow = Window.partitionBy(*keys, "flow").orderBy("window")
+    opened = steps.withColumns({"way": F.first("first_up").over(flow), "start": F.first("first").over(flow), "new_flow": F.row_number().over(flow) == 1})
+    source, far = F.when(c("way"), c("low")).otherwise(c("high")), F.when(c("way"), c("high")).otherwise(c("low"))
+    pick = lambda x, y: F.when(c("way"), c(x)).otherwise(c(y))
+    added = {"fwd_packets": pick("n_up", "n_down"), "bwd_packets": pick("n_down", "n_up"), "fwd_bytes": pick("b_up", "b_down"), "bwd_bytes": pick("b_down", "b_up")}
+    rows = opened.select(*keys, "flow", "window", source["ip"].alias("src_ip"), far["ip"].alias("dst_ip"), source["port"].alias("src_port"), far["port"].alias("dst_port"), "start", "last", "new_flow", *[v.alias(k) for k, v in added.items()])
+    upto = flow.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "window", "start", "last", "new_flow", *added, *[F.sum(k).over(upto).alias(f"total_{k}") for k in added])
+
+
 def sessions(packets: DataFrame, width: float) -> DataFrame:
     """TCP progress of each pair of ends in each window: retransmissions, handshakes, resets.
 
@@ -142,11 +221,16 @@ def sessions(packets: DataFrame, width: float) -> DataFrame:
     retransmission if its direction has sent a byte beyond its first one since the session was opened, or if it opens one.
     Everything comes from windows over (window, pair), which Spark sorts and may spill.
     """
+    return _progress(packets, width).select("window", "pair", "tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn", F.col("syn").alias("attempts"), "completed")
+
+
+def _progress(packets: DataFrame, width: float) -> DataFrame:
+    """What :func:`sessions` gives, with ``syn_only`` and ``unanswered``."""
     c = F.col
     a, b = F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")
     flag = lambda bit: c("tcp_flags").bitwiseAND(bit) > 0
     tcp = windowed(packets.where("protocol = 6"), width).select(
-        "window", F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("pair"), (a <= b).alias("forth"), "timestamp", "seq", flag(2).alias("s"), flag(16).alias("a"), flag(4).alias("r"),
+        "window", F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("pair"), (a <= b).alias("forth"), "timestamp", "seq", flag(2).alias("s"), flag(16).alias("a"), flag(4).alias("r"), (c("tcp_flags").bitwiseAND(63) == 2).alias("bare"),
         F.coalesce("tcp_seq", F.lit(0)).alias("first"), F.coalesce("payload_length", F.lit(0)).alias("size"),
     )
     order = Window.partitionBy("window", "pair").orderBy("timestamp", "seq")
@@ -162,12 +246,15 @@ def sessions(packets: DataFrame, width: float) -> DataFrame:
     other_opened, other_answered = by_way("opened", False), by_way("answered", False)
     resets = c("r") & ~c("s") & ~c("a") & other_opened.isNotNull() & ~F.coalesce(other_answered > other_opened, F.lit(False))
     sent = Window.partitionBy("window", "pair", "forth", "session").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.select("window", "pair", "forth", "timestamp", "seq", "first", "size", opens.alias("opens"), answers.alias("answers"), number.alias("session"), completes.alias("completes"), resets.alias("resets"))
+    marked = rows.select("window", "pair", "forth", "timestamp", "seq", "first", "size", opens.alias("opens"), answers.alias("answers"), number.alias("session"), completes.alias("completes"), resets.alias("resets"), "at", "bare")
     repeats = (c("size") > 0) & (c("opens") | F.coalesce(c("first") < F.max(c("first") + c("size")).over(sent), F.lit(False)))
     n = lambda x: F.count_if(x)
     by_session = marked.withColumn("repeats", repeats).groupBy("window", "pair", "forth", "session").agg(
-        F.count("*").alias("tcp"), n("repeats").alias("retransmitted"), n("opens").alias("syn"), n("answers").alias("syn_ack"), n("resets").alias("rst_after_syn"), F.max(c("completes").cast("int")).alias("completed")
+        F.count("*").alias("tcp"), n("repeats").alias("retransmitted"), n("opens").alias("syn"), n("answers").alias("syn_ack"), n("resets").alias("rst_after_syn"), F.max(c("completes").cast("int")).alias("completed"), n("bare").alias("syn_only"),
+        F.max(F.when(c("opens"), c("at"))).alias("opened at"), F.max(F.when(c("answers"), c("at"))).alias("answers at"),
     )
+    latest = lambda what, forth: F.max(F.when(c("forth") == forth, c(what)))
+    lost = lambda forth: F.coalesce((latest("opened at", forth) > F.coalesce(latest("answers at", not forth), F.lit(0))).cast("long"), F.lit(0))
     return by_session.groupBy("window", "pair").agg(
-        *[F.sum(x).cast("long").alias(x) for x in ("tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn")], F.sum("syn").cast("long").alias("attempts"), F.sum(F.coalesce("completed", F.lit(0))).cast("long").alias("completed")
+        *[F.sum(x).cast("long").alias(x) for x in ("tcp", "retransmitted", "syn", "syn_ack", "rst_after_syn", "syn_only")], F.sum(F.coalesce("completed", F.lit(0))).cast("long").alias("completed"), (lost(True) + lost(False)).cast("long").alias("unanswered"),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..common.store import new_path
+from ..operators import labelling as L
 from ..operators import packets as P
-from ..sources import capture
-from ..sources.tables import frames, packets
+from ..sources import capture, capture_ranges
+from ..sources.tables import frames, packets, spoken
 from .base import PRIVATE, query, rounded
 
 #: Windows of packets: a week.
@@ -35,6 +36,29 @@ def s01_capture_round_trip(s, d):
     return rounded(s.read.format("capture").load(path).select("src_ip", "dst_ip", "protocol", "packet_length", "src_port", "dst_port", "ttl", "tcp_flags", "tcp_seq", "tcp_window", "payload_length", "timestamp"), 3)
 
 
+_FIELDS = ["src_ip", "dst_ip", "protocol", "packet_length", "src_port", "dst_port", "ttl", "tcp_flags", "tcp_seq", "tcp_window", "payload_length", "timestamp"]
+
+
+@query(f'with {PACKETS} select src_ip, dst_ip, protocol, packet_length, src_port, dst_port, ttl, tcp_flags, tcp_seq, tcp_window, payload_length, round("timestamp",3) "timestamp" from packets')
+def s01_capture_ranges(s, d):
+    """Captures read in byte ranges that are smaller than a file."""
+    capture.register(s)
+    path = new_path(s, "captures")
+    frames(packets(s, d)).write.format("capture").mode("append").save(path)
+    return rounded(capture_ranges.packets(s, path, _FIELDS, range_bytes=1 << 19), 3)
+
+
+@query(f"""with {PACKETS} select src_ip capture_host, count(*) packets, sum(packet_length)::bigint bytes, count(distinct dst_ip) peers, round(min("timestamp"),3) "first", round(max("timestamp"),3) "last" from packets group by src_ip""")
+def s04_host_captures(s, d):
+    """One capture a host, named after it; packets by the host of their capture's name."""
+    capture.register(s)
+    path = new_path(s, "host-captures")
+    named = packets(s, d).withColumn("capture", F.concat(F.lit("UCAP"), "src_ip"))
+    frames(named, "capture").repartition("capture").sortWithinPartitions("capture").write.format("capture").mode("append").save(path)
+    read = capture_ranges.packets(s, path, ["capture_host", "timestamp", "packet_length", "dst_ip"], range_bytes=1 << 20)
+    return rounded(read.groupBy("capture_host").agg(F.count("*").alias("packets"), F.sum("packet_length").alias("bytes"), F.count_distinct("dst_ip").alias("peers"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), 3)
+
+
 @query(f'with {_PFLOWS} select w "window", src_ip, dst_ip, src_port, dst_port, protocol, s "start", e "end", n, fp fwd_packets, bp bwd_packets, fb fwd_bytes, bb bwd_bytes, fd fwd_data_packets, fin, syn, rst, psh, ack, urg from pf')
 def a01_packet_flows(s, d):
     f = P.packet_flows(P.windowed(packets(s, d), WEEK), ["window"])
@@ -77,3 +101,65 @@ def a03_packet_statistics(s, d):
   count_if(s and not k) attempts, count(distinct case when k and not s and answer>own then concat(a,'/',own) end) completed from f group by all""")
 def a03_sessions(s, d):
     return P.sessions(packets(s, d), WEEK)
+
+
+# Targets and names as the payloads of the test packets have them.
+_SPOKEN = f"""{PACKETS}, spoken as (select src_ip host, w, seq // 8 k, protocol=6 and least(src_port,dst_port) in (80,8080) and payload_length>0 and (seq//8)%3<2 web, protocol=17 and least(src_port,dst_port)=53 and payload_length>0 asks, '/p/'||((seq//8)%97)||'?a=%41&b='||(seq%8) uri,
+   'h'||((seq//8)%31)||'.example.'||case when (seq//8)%2=0 then 'org' else 'com' end dns from packets),
+ chars as (select x, unnest(string_split(x,'')) ch from (select distinct uri x from spoken where web union select distinct dns from spoken where asks)), ent as (select x, log2(sum(c))-sum(c*log2(c))/sum(c) h from (select x, ch, count(*) c from chars where ch<>'' group by all) group by x)"""
+
+
+@query(f"""with {_SPOKEN} select host, w "window", count_if(web) http_requests, round(coalesce(avg(case when web then u.h end),0),6) http_uri_entropy_mean, round(coalesce(avg(case when web then 1-length(translate(uri,'/?=%&',''))/length(uri) end),0),6) http_special_ratio,
+ count_if(asks) dns_queries, count(distinct case when asks then dns end) dns_domains, round(coalesce(avg(case when asks then n.h end),0),6) dns_entropy_mean from spoken left join ent u on u.x=uri left join ent n on n.x=dns group by host, w""")
+def a03_payload_features(s, d):
+    """Requests and names out of the payload bytes of captures."""
+    capture.register(s)
+    path = new_path(s, "captures")
+    frames(spoken(packets(s, d))).write.format("capture").mode("append").save(path)
+    read = capture_ranges.packets(s, path, ["timestamp", "src_ip", "protocol", "src_port", "dst_port", "payload_length", "payload"])
+    return rounded(P.payload_features(read, WEEK))
+
+
+_SESSION = """t as (select w, seq, "timestamp" ts, concat(src_ip,':',src_port) a, concat(dst_ip,':',dst_port) b, tcp_flags & 2 > 0 s, tcp_flags & 16 > 0 k, tcp_flags & 4 > 0 r, tcp_flags=2 bare, tcp_seq q, payload_length n from packets where protocol=6),
+ o as (select *, row_number() over (partition by w, least(a,b), greatest(a,b) order by ts, seq) i from t),
+ e as (select x.*, (select max(y.i) from o y where y.w=x.w and y.a=x.a and y.b=x.b and y.s and not y.k and y.i<=x.i) own, (select max(y.i) from o y where y.w=x.w and y.a=x.b and y.b=x.a and y.s and not y.k and y.i<=x.i) other,
+   (select max(y.i) from o y where y.w=x.w and y.a=x.b and y.b=x.a and y.s and y.k and y.i<=x.i) answer, (select max(y.i) from o y where y.w=x.w and y.a=x.a and y.b=x.b and y.s and y.k and y.i<=x.i) answer_other from o x),
+ f as (select *, n>0 and ((s and not k) or coalesce(q < (select max(z.q+z.n) from e z where z.w=e.w and z.a=e.a and z.b=e.b and z.i<e.i and z.own is not distinct from e.own), false)) again from e),
+ last_open as (select w, a, b, max(i) i from o where s and not k group by all), last_answer as (select w, b a, a b, max(i) i from o where s and k group by all), lost as (select x.w, least(x.a,x.b) lo, greatest(x.a,x.b) hi, count(*) n from last_open x left join last_answer y using (w,a,b) where y.i is null or y.i<x.i group by all),
+ g as (select w, least(a,b) lo, greatest(a,b) hi, count(*) tcp, count_if(again) again, count_if(s and not k) syn, count_if(s and k) sa, count_if(bare) bare, count_if(r and not s and not k and other is not null and not coalesce(answer_other>other,false)) rst, count(distinct case when k and not s and answer>own then concat(a,'/',own) end) done from f group by all),
+ h as (select unnest(list_distinct([split_part(lo,':',1), split_part(hi,':',1)])) host, g.*, coalesce(lost.n,0) lost from g left join lost using (w,lo,hi))"""
+_RATIOS = f"{PACKETS}, {_SESSION}"
+
+
+@query(f"""with {_RATIOS} select host, w "window", sum(again)::bigint retransmitted, round(sum(again)/sum(tcp),6) retransmission_ratio, round(sum(bare)/sum(tcp),6) syn_only_ratio, round(coalesce(sum(sa)/nullif(sum(syn),0),0),6) syn_ack_response_ratio, round(coalesce(sum(lost)/nullif(sum(syn),0),0),6) syn_no_response_ratio,
+ round(coalesce(sum(rst)/nullif(sum(syn),0),0),6) rst_after_syn_ratio, round(coalesce(sum(done)/nullif(sum(syn),0),0),6) completion_ratio from h group by host, w""")
+def a03_session_ratios(s, d):
+    return rounded(P.session_ratios(packets(s, d), WEEK))
+
+
+_GIVEN = ("retransmission_ratio", "syn_only_ratio", "syn_ack_response_ratio", "syn_no_response_ratio", "rst_after_syn_ratio", "completion_ratio", "http_requests", "http_uri_entropy_mean", "http_special_ratio", "dns_domains", "dns_entropy_mean")
+
+
+@query(f"""with {_SPOKEN}, {_SESSION}, y as (select host, w, count_if(web) hr, coalesce(avg(case when web then u.h end),0) he, coalesce(avg(case when web then 1-length(translate(uri,'/?=%&',''))/length(uri) end),0) hs, count(distinct case when asks then dns end) dd, coalesce(avg(case when asks then n.h end),0) de from spoken left join ent u on u.x=uri left join ent n on n.x=dns group by host, w),
+ z as (select host, w, sum(again) again, sum(tcp) tcp, sum(bare) bare, sum(sa) sa, sum(lost) lost, sum(rst) rst, sum(done) done, sum(syn) syn from h group by host, w)
+ select host, w "window", round(coalesce(again/tcp,0),6) retransmission_ratio, round(coalesce(bare/tcp,0),6) syn_only_ratio, round(least(1,coalesce(sa/nullif(syn,0),0)),6) syn_ack_response_ratio, round(least(1,coalesce(lost/nullif(syn,0),0)),6) syn_no_response_ratio, round(least(1,coalesce(rst/nullif(syn,0),0)),6) rst_after_syn_ratio,
+  round(least(1,coalesce(done/nullif(syn,0),0)),6) completion_ratio, round(least(1,ln(1+hr)/10),6) http_requests, round(least(1,he/8),6) http_uri_entropy_mean, round(hs,6) http_special_ratio, round(least(1,ln(1+dd)/10),6) dns_domains, round(least(1,de/8),6) dns_entropy_mean from y left join z using (host, w)""")
+def f03_normal_session_features(s, d):
+    """The normalised features of sessions and payloads, the rest of the thirty."""
+    x = P.packet_features(spoken(packets(s, d)), WEEK)
+    return rounded(x.select("host", "window", *[L.normal_packet_feature(n, F.col(n)).alias(n) for n in _GIVEN]))
+
+
+_DAY, _IDLE = 86_400, 60 * 86_400
+
+
+@query(f"""with {PACKETS}, k as (select *, cast(floor("timestamp"/{_DAY}) as bigint) dayno, src_ip a, dst_ip b, least(src_ip, dst_ip) lo, greatest(src_ip, dst_ip) hi from packets),
+ g as (select *, "timestamp"-lag("timestamp") over (partition by protocol, lo, hi order by "timestamp", seq) pause from k), f as (select *, sum(case when pause is null or pause>{_IDLE} then 1 else 0 end) over (partition by protocol, lo, hi order by "timestamp", seq) flow from g),
+ w1 as (select *, first_value(a) over (partition by protocol, lo, hi, flow order by "timestamp", seq) src, first_value(b) over (partition by protocol, lo, hi, flow order by "timestamp", seq) dst, first_value("timestamp") over (partition by protocol, lo, hi, flow order by "timestamp", seq) st from f),
+ s as (select protocol, lo, hi, flow, dayno, src, dst, st, max("timestamp") lt, count_if(a=src) fp, count_if(a<>src) bp, sum(case when a=src then packet_length else 0 end) fb, sum(case when a=src then 0 else packet_length end) bb from w1 group by all)
+ select src src_ip, dst dst_ip, 0 src_port, 0 dst_port, protocol, dayno "window", round(st,3) "start", round(lt,3) "last", row_number() over o=1 new_flow, fp fwd_packets, bp bwd_packets, fb::bigint fwd_bytes, bb::bigint bwd_bytes,
+  (sum(fp) over o)::bigint total_fwd_packets, (sum(bp) over o)::bigint total_bwd_packets, (sum(fb) over o)::bigint total_fwd_bytes, (sum(bb) over o)::bigint total_bwd_bytes from s window o as (partition by protocol, lo, hi, flow order by dayno)""")
+def a02_flow_steps(s, d):
+    """Flows between hosts that live on over the borders of windows, and what each window adds."""
+    portless = packets(s, d).withColumns({"src_port": F.lit(None).cast("int"), "dst_port": F.lit(None).cast("int")})
+    return rounded(P.flow_steps(portless, _DAY, _IDLE), 3)

@@ -78,8 +78,27 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(packets: DataFrame) -> DataFrame:
-    """Ethernet frames (``timestamp``, ``frame``) of IPv4 packets as :func:`packets` gives them."""
+def spoken(packets: DataFrame) -> DataFrame:
+    """Packets with a ``payload``: those that carry one to or from a web port a request, those of port 53 by UDP a question for a name.
+
+    Lengths follow the payload; other payloads are letters.
+    """
+    c, port = F.col, F.least("src_port", "dst_port")
+    number = F.floor(c("seq") / 8)
+    web, name = (c("protocol") == 6) & port.isin(80, 8080), (c("protocol") == 17) & (port == 53)
+    verb = F.get(F.array(*map(F.lit, ("GET", "POST", "BREW"))), (number % 3).cast("int"))
+    request = F.concat(verb, F.lit(" /p/"), (number % 97).cast("string"), F.lit("?a=%41&b="), (c("seq") % 8).cast("string"), F.lit(" HTTP/1.1\r\nHost: x\r\n\r\n"))
+    labels = [F.concat(F.lit("h"), (number % 31).cast("string")), F.lit("example"), F.get(F.array(F.lit("org"), F.lit("com")), (number % 2).cast("int"))]
+    question = F.concat(F.lit("00" * 4 + "0001" + "00" * 6), *[F.concat(F.lpad(F.hex(F.length(x).cast("long")), 2, "0"), F.hex(F.encode(x, "UTF-8"))) for x in labels], F.lit("0000010001"))
+    plain = F.repeat(F.lit("A"), c("payload_length"))
+    payload = F.when(c("payload_length") == 0, F.encode(F.lit(""), "UTF-8")).when(web, F.encode(request, "UTF-8")).when(name, F.unhex(question)).otherwise(F.encode(plain, "UTF-8"))
+    sized = packets.withColumn("payload", payload)
+    longer = F.octet_length("payload") - c("payload_length")
+    return sized.withColumn("packet_length", c("packet_length") + longer).withColumn("payload_length", c("payload_length") + longer)
+
+
+def frames(packets: DataFrame, *keep: str) -> DataFrame:
+    """Ethernet frames (``timestamp``, ``frame``) of IPv4 packets as :func:`packets` gives them, with the payload of :func:`spoken` if there is one."""
     c = F.col
     h = lambda e, digits: F.lpad(F.hex(e.cast("long")), digits, "0")
     ip = lambda e: F.concat(*[h(F.get(F.split(e, r"\."), k), 2) for k in range(4)])
@@ -88,4 +107,5 @@ def frames(packets: DataFrame) -> DataFrame:
         F.concat(h(c("src_port"), 4), h(c("dst_port"), 4), h(c("payload_length") + 8, 4), lit("0000"))
     )
     head = F.concat(lit("0" * 24 + "0800" + "4500"), h(c("packet_length") - 14, 4), lit("00000000"), h(c("ttl"), 2), h(c("protocol"), 2), lit("0000"), ip(c("src_ip")), ip(c("dst_ip")))
-    return packets.select("timestamp", F.unhex(F.concat(head, body, F.repeat(lit("41"), c("payload_length")))).alias("frame"))
+    payload = F.hex("payload") if "payload" in packets.columns else F.repeat(lit("41"), c("payload_length"))
+    return packets.select("timestamp", F.unhex(F.concat(head, body, payload)).alias("frame"), *keep)
