@@ -85,7 +85,7 @@ def test_negative_is_never_the_edge_itself(spark):
 
 def test_addresses(spark):
     df = spark.createDataFrame([("10.0.0.1",), ("256.1.1.1",), (None,), ("8.8.8.8",), ("224.0.0.1",)], "ip string")
-    rows = df.select("ip", address.site(F.col("ip"), ("10.0.0.0/8",)).alias("s"), F.array(*address.address_features(F.col("ip"))).alias("f")).collect()
+    rows = df.withColumn("numbers", address.address_numbers(F.col("ip"))).select("ip", address.site(F.col("ip"), ("10.0.0.0/8",)).alias("s"), F.array(*address.address_features(F.col("numbers"))).alias("f")).collect()
     assert [r.s for r in rows] == ["internal", "unknown", "unknown", "external", "external"]
     assert [r.f[:7] for r in rows] == [[1, 1, 1, 0, 0, 0, 0], [0] * 7, [0] * 7, [1, 1, 0, 1, 0, 0, 0], [1, 1, 0, 1, 1, 0, 0]]
     assert [r.f[11] for r in rows] == [1.0] * 5

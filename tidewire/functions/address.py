@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+_BYTE = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+V4 = rf"^{_BYTE}(\.{_BYTE}){{3}}$"
+#: Groups of an IPv6 address beside its shortened middle, and an address that ends in an IPv4 one.
+_GROUPS = "^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+_TAIL = r"^(.*:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
 def _block(cidr: str) -> tuple[int, int]:
@@ -16,9 +21,15 @@ def _block(cidr: str) -> tuple[int, int]:
 
 
 # Special blocks of IPv4 by registry.
-PRIVATE_BLOCKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32")
+PRIVATE_BLOCKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32")
+PUBLIC_WITHIN = ("192.0.0.9/32", "192.0.0.10/32")
 SHARED_BLOCK, MULTICAST, LINK_LOCAL = "100.64.0.0/10", "224.0.0.0/4", "169.254.0.0/16"
 RESERVED = ("127.0.0.0/8", "240.0.0.0/4", "0.0.0.0/32")
+# Special blocks of IPv6 by registry; IPv4 addresses are mapped into the last.
+PRIVATE_BLOCKS_V6 = ("::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+PUBLIC_WITHIN_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+MULTICAST_V6, LINK_LOCAL_V6, MAPPED = "ff00::/8", "fe80::/10", "::ffff:0:0/96"
+RESERVED_V6 = ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -35,34 +46,124 @@ def in_blocks(number: Column, *cidrs: str) -> Column:
     return out
 
 
+def _private_v4(n: Column) -> Column:
+    return in_blocks(n, *PRIVATE_BLOCKS) & ~in_blocks(n, *PUBLIC_WITHIN)
+
+
+def ipv6_numbers(ip: Column) -> Column:
+    """An IPv6 address as a struct of two signed longs, ``high`` and ``low``; null for anything else. A zone is left out."""
+    text = F.lower(F.trim(ip))
+    named = F.when(text.rlike("^[^%]*(%[^%]+)?$"), F.substring_index(text, "%", 1))
+    tail = ipv4_number(F.regexp_extract(named, _TAIL, 2))
+    # An IPv4 end counts as two groups; one that is no address leaves its dots, which no group has.
+    last = F.concat_ws(":", F.hex(F.shiftright(tail, 16)), F.hex(tail.bitwiseAND(0xFFFF)))
+    plain = F.when(named.rlike(_TAIL) & tail.isNotNull(), F.concat(F.regexp_extract(named, _TAIL, 1), F.lower(last))).otherwise(named)
+
+    def of(t: Column) -> Column:
+        sides = F.split(t, "::", -1)
+        left, right = F.get(sides, 0), F.coalesce(F.get(sides, 1), F.lit(""))
+        groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+        given = F.size(groups(left)) + F.size(groups(right))
+        fits = F.when(F.size(sides) == 1, given == 8).otherwise((F.size(sides) == 2) & (given <= 7))
+        whole = F.concat(groups(left), F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), groups(right))
+        half = lambda k: F.conv(F.array_join(F.transform(F.slice(whole, k, 4), lambda g: F.lpad(g, 4, "0")), ""), 16, -10).cast("long")
+        ok = t.contains(":") & left.rlike(_GROUPS) & right.rlike(_GROUPS) & fits
+        return F.when(ok, F.struct(half(1).alias("high"), half(5).alias("low")))
+
+    # A one-element transform names the text, so that it is made once.
+    return F.get(F.transform(F.array(plain), of), 0)
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def in_blocks_v6(numbers: Column, *cidrs: str) -> Column:
+    """Whether the two longs of an address lie in one of the blocks: their leading bits are those of the block."""
+    out = F.lit(False)
+    for net in map(ipaddress.ip_network, cidrs):
+        low = (1 << 64) - 1
+        base, mask = int(net.network_address), int(net.netmask)
+        inside = numbers["high"].bitwiseAND(_signed(mask >> 64)) == _signed(base >> 64)
+        if mask & low:
+            inside = inside & (numbers["low"].bitwiseAND(_signed(mask & low)) == _signed(base & low))
+        out = out | inside
+    return out
+
+
 def site(ip: Column, inside: tuple[str, ...]) -> Column:
-    """``internal``, ``external`` or ``unknown`` (no IPv4 address) by the blocks of a site."""
-    n = ipv4_number(ip)
-    return F.when(n.isNull(), "unknown").when(in_blocks(n, *inside), "internal").otherwise("external")
+    """``internal``, ``external`` or ``unknown`` (no address) by the blocks of a site, of either version."""
+    n, wide = ipv4_number(ip), [c for c in inside if ":" in c]
+    narrow = F.when(in_blocks(n, *[c for c in inside if ":" not in c]), "internal").otherwise("external")
+    numbers = ipv6_numbers(ip)
+    return F.when(n.isNotNull(), narrow).when(numbers.isNull(), "unknown").when(in_blocks_v6(numbers, *wide), "internal").otherwise("external")
+
+
+def address_numbers(ip: Column) -> Column:
+    """An address of either version as a struct of ``v4`` and ``v6``, one of them null at least."""
+    return F.struct(ipv4_number(ip).alias("v4"), ipv6_numbers(ip).alias("v6"))
 
 
-def address_features(ip: Column) -> list[Column]:
-    """Twelve features of an IPv4 address: valid, version, private, global, multicast, reserved, link-local, bytes, bias.
+def address_features(numbers: Column) -> list[Column]:
+    """Twelve features of an address: valid, IPv4, private, global, multicast, reserved, link-local, the last four bytes, bias.
 
-    Anything else has the bias only.
+    ``numbers`` is a column of :func:`address_numbers`, so that a text is read once for all of them. Anything that is no address has the bias
+    only. An IPv4 address that is mapped into IPv6 is private or global as itself, and otherwise an IPv6 one.
     """
-    n = ipv4_number(ip)
+    n, wide = numbers["v4"], numbers["v6"]
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    private = in_blocks(n, *PRIVATE_BLOCKS)
-    byte = lambda k: F.coalesce(F.shiftright(n, 24 - 8 * k).bitwiseAND(255) / 255, F.lit(0.0))
+    either = lambda four, six: F.when(n.isNotNull(), four).when(wide.isNotNull(), six)
+    mapped, inner = in_blocks_v6(wide, MAPPED), wide["low"].bitwiseAND(0xFFFFFFFF)
+    private_v6 = F.when(mapped, _private_v4(inner)).otherwise(in_blocks_v6(wide, *PRIVATE_BLOCKS_V6) & ~in_blocks_v6(wide, *PUBLIC_WITHIN_V6))
+    loopback = in_blocks_v6(wide, "::1/128", "::/128") | (mapped & in_blocks(inner, RESERVED[0]))
+    byte = lambda k: F.coalesce(F.shiftright(either(n, inner), 24 - 8 * k).bitwiseAND(255) / 255, F.lit(0.0))
     return [
-        flag(n.isNotNull()), flag(n.isNotNull()), flag(private), flag(~private & ~in_blocks(n, SHARED_BLOCK)), flag(in_blocks(n, MULTICAST)), flag(in_blocks(n, *RESERVED)), flag(in_blocks(n, LINK_LOCAL)),
-        *[byte(k) for k in range(4)], F.lit(1.0),
+        flag(n.isNotNull() | wide.isNotNull()), flag(n.isNotNull()), flag(either(_private_v4(n), private_v6)), flag(either(~_private_v4(n) & ~in_blocks(n, SHARED_BLOCK), ~private_v6)), flag(either(in_blocks(n, MULTICAST), in_blocks_v6(wide, MULTICAST_V6))),
+        flag(either(in_blocks(n, *RESERVED), loopback | in_blocks_v6(wide, *RESERVED_V6))), flag(either(in_blocks(n, LINK_LOCAL), in_blocks_v6(wide, LINK_LOCAL_V6))), *[byte(k) for k in range(4)], F.lit(1.0),
     ]
 
 
 def cohesion(a: Column, b: Column) -> Column:
-    """Share of leading bytes that two IPv4 addresses have in common; 0 where one is none."""
-    x, y = ipv4_number(a), ipv4_number(b)
+    """Share of leading bytes that two addresses have in common, of the four bytes that are features: the last four of an IPv6 address; 0 where one is none."""
+    last = lambda ip: F.coalesce(ipv4_number(ip), ipv6_numbers(ip)["low"].bitwiseAND(0xFFFFFFFF))
+    x, y = last(a), last(b)
     same = lambda k: (F.shiftright(x, 32 - 8 * k) == F.shiftright(y, 32 - 8 * k)).cast("int")
     return F.coalesce(sum((same(k) for k in range(1, 5)), F.lit(0)) / 4, F.lit(0.0))
 
 
+def _mixed(half: Column, key: int, bits: int) -> Column:
+    """A number of ``bits`` bits that depends on all of ``half`` and the key."""
+    return F.shiftright(half * 2_654_435_761 + key, 11).bitwiseAND((1 << bits) - 1)
+
+
+def round_keys(seed: int, rounds: int = 4) -> list[int]:
+    """Keys of the rounds of a permutation, from its seed."""
+    return [int(hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:8], 16) for k in range(rounds)]
+
+
+def permuted_number(n: Column, seed: int, bits: int = 32) -> Column:
+    """A bijection of the numbers of ``bits`` bits (an even number up to 32): rounds that change one half by the other.
+
+    Each round can be undone, so different numbers stay different, whichever are there and wherever they lie: no sort, no table.
+    """
+    half = bits // 2
+    left, right = F.shiftright(n, half), n.bitwiseAND((1 << half) - 1)
+    for key in round_keys(seed):
+        left, right = right, left.bitwiseXOR(_mixed(right, key, half))
+    return F.shiftleft(left, half) + right
+
+
+def permuted_address(ip: Column, seed: int, keep_network: bool = False) -> Column:
+    """An IPv4 address under another: of all of them, or with ``keep_network`` of its /24 by a permutation that all networks share.
+
+    Addresses that differ stay different. Text that is no IPv4 address stays as it is, and no address becomes such text.
+    """
+    n = ipv4_number(ip)
+    other = F.shiftleft(F.shiftright(n, 8), 8) + permuted_number(n.bitwiseAND(255), seed, 8) if keep_network else permuted_number(n, seed)
+    text = F.concat_ws(".", *[F.shiftright(other, 24 - 8 * k).bitwiseAND(255).cast("string") for k in range(4)])
+    return F.when(n.isNotNull(), text).otherwise(ip)
+
+
 def stable_id(text: Column, n: int) -> Column:
     """A number below ``n`` from the SHA-256 of a text."""
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), F.lit(n))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common.store import bounded_broadcast, written
 from ..functions.flow import internal, plausibility
 from .temporal import ranged, ranged_within
 
@@ -42,8 +43,42 @@ def negative_targets(edges: DataFrame, capture: str, target: str, key: str, seed
 
 def held_out_edges(edges: DataFrame, a: str, b: str, share: float, salt: str) -> DataFrame:
     """``edges`` with ``inductive``: whether one of its ends is among the held-out ``share`` of nodes, picked by a hash of their name."""
-    out = lambda c: F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.col(c)), 256), 1, 8), 16, 10).cast("long") < int(share * 2**32)
-    return edges.withColumn("inductive", out(a) | out(b))
+    return edges.withColumn("inductive", _held_out(F.col(a), share, salt) | _held_out(F.col(b), share, salt))
+
+
+def _held_out(node: Column, share: float, salt: str) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), node), 256), 1, 8), 16, 10).cast("long") < int(share * 2**32)
+
+
+def repaired_hold_out(edges: DataFrame, a: str, b: str, label: str, share: float, salt: str, train: Column | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """What :func:`held_out_edges` gives, but so that no class loses all of its training edges to the held-out nodes.
+
+    A class of ``label`` that has edges and none left among those of ``train`` (all, if not given) is lost; ends of its edges are
+    taken back from the held-out nodes. Its edges then touch none, so one round is enough; a class without training edges stays lost, whichever
+    nodes are held out. Classes in ``ignore`` are not minded, and a null is no class. Only names of lost classes are broadcast, and only if they are few; nodes never leave the tasks.
+    """
+    usable = train if train is not None else F.lit(True)
+    drawn = held_out_edges(edges, a, b, share, salt)
+    minded = drawn.where(F.col(label).isNotNull() & ~F.col(label).isin(*ignore))
+    lost = written(minded.groupBy(F.col(label).alias("lost class")).agg(F.max(usable & ~F.col("inductive")).alias("kept")).where("not kept").select("lost class"), "lost-classes")
+    few = bounded_broadcast(lost, 100_000)
+    carried = edges.join(few, F.col(label).eqNullSafe(F.col("lost class")), "left_semi")
+    spared = written(carried.select(F.explode(F.array(a, b)).alias("spared")).distinct(), "spared")
+    held = lambda c: _held_out(F.col(c), share, salt)
+    near = bounded_broadcast(spared, 1_000_000)
+    out = edges
+    for c, name in ((a, "spared a"), (b, "spared b")):
+        mark = near.select(F.col("spared").alias(name))
+        # Only ends that would be held out are looked up.
+        out = out.join(mark, held(c) & (F.col(c) == F.col(name)), "left")
+    return out.withColumn("inductive", (held(a) & F.col("spared a").isNull()) | (held(b) & F.col("spared b").isNull())).drop("spared a", "spared b")
+
+
+def few_carriers(edges: DataFrame, source: str, label: str, most: int = 2, ignore: tuple[str, ...] = ("Benign",)) -> DataFrame:
+    """Classes that ``most`` sources or fewer carry, with their number: what a model scores on them is how well it knows these hosts."""
+    seen = edges.where(F.col(label).isNotNull() & ~F.col(label).isin(*ignore))
+    pairs = seen.groupBy(label, source).agg(F.count("*").alias("n"))
+    return pairs.groupBy(label).agg(F.count("*").alias("carriers"), F.sum("n").alias("edges"), F.max_by(source, F.struct("n", source)).alias("main_carrier")).where(F.col("carriers") <= most)
 
 
 def edge_scores(alerts: DataFrame, talks: DataFrame, horizon: float, least: float) -> DataFrame:

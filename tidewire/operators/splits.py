@@ -54,6 +54,18 @@ def permuted(hosts: DataFrame, host: str, step: int) -> DataFrame:
     return ranked.withColumn("at", (F.col("k") + step) % F.col("n")).join(other, ["net", "at"]).select(host, "as")
 
 
+def host_disjoint(df: DataFrame, hosts: list[str], share: float, salt: str) -> DataFrame:
+    """``df`` with ``split``: ``test`` if all hosts of a row are held out, ``train`` if none is, null for rows that would tie the two.
+
+    Whether a host is held out comes from a hash of its name, so no host is in both, and the same hosts are held out of any table.
+    """
+    out = [F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.col(h)), 256), 1, 8), 16, 10).cast("long") < int(share * 2**32) for h in hosts]
+    every, some = out[0], out[0]
+    for x in out[1:]:
+        every, some = every & x, some | x
+    return df.withColumn("split", F.when(every, "test").when(~some, "train"))
+
+
 def to_median(df: DataFrame, label: str, draw: Column, tie: str) -> DataFrame:
     """Every class at the median class size: larger ones cut by the order of ``draw``, smaller ones repeated in turn.
 

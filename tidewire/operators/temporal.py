@@ -66,6 +66,56 @@ def next_span(df: DataFrame, spans: DataFrame, keys: list[str], t: str, tie: str
     return line.where("kind = 0").select("row.*", F.when(F.col("next").isNotNull(), F.greatest(F.col("next") - F.col("at"), F.lit(0.0))).alias("wait"))
 
 
+def next_span_sliced(df: DataFrame, spans: DataFrame, keys: list[str], t: str, width: float) -> DataFrame:
+    """What :func:`next_span` gives, for keys that hold a large share of all rows; a span's ``end`` may be infinite.
+
+    Time is cut into slices. A row's span ends in its own slice, which a window over the slice finds, or is the first that ends in a later one,
+    which is one row a slice.
+    """
+    cut = lambda c: F.least(F.floor(c / width), F.lit(float(1 << 53)))
+    merged = merged_spans(spans.withColumn("span tie", F.lit(0)), keys, "start", "end", "span tie")
+    points = df.select(*keys, F.col(t).alias("at"), F.lit(0).alias("kind"), F.struct(*df.columns).alias("row"), F.lit(None).cast("double").alias("start"))
+    ends = merged.select(*keys, F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(points.schema["row"].dataType).alias("row"), "start")
+    line = points.union(ends).withColumn("span slice", cut(F.col("at")))
+    # Merged spans lie in order, so the first to come is the one that starts first.
+    firsts = line.groupBy(*keys, "span slice").agg(F.min("start").alias("first start"))
+    later = Window.partitionBy(*keys).orderBy("span slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.withColumn("later start", F.min("first start").over(later)).drop("first start")
+    ahead = Window.partitionBy(*keys, "span slice").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    found = line.withColumn("next", F.min("start").over(ahead)).where("kind = 0").join(carried, [*keys, "span slice"])
+    start = F.coalesce("next", "later start")
+    return found.select("row.*", F.when(start.isNotNull(), F.greatest(start - F.col("at"), F.lit(0.0))).alias("wait"))
+
+
+def next_time_sliced(df: DataFrame, keys: list[str], t: str, tie: str, when: Column, width: float, name: str) -> DataFrame:
+    """What :func:`next_time` gives, for keys that hold a large share of all rows: windows over slices of time, and one row a slice for what follows it."""
+    cut = df.withColumn("time slice", F.floor(F.col(t) / width)).withColumn("time met", F.when(when, F.col(t)))
+    firsts = cut.groupBy(*keys, "time slice").agg(F.min("time met").alias("first met"))
+    later = Window.partitionBy(*keys).orderBy("time slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.withColumn("later met", F.min("first met").over(later)).drop("first met")
+    inside = Window.partitionBy(*keys, "time slice").orderBy(t, tie).rowsBetween(0, Window.unboundedFollowing)
+    met = cut.withColumn("next met", F.min("time met").over(inside)).join(carried, [*keys, "time slice"])
+    return met.select(*df.columns, F.coalesce("next met", "later met").alias(name))
+
+
+def censored_hazard(df: DataFrame, host: str, capture: str, t: str, tie: str, attack: Column, unknown: DataFrame, tau: float, window: float, least: float = 0.01, width: float = 86_400.0) -> DataFrame:
+    """``df`` with ``hazard``, exp(-wait / tau) until the host's next attack, 0 if none follows, null where the wait depends on what nobody knows.
+
+    Unknown are the spans of ``unknown`` (``capture``, ``start``, ``end``) and, in each capture, all that follows its last row by more than ``window``. A row is
+    censored if such a span begins no later than the host's next attack, and soon enough to matter (exp(-wait / tau) at
+    least ``least``); a row that is itself an attack is known. Null, and not NaN: Spark's aggregates leave nulls out.
+
+    ``width`` is the width of the slices of time that windows run over, so neither a host nor a capture is one task's.
+    """
+    last = df.groupBy(capture).agg((F.max(t) + window).alias("start")).select(F.col(capture), "start", F.lit(float("inf")).alias("end"))
+    spans = unknown.select(F.col("capture").alias(capture), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).unionByName(last)
+    ahead = next_time_sliced(df, [host], t, tie, attack, width, "next attack")
+    seen = next_span_sliced(ahead, spans, [capture], t, width)
+    wait = F.col("next attack") - F.col(t)
+    unsure = F.coalesce((F.col("wait") <= F.coalesce(wait, F.lit(float("inf")))) & (F.exp(-F.col("wait") / tau) >= least) & (F.coalesce(wait, F.lit(float("inf"))) != 0), F.lit(False))
+    return seen.select(*df.columns, F.when(~unsure, hazard(wait, tau)).alias("hazard"))
+
+
 def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
     """``df`` with each row's place from 1 in the whole order, without one task that sorts it all.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import address
 from ..operators import graphs as G
 from ..operators import splits as D
 from ..operators import temporal as T
@@ -37,6 +38,25 @@ def g06_inductive_hold_out(s, d):
     return G.held_out_edges(flows(s, d).select("seq", "src_ip", "dst_ip"), "src_ip", "dst_ip", 0.1, "salt").select("seq", "inductive")
 
 
+_HELD = "('0x'||substr(sha256('salt'||{0}),1,8))::bigint < 429496729"
+
+
+@query(f"""with {FLOWS}, e as (select seq, src_ip, dst_ip, src_ip||':'||(dst_port%2) k, start_time < {_NOW} train, {_HELD.format('src_ip')} hs, {_HELD.format('dst_ip')} hd from flows), l as (select k from e where k not in ('10.0.0.7:0','10.0.0.7:1') group by k having not bool_or(train and not hs and not hd)),
+ s as (select distinct unnest([src_ip,dst_ip]) ip from e where k in (select k from l)) select seq, (hs and src_ip not in (select ip from s)) or (hd and dst_ip not in (select ip from s)) inductive from e""")
+def g06_repaired_hold_out(s, d):
+    """Classes that the draw would leave without training edges get their hosts back."""
+    f = flows(s, d).select("seq", "src_ip", "dst_ip", F.concat_ws(":", "src_ip", (F.col("dst_port") % 2).cast("string")).alias("k"), "start_time")
+    return G.repaired_hold_out(f, "src_ip", "dst_ip", "k", 0.1, "salt", F.col("start_time") < _NOW, ("10.0.0.7:0", "10.0.0.7:1")).select("seq", "inductive")
+
+
+@query(f"""with {FLOWS}, c as (select case when is_attack then concat_ws(':', dst_ip, dst_port, protocol) else 'Benign' end k, src_ip, count(*) n from flows group by all)
+ select k, count(*) carriers, sum(n)::bigint edges, arg_max(src_ip, (n, src_ip)) main_carrier from c where k<>'Benign' group by k having count(*)<=2""")
+def g06_few_carriers(s, d):
+    """Classes that one or two hosts carry."""
+    label = F.when(F.col("is_attack"), F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"), F.col("protocol").cast("string"))).otherwise("Benign")
+    return G.few_carriers(flows(s, d).withColumn("k", label), "src_ip", "k")
+
+
 _G07 = f"""{SERIES}, talks as (select distinct user_id a, user_id%7+1 b from events), prs as (select distinct least(a,b) a, greatest(a,b) b from talks where a<>b), pl as (select a, b, 0.8::double place from prs union all select b, a, 0.8::double from prs union all select distinct host, host, 1.0::double from series),
  g7 as (select * from (select x.event_id u, y.event_id v, (case when {STAGE.format("x.category")} is null or {STAGE.format("y.category")} is null then 0.1::double when x.category=y.category then 0.85::double when {STAGE.format("y.category")} > {STAGE.format("x.category")} then round(greatest(0.2::double, 0.95::double-0.15::double*({STAGE.format("y.category")}-{STAGE.format("x.category")})),4) else 0.2::double end)
   * (1-(y.t-x.t)/{HORIZON}) * place * case when x.event_id%10=0 and y.event_id%10=0 then 0.5::double when x.event_id%10=0 or y.event_id%10=0 then 0.75::double else 1.0::double end score
@@ -122,6 +142,31 @@ def d06_permuted_addresses(s, d):
     return D.permuted(flows(s, d).select(F.col("src_ip").alias("host")).distinct(), "host", 3)
 
 
+def _feistel_sql(n: str, bits: int, keep: str = "") -> str:
+    """SQL of the permutation's rounds: each ties a half to the other, its key a fixed number."""
+    half, mask = bits // 2, (1 << bits // 2) - 1
+    out = f"select host{keep}, ({n}) >> {half} l, ({n}) & {mask} r from h"
+    for key in address.round_keys(7):
+        out = f"select host{keep}, r l, xor(l, ((r * 2654435761 + {key}) >> 11) & {mask}) r from ({out})"
+    return f"select host{keep}, (l << {half}) + r p from ({out})"
+
+
+@query(f"""with {FLOWS}, x as (select distinct unnest([src_ip,dst_ip]) host from flows), h as (select host, split_part(host,'.',1)::bigint*16777216+split_part(host,'.',2)::bigint*65536+split_part(host,'.',3)::bigint*256+split_part(host,'.',4)::bigint n from x),
+ w as ({_feistel_sql("n", 32)}), b as ({_feistel_sql("n & 255", 8, ", n")}) select host, concat_ws('.', w.p>>24, (w.p>>16)&255, (w.p>>8)&255, w.p&255) "as", concat_ws('.', n>>24, (n>>16)&255, (n>>8)&255, b.p) near from w join b using (host)""")
+def d06_address_bijection(s, d):
+    """Every address under another, of all addresses and of its /24, by a seeded bijection."""
+    hosts = flows(s, d).select(F.explode(F.array("src_ip", "dst_ip")).alias("host")).distinct()
+    return hosts.select("host", address.permuted_address(F.col("host"), 7).alias("as"), address.permuted_address(F.col("host"), 7, keep_network=True).alias("near"))
+
+
+@query(f"""with {FLOWS}, e as (select *, ('0x'||substr(sha256('d'||src_ip),1,8))::bigint < {int(0.3 * 2**32)} a, ('0x'||substr(sha256('d'||dst_ip),1,8))::bigint < {int(0.3 * 2**32)} b from flows)
+ select case when a and b then 'test' when not a and not b then 'train' end split, count(*) n, count(distinct src_ip) sources, count_if(is_attack) attacks from e group by 1""")
+def d06_host_disjoint_split(s, d):
+    """No host in both splits."""
+    x = D.host_disjoint(flows(s, d), ["src_ip", "dst_ip"], 0.3, "d")
+    return x.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("src_ip").alias("sources"), F.count_if("is_attack").alias("attacks"))
+
+
 @query(f"""with {FLOWS}, c as (select coarse_category c, count(*) n from flows group by 1) select c category, (select cast(floor(median(n)) as bigint) from c) "rows" from c""")
 def a16_median_resample(s, d):
     """Classes cut or repeated to the median size."""

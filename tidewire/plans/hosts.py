@@ -18,7 +18,19 @@ _NUM = "(split_part({0},'.',1)::bigint*16777216+split_part({0},'.',2)::bigint*65
  select host, 1.0::double f0, 1.0::double f1, pr::int::double f2, (not pr)::int::double f3, 0.0::double f4, 0.0::double f5, 0.0::double f6, round(a/255,6) f7, round(b/255,6) f8, round(c/255,6) f9, round(d/255,6) f10, 1.0::double f11 from q""")
 def f04_address_features(s, d):
     hosts = flows(s, d).select(F.col("dst_ip").alias("host")).distinct()
-    return rounded(hosts.select("host", *[x.alias(f"f{k}") for k, x in enumerate(N.address_features(F.col("host")))]))
+    known = hosts.withColumn("numbers", N.address_numbers(F.col("host")))
+    return rounded(known.select("host", *[x.alias(f"f{k}") for k, x in enumerate(N.address_features(F.col("numbers")))]))
+
+
+@query("""with k as (select event_id, event_id%5 m, user_id u, event_id%65536 lo from events) select event_id, 1.0::double f0, 0.0::double f1, (m in (0,1,3))::int::double f2, (m not in (0,1,3))::int::double f3, (m=4)::int::double f4, 0.0::double f5, (m=1)::int::double f6, 0.0::double f7, 0.0::double f8, round((lo//256)/255,6) f9, round((lo%256)/255,6) f10, 1.0::double f11,
+  case when m=0 then 'internal' else 'external' end site from k""")
+def f04_ipv6_features(s, d):
+    """F04 and P15 of IPv6 addresses: documentation, link-local, public, unique local and multicast ones."""
+    c = F.col
+    lead = F.get(F.array(*map(F.lit, ("2001:db8::", "FE80::", "2606:4700::", "fd00:1::", "ff0e::"))), (c("event_id") % 5).cast("int"))
+    x = table(s, d, "events").select("event_id", F.concat(lead, F.hex(c("user_id") % 4096), F.lit(":0:"), F.lower(F.hex(c("event_id") % 65536))).alias("ip"))
+    known = x.withColumn("numbers", N.address_numbers(c("ip")))
+    return rounded(known.select("event_id", *[v.alias(f"f{k}") for k, v in enumerate(N.address_features(c("numbers")))], N.site(c("ip"), ("10.0.0.0/8", "2001:db8::/32")).alias("site")))
 
 
 @query(f"""with {FLOWS}, c as (select seq, string_split(src_ip,'.') a, string_split(dst_ip,'.') b, src_ip, dst_ip from flows) select seq, case when a[1]<>b[1] then 0.0::double when a[2]<>b[2] then 0.25::double when a[3]<>b[3] then 0.5::double when a[4]<>b[4] then 0.75::double else 1.0::double end cohesion,

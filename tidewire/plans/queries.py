@@ -108,6 +108,16 @@ def w12_hazard(s, d):
     return rounded(df.select("event_id", T.hazard(F.col("next") - F.col("t"), 21600).alias("hazard")))
 
 
+@query(f"""with {SERIES}, x as (select *, host%3 capture, min(case when is_attack then t end) over (partition by host order by t, event_id rows between current row and unbounded following)-t dt from series), sp as (select host%3 capture, t a, t+1800 b from series where category='InitialAccess' union all select capture, max(t)+900, 'infinity'::double from x group by 1),
+ u as (select event_id, any_value(dt) dt, greatest(min(a)-any_value(t),0) du from x left join sp on sp.capture=x.capture and sp.b>=x.t group by event_id)
+ select event_id, case when du<=coalesce(dt,'infinity'::double) and exp(-du/21600)>=0.01::double and coalesce(dt,1)<>0 then null else round(coalesce(exp(-dt/21600),0),6) end hazard from u""")
+def w12_censored_hazard(s, d):
+    """W12 with J13: null where an unknown span, or the end of the capture, comes before the next attack."""
+    x = series(s, d).select("event_id", "host", "t", "is_attack", "category", (F.col("host") % 3).alias("capture"))
+    unknown = x.where("category = 'InitialAccess'").select("capture", F.col("t").alias("start"), (F.col("t") + 1800).alias("end"))
+    return rounded(T.censored_hazard(x, "host", "capture", "t", "event_id", F.col("is_attack"), unknown, 21600, 900).select("event_id", "hazard"))
+
+
 @query(f"""with {SERIES}, r as (select *, sum(case when score>=0.3 then 0 else 1 end) over (partition by host order by t,event_id rows unbounded preceding) g from series), q as (select host, min(t) t, count(*) n from r where score>=0.3 group by host, g having count(*)>=2) select host, min(t) first_alert from q group by host""")
 def w13_first_alert(s, d):
     low = F.col("score") < 0.3
