@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewire.llm import byte_bpe, chat, decontam, licenses, main_text, near_dup, packing, quality, token_counts, token_files, warc
@@ -54,6 +55,18 @@ def test_token_counts(docs):
     assert token_counts.count_tokens(docs.limit(0), PIECES).count() == 0
 
 
+def test_caches_hold_no_long_pre_tokens(spark):
+    """Texts without spaces are one pre-token each: 100,000 of them leave nothing in a worker's cache."""
+    texts = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("漢字"), 60), F.col("id").cast("string")).alias("text"))
+    assert token_counts.frequent(texts, "text") == []
+    own = token_counts.Lengths(PIECES, 50)
+    missing = [f"w{k}" for k in range(40)] + ["漢" * 70 + str(k) for k in range(1000)] + [f"v{k}" for k in range(40)]
+    assert len(own.add(missing)) == len(missing) and len(own) == 50 and max(map(len, own)) <= token_counts.LONGEST
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    some = texts.where("doc_id % 9973 = 0")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(some, PIECES).collect()} == {r.doc_id: len(model.encode(r.text)) for r in some.collect()}
+
+
 def test_encoder_equals_library():
     own, rng = byte_bpe.Encoder(BPE, bound=500), random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "é", "B", "1", "'s", "'", ",", "!!", " \n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "\0", "漢", "\r\n", "😀"]
@@ -136,6 +149,19 @@ def test_main_text():
         assert main_text.main_text(*main_text.page_lines(_page(body)), None).endswith(("x", "x y z"))
 
 
+def test_article_keeps_text_whose_class_has_a_name_in_it():
+    cases = {
+        '<article><p>x</p><section class="share-price"><p>The price rose.</p></section></article>': "x\n\nThe price rose.",
+        '<article><div class="related-work"><p>Others have shown it.</p></div></article>': "Others have shown it.",
+        '<article><div class="notice-of-motion"><p>That this house agrees.</p></div></article>': "That this house agrees.",
+        '<article><p>x</p><div class="modal widget" id="notice"><p>The modal verbs.</p></div></article>': "x\n\nThe modal verbs.",
+        '<article><p>x</p><div class="ad wide">buy</div><ul id="comments"><li>first!</li></ul><aside>else</aside><nav>up</nav></article><div class="share">it</div>': "x",
+        '<div class="menu">a</div><div class="menu-of-the-day"><p>Soup, then fish.</p></div>': "Soup, then fish.",
+    }
+    for body, text in cases.items():
+        assert main_text.main_text(*main_text.page_lines(_page(body)), None) == text
+
+
 def test_common_lines_are_longest():
     rng = random.Random(2)
     for _ in range(600):

@@ -44,12 +44,17 @@ _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog fo
 _NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related respond recommended share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Of these, the names that say the same inside an article, where others may name what it is about.
+_FOREIGN = frozenset("ad ads adsense advert adverts advertisement advertising comment comments disqus sponsored".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 def _kind(tag: str, attributes: str, now: int) -> int:
-    """What text inside an element is, given what it is around it."""
+    """What text inside an element is, given what it is around it.
+
+    Names count whole: ``share-price`` is no ``share``. Inside an article only names of adverts and reader comments do.
+    """
     declared = tag in ("article", "main")
     if now == OTHER or (tag in _HIDDEN and tag != "form") or (tag == "header" and now != ARTICLE):
         return OTHER
@@ -58,8 +63,8 @@ def _kind(tag: str, attributes: str, now: int) -> int:
         return OTHER
     if found.get("role") in _ROLES:
         return OTHER
-    names = set(re.split(r"\s+" if declared else r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if names & _NAMES or (now != ARTICLE and names & {"header", "masthead"}):
+    names = set(f"{found.get('class', '')} {found.get('id', '')}".split())
+    if names & (_FOREIGN if now == ARTICLE else _NAMES) or (now != ARTICLE and names & {"header", "masthead"}):
         return OTHER
     if declared or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
         return ARTICLE

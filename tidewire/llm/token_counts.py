@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,8 @@ from .textbatch import slices
 
 #: Entries of the broadcast table, entries of a worker's cache, and pre-tokens that one task reports.
 TABLE, CACHE, REPORTED = 32_768, 400_000, 4_096
+#: Characters of the longest pre-token that is kept or counted, so that entries bound bytes: text without spaces is one pre-token.
+LONGEST = 64
 
 _loaded: dict[str, object] = {}
 
@@ -63,7 +65,7 @@ def pre_tokens(text: str) -> list[str] | None:
 
 
 class Lengths(dict):
-    """A worker's cache of lengths; pre-tokens beyond its bound are encoded each time."""
+    """A worker's cache of lengths; pre-tokens beyond its bound, and those longer than LONGEST, are encoded each time."""
 
     def __init__(self, path: str, bound: int):
         super().__init__()
@@ -73,18 +75,17 @@ class Lengths(dict):
         """Encode pre-tokens in one call and keep as many as the bound allows."""
         new = dict(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True))
         room = self.bound - len(self)
-        if room >= len(new):
-            self.update(new)
-        elif room > 0:
-            self.update(list(new.items())[:room])
+        if room > 0:
+            short = ((w, n) for w, n in new.items() if len(w) <= LONGEST)
+            self.update(islice(short, room))
         return new
 
 
 def frequent(docs: DataFrame, text_col: str, n: int = TABLE, reported: int = REPORTED) -> list[str]:
     """About the ``n`` most frequent pre-tokens of all texts, most frequent first; at most ``n`` strings.
 
-    Every text is counted where it lies. A task keeps a bounded counter (rare entries go whenever it grows
-    beyond 50 times ``reported``), so memory and what is shuffled do not follow the corpus. The list only
+    Every text is counted where it lies. A task keeps a bounded counter of pre-tokens of at most LONGEST characters (rare
+    entries go whenever it grows beyond 50 times ``reported``), so memory and what is shuffled do not follow the corpus. The list only
     decides what is fast, never a count.
     """
 
@@ -92,11 +93,13 @@ def frequent(docs: DataFrame, text_col: str, n: int = TABLE, reported: int = REP
         counter: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
+                own: Counter = Counter()  # of one slice, whose bytes are bounded
                 for text in part.column(0).to_pylist():
-                    counter.update((text or "").split(" "))
+                    own.update((text or "").split(" "))
+                counter.update({w: c for w, c in own.items() if 0 < len(w) <= LONGEST})
                 if len(counter) > 50 * reported:
                     counter = Counter(dict(counter.most_common(10 * reported)))
-        top = [(w, c) for w, c in counter.most_common(reported) if 0 < len(w) <= 64]
+        top = counter.most_common(reported)
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([c for _, c in top], pa.int64())})
 
     rows = (
