@@ -373,6 +373,35 @@ def test_license_templates_against_every_stretch(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_only_the_rarest_words_of_a_file_are_looked_up():
+    """What is looked up depends on the file and on the order of IDF; what is found does not."""
+    rng = random.Random(3)
+    vocabulary = licenses.template_words()
+    counts = {w: 3 if len(w) > 4 else 800 for w in vocabulary}
+    index, reverse = licenses.Index(counts, 1000), licenses.Index({w: 1000 - c for w, c in counts.items()}, 1000)
+    work = [0, 0, 0]
+    for _ in range(40):
+        t = rng.randrange(len(licenses.TEMPLATES))
+        own = licenses.TEMPLATES[t][1].split()
+        for _ in range(rng.randint(0, index.templates[t].missing)):
+            own[rng.randrange(len(own))] = "zz"
+        words = [rng.choice(["the", "of", "to", "zz"]) for _ in range(300)] + own + ["of", "the"] * 50
+        hashes = np.array([licenses.word_hash(w) for w in words])
+        found = []
+        for k, x in enumerate((index, reverse)):
+            numbers = x.numbers(hashes)
+            known = np.flatnonzero(numbers >= 0)
+            lack = x.lacking(np.zeros(len(known), dtype=np.int64), numbers[known], 1)[0]
+            found.append(x.found(hashes, numbers, lack))
+            present = set(numbers[known].tolist())
+            chosen = x.chosen(t, present, int(lack[t])) if lack[t] <= x.may_lack[t] else []
+            assert len(chosen) <= x.templates[t].missing - lack[t] + x.templates[t].agree
+            work[k] += int(np.isin(numbers, chosen).sum())
+        work[2] += int((numbers >= 0).sum())
+        assert found[0] == found[1]
+    assert work[0] < work[1] / 2 and work[0] < work[2] / 2  # places looked up: by falling IDF, the other way, of all licence words
+
+
 def test_packing(docs):
     by = {t: _ids(t) for t in {r.text for r in docs.collect()}}
     got = packing.pack(docs, BPE).collect()

@@ -1,9 +1,11 @@
 """License scans by a positional index of rare tokens.
 
-Licence templates are indexed by their rare words and these words' positions. Of each file the licence words it has are looked
-up by falling IDF; postings of one template whose relative positions agree, but for words that are added or left out, mark
-where the template may stand. There its words are aligned with the file's, and its mandatory key phrase has to stand among them.
-A template has so many rare words that a file that holds it has two of them, so the index leaves none out.
+Licence templates are indexed by their words and these words' positions. Which licence words a file has closes most templates at
+once: one that lacks more of its words than a notice may lack. Of each other template the file's own rarest words are looked up, those of
+the highest IDF among the words that the file has: two more than the template can still lack. Postings whose relative positions
+agree, but for words that are added or left out, mark where the template may stand. There its words are aligned with the file's, and its
+mandatory key phrase has to stand among them. A stretch that holds the template lacks no more words than it may, so two of
+those that were looked up stand in it, whichever they are: nothing is left out, and the commoner words of the file are never looked up.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[
 
 
 class Template:
-    """A template's words, what an alignment needs, and how many of its rarest words are indexed."""
+    """A template's words, what an alignment needs, and its words by falling IDF."""
 
     def __init__(self, label: str, text: str, key: str, idf: dict[str, float]):
         words = text.split()
@@ -94,9 +96,8 @@ class Template:
         self.bits: dict[int, int] = {}
         for i, h in enumerate(self.hashes):
             self.bits[h] = self.bits.get(h, 0) | 1 << i
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[: self.missing + AGREE]
-        self.agree = min(AGREE, len(rare))
-        self.rare = {int(word_hash(w)): idf[w] for w in rare}
+        self.by_idf = sorted(set(words), key=lambda w: (-idf[w], w))
+        self.agree = min(AGREE, len(self.by_idf))
         #: How far the relative positions of aligned words may lie before and after the start of the stretch.
         self.before, self.after = self.missing, self.longest - self.n + self.missing
 
@@ -153,45 +154,57 @@ class Template:
 
 
 class Index:
-    """Postings of the templates' rarest words: for each its IDF and the (template, position)s where it stands."""
+    """For each template its words (numbers in the vocabulary) by falling IDF, and the positions of each."""
 
     def __init__(self, frequencies: dict[str, int], n: int):
         idf = {w: math.log((1 + n) / (1 + k)) for w, k in frequencies.items()}
         self.templates = [Template(label, text, key, idf) for label, text, key in TEMPLATES]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.idf: dict[int, float] = {}
-        for t, template in enumerate(self.templates):
-            self.idf |= template.rare
-            for i, h in enumerate(template.hashes):
-                if h in template.rare:
-                    self.postings[h].append((t, i))
-        self.postings = dict(self.postings)
-        self.anchors = np.sort(np.array(list(self.postings), dtype=np.uint64))
+        vocabulary = template_words()
+        hashes = np.array([word_hash(w) for w in vocabulary])
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        number = {w: k for k, w in enumerate(vocabulary)}
+        self.has = np.zeros((len(TEMPLATES), len(vocabulary)), dtype=np.int32)
+        self.ranked: list[list[int]] = []
+        self.postings: list[dict[int, list[int]]] = []
+        for t, (_, text, _) in enumerate(TEMPLATES):
+            self.ranked.append([number[w] for w in self.templates[t].by_idf])
+            self.has[t, self.ranked[t]] = 1
+            places: dict[int, list[int]] = defaultdict(list)
+            for i, w in enumerate(text.split()):
+                places[number[w]].append(i)
+            self.postings.append(dict(places))
+        self.may_lack = np.array([t.missing for t in self.templates])
         self.phrases = [(np.array([word_hash(w) for w in p.split()]), label) for p, label in PHRASES.items()]
 
-    def found(self, words: np.ndarray, places: np.ndarray) -> dict[str, float]:
-        """Labels whose templates stand in a file, with the best share of aligned words.
-
-        ``places`` are the file's indexed words. Its distinct ones are looked up by falling IDF; templates of which it has
-        too few rare words to agree are left out.
-        """
-        by_word: dict[int, list[int]] = defaultdict(list)
-        for p in places.tolist():
-            by_word[int(words[p])].append(p)
-        ranked = sorted(by_word, key=lambda w: (-self.idf[w], w))
-        left = Counter(t for w in ranked for t in {t for t, _ in self.postings[w]})
-        open_ = {t for t, n in left.items() if n >= self.templates[t].agree}
-        agreeing: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for word in ranked:
-            for t, i in self.postings[word]:
-                if t in open_:
-                    agreeing[t].extend((p - i, word) for p in by_word[word])
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The vocabulary's number of each word, -1 for words of no template."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+
+    def lacking(self, doc: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """How many of each template's words (column) each of ``n`` files (row) has nowhere."""
+        present = np.zeros((n, len(self.hashes)), dtype=np.int32)
+        present[doc, number] = 1
+        return self.has.sum(axis=1) - present @ self.has.T
+
+    def chosen(self, t: int, present: set[int], lack: int) -> list[int]:
+        """The words of a template that are looked up in a file that has ``present`` and lacks ``lack`` of them: its rarest."""
+        template = self.templates[t]
+        return [w for w in self.ranked[t] if w in present][: template.missing - lack + template.agree]
+
+    def found(self, words: np.ndarray, numbers: np.ndarray, lack: np.ndarray) -> dict[str, float]:
+        """Labels whose templates stand in a file, with the best share of aligned words, given its words, their numbers and what it lacks."""
+        at = np.flatnonzero(numbers >= 0)
+        at = at[np.argsort(numbers[at], kind="stable")]
+        own, first = np.unique(numbers[at], return_index=True)
+        places = dict(zip(own.tolist(), np.split(at, first[1:]), strict=True))
         best: dict[str, float] = {}
-        for t in sorted(agreeing, key=lambda t: -self.templates[t].n):
-            template = self.templates[t]
-            share = template.best(words, agreeing[t])
+        for t in sorted(np.flatnonzero(lack <= self.may_lack).tolist(), key=lambda t: -self.templates[t].n):
+            agreeing = [(p - i, w) for w in self.chosen(t, places.keys(), int(lack[t])) for i in self.postings[t][w] for p in places[w].tolist()]
+            share = self.templates[t].best(words, agreeing)
             if share:
-                best[template.label] = max(best.get(template.label, 0.0), share)
+                best[self.templates[t].label] = max(best.get(self.templates[t].label, 0.0), share)
         return best
 
 
@@ -229,12 +242,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                         if p + len(phrase) <= first[d + 1]:
                             base[d].append(p - int(first[d]))
                             base_labels[d].add(label)
-                at = np.minimum(np.searchsorted(index.anchors, h), len(index.anchors) - 1)
-                anchor = np.flatnonzero(index.anchors[at] == h)
-                bounds = np.searchsorted(anchor, first)
+                numbers = index.numbers(h)
+                known = np.flatnonzero(numbers >= 0)
+                lack = index.lacking(words.doc()[known], numbers[known], m)
                 labels, scores = [set(x) for x in base_labels], [0.0] * m
-                for d in np.flatnonzero(np.diff(bounds)):
-                    got = index.found(h[first[d] : first[d + 1]], anchor[bounds[d] : bounds[d + 1]] - first[d])
+                for d in np.flatnonzero((lack <= index.may_lack).any(axis=1)):
+                    got = index.found(h[first[d] : first[d + 1]], numbers[first[d] : first[d + 1]], lack[d])
                     if got:
                         labels[d] |= set(got)
                         scores[d] = max(got.values())
