@@ -44,6 +44,23 @@ def padded_history(df: DataFrame, keys: list[str], t: str, tie: str, value: str,
     return df.withColumn(name, seen).withColumn(name, F.concat(F.array_repeat(lead, F.lit(length) - F.size(name)), F.col(name)))
 
 
+def rollout_samples(df: DataFrame, keys: list[str], t: str, tie: str, value: str, past: int, steps: int) -> DataFrame:
+    """One row per position with ``past`` rows up to it and a next one: ``input``, the next ``steps`` values as ``future`` and how many seconds each lies from it.
+
+    A future that the segment ends in repeats its last value and time; ``future_valid`` says which are real. ``input_seconds`` are at most 0.
+    """
+    w = Window.partitionBy(*keys).orderBy(t, tie)
+    row = F.struct(F.col(value).alias("v"), F.col(t).alias("t"))
+    framed = df.select(*keys, tie, t, F.collect_list(row).over(w.rowsBetween(1 - past, 0)).alias("seen"), F.collect_list(row).over(w.rowsBetween(1, steps)).alias("next"))
+    full = framed.where((F.size("seen") == past) & (F.size("next") > 0))
+    lack = F.lit(steps) - F.size("next")
+    ahead = F.concat("next", F.array_repeat(F.element_at("next", -1), lack))
+    seconds = lambda rows: F.transform(rows, lambda r: r["t"] - F.col(t))
+    values = lambda rows: F.transform(rows, lambda r: r["v"])
+    valid = F.concat(F.array_repeat(F.lit(True), F.size("next")), F.array_repeat(F.lit(False), lack))
+    return full.select(*keys, tie, values("seen").alias("input"), seconds("seen").alias("input_seconds"), values(ahead).alias("future"), seconds(ahead).alias("future_seconds"), valid.alias("future_valid"))
+
+
 def next_row_samples(df: DataFrame, keys: list[str], t: str, tie: str, value: str, length: int, need: int) -> DataFrame:
     """Padded histories with the next row's value as target, for rows with at least ``need`` real values and a next row."""
     w = Window.partitionBy(*keys).orderBy(t, tie)

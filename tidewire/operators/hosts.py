@@ -45,6 +45,22 @@ def window_labels(flows: DataFrame, window: str = "window") -> DataFrame:
     return sums.select("host", window, "n", "n_attack", F.coalesce("category", F.lit("Benign")).alias("category"), F.when(F.col("n_attack") > 0, window_risk(F.col("category"), F.col("n_attack"), F.col("n"))).otherwise(0.0).alias("risk"))
 
 
+def window_techniques(flows: DataFrame, order: list[str], window: str = "window") -> DataFrame:
+    """Techniques (an array ``techniques`` a flow) of each host's attacks in each window, each once, in the order in which they first appear.
+
+    Each technique of a window is one row before they are listed, so the list is no longer than the catalogue of techniques.
+    """
+    named = incidence(flows.where("is_attack")).select("host", window, F.struct(*order).alias("at"), F.posexplode("techniques").alias("place", "technique"))
+    first = named.groupBy("host", window, "technique").agg(F.min(F.struct("at", "place")).alias("first"))
+    return first.groupBy("host", window).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "technique"))), lambda x: x["technique"]).alias("techniques"))
+
+
+def labelled_windows(flows: DataFrame, order: list[str], window: str = "window") -> DataFrame:
+    """:func:`window_labels` with the techniques of the window's attacks, empty where there are none."""
+    found = window_labels(flows, window).join(window_techniques(flows, order, window), ["host", window], "left")
+    return found.withColumn("techniques", F.coalesce("techniques", F.array().cast("array<string>")))
+
+
 def activity(flows: DataFrame) -> DataFrame:
     """Activity score of each endpoint; what comes in from outside counts fifty times."""
     inbound = ~internal(F.col("src_ip")) & internal(F.col("dst_ip"))
