@@ -51,7 +51,7 @@ def test_bootstrap_interval_holds_the_mean(spark):
 
 def test_running_totals_equal_one_window(spark):
     rows = spark.createDataFrame([(k / 997, k) for k in range(998)], "p double, n long")
-    got = metrics.running_totals(rows, "p", ["n"], descending=True, slices=16).orderBy("p").collect()
+    got = metrics.running_totals(rows, "p", ["n"], descending=True).orderBy("p").collect()
     assert [r.upto_n for r in got] == [sum(range(k, 998)) for k in range(998)]
 
 

@@ -3,9 +3,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import graphs, splits, temporal
+from tidewire.operators import evaluation, graphs, labelling, metrics, selection, splits, temporal
 
 
 
@@ -63,3 +64,41 @@ def test_hazard_is_censored(spark):
     # 5 and 7: the capture ends; 6: its end is far.
     assert got == {1: None, 2: 1.0, 3: 0.0, 4: None, 5: None, 6: 0.0, 7: None, 8: 1.0}
     assert math.exp(-710 / 150) < 0.01
+
+
+def test_spans_merge_in_slices(spark):
+    rng = random.Random(5)
+    rows = [(k, "hot" if k % 4 else "cold", t := float(rng.randrange(3000)), t + rng.choice((0.0, 5.0, 400.0))) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, a double, b double").repartition(5)
+    plain = sorted(map(tuple, temporal.merged_spans(df, ["k"], "a", "b", "id", 3.0).collect()))
+    assert sorted(map(tuple, temporal.merged_spans_sliced(df, ["k"], "a", "b", "id", 50.0, 3.0).collect())) == plain and len(plain) > 4
+
+
+def test_totals_where_values_crowd(spark):
+    """Scores of a rare event crowd at nought; one key holds most of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [("hot", k * 1e-9, k) for k in range(3000)] + [("b", 0.5, 7), ("b", -3.0, 1)]
+    df = spark.createDataFrame(rows, "k string, p double, n long")
+    got = {(r.k, r.p): r.upto_n for r in metrics.running_totals(df, "p", ["n"], descending=True, keys=("k",)).collect()}
+    assert got["b", 0.5] == 7 and got["b", -3.0] == 8 and got["hot", 0.0] == sum(range(3000)) and got["hot", 2999e-9] == 2999
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dictionaries_are_bounded(spark, monkeypatch):
+    names = spark.createDataFrame([(f"n{k}",) for k in range(30)], "name string")
+    monkeypatch.setattr(labelling, "LABELS", 10)
+    with pytest.raises(ValueError):
+        labelling.lenient_matches(names.withColumnRenamed("name", "label"), names, "label", "name")
+    monkeypatch.setattr(evaluation, "VOCABULARY", 3)
+    steps = spark.createDataFrame([(f"t{k}", "x", 1) for k in range(5)], "before string, category string, n int")
+    with pytest.raises(ValueError):
+        evaluation.token_scores(names.withColumn("t", F.lit(1)), ["name"], ["t"], "name", steps, 1)
+
+
+def test_neighbours_of_a_hub(spark):
+    edges = [(k, "hub" if k % 5 else "x", f"p{k}", float(k // 3)) for k in range(200)]
+    df = spark.createDataFrame(edges, "id long, n string, peer string, t double")
+    asked = spark.createDataFrame([(1, "hub", 10.0), (2, "hub", 0.0), (3, "x", 60.0), (4, "hub", 10.0)], "query long, node string, cut double")
+    got = selection.uniform_neighbours(df, asked, "n", "peer", "t", "id", 4, 1).collect()
+    assert {r["query"] for r in got} == {1, 3, 4} and len(got) == 12
+    assert all(r.t < {1: 10.0, 3: 60.0, 4: 10.0}[r["query"]] for r in got)

@@ -100,6 +100,10 @@ def unseen_summary(per_class: DataFrame) -> DataFrame:
     )
 
 
+#: Tokens whose successors go into an expression.
+VOCABULARY = 1_000
+
+
 def likely_next(transitions: DataFrame) -> DataFrame:
     """The most frequent successor of each category (``before``, ``category``, ``n``), ties by name: ``before``, ``next``."""
     best = Window.partitionBy("before").orderBy(F.desc("n"), "category")
@@ -110,9 +114,11 @@ def token_scores(df: DataFrame, keys: list[str], order: list[str], token: str, t
     """Accuracy of forecasts of each of some steps: running on from the last token, from the true one before, staying, the majority.
 
     ``on_change`` is the accuracy of running on where the truth differs from the last token; null if it never does. The
-    successors of at most a vocabulary of tokens are collected into expressions.
+    successors of at most VOCABULARY tokens are collected into expressions; more are refused.
     """
-    successor = {r["before"]: r["next"] for r in likely_next(transitions).collect()}
+    successor = {r["before"]: r["next"] for r in likely_next(transitions).limit(VOCABULARY + 1).collect()}
+    if len(successor) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} tokens")
     after = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in successor.items() for x in kv]), c), c) if successor else c
     w = Window.partitionBy(*keys).orderBy(*order)
     majority = df.groupBy(token).agg(F.count("*").alias("n")).orderBy(F.desc("n"), token).limit(1).select(F.col(token).alias("majority"))

@@ -45,11 +45,15 @@ def plain(label: Column) -> Column:
 
 def lenient_matches(labels: DataFrame, table: DataFrame, label: str, name: str) -> DataFrame:
     """Pairs of a distinct ``label`` and the ``name``s of a table that mean it: equal but for case and punctuation, else those of
-    which one holds the other. Both sides are dictionaries of labels, compared as such and not row by row.
+    which one holds the other. Both sides are dictionaries of labels, compared as such and not row by row; a table of more than
+    ``LABELS`` different names is no dictionary, and refused.
     """
     left = labels.select(F.col(label).alias("label")).distinct().withColumn("want", plain(F.col("label")))
     right = table.select(F.col(name).alias("name")).distinct().withColumn("have", plain(F.col("name"))).where("have <> ''")
-    both = left.join(bounded_broadcast(right, LABELS), F.col("want").contains(F.col("have")) | F.col("have").contains(F.col("want")))
+    few = bounded_broadcast(right, LABELS)
+    if few is right:
+        raise ValueError(f"more than {LABELS} different names")
+    both = left.join(few, F.col("want").contains(F.col("have")) | F.col("have").contains(F.col("want")))
     equal = both.where("want = have")
     rest = both.join(equal.select("label").distinct(), "label", "left_anti")
     return equal.select("label", "name").unionByName(rest.select("label", "name"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common.store import written
+
 
 def _div(a, b):
     return F.when(b > 0, a / b)
@@ -18,7 +20,7 @@ def _div(a, b):
 def detection_report(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, precision, recall, F1, Brier score, ROC-AUC and average precision in one row.
 
-    Curves come from counts per distinct score, cumulated slice by slice of the score (``running_totals``).
+    Curves come from counts per distinct score, cumulated range by range of the scores (``running_totals``).
     AUC and precision are null where one class is missing.
     """
     by_score = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
@@ -79,20 +81,21 @@ def per_class(rows: DataFrame, y: str = "y", guess: str = "guess") -> DataFrame:
     return sums.select(F.col("c").alias("class"), "support", _div(F.col("hit"), F.col("guessed")).alias("precision"), _div(F.col("hit"), F.col("support")).alias("recall"), _div(2 * F.col("hit"), F.col("guessed") + F.col("support")).alias("f1"))
 
 
-def running_totals(df: DataFrame, by: str, sums: list[str], descending: bool = False, slices: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` (one row per key and value of ``by``, from 0 to 1) with ``upto_<sum>``: totals of the key's rows up to and with this one.
+def running_totals(df: DataFrame, by: str, sums: list[str], descending: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` (one row per key and value of ``by``) with ``upto_<sum>``: totals of the key's rows up to and with this one.
 
-    Values fall into slices of equal width; a window runs inside each slice, and one over the at most ``slices`` + 1
-    totals of a key's slices carries them on, so no task orders all values.
+    Rows are partitioned by ranges of the values as they lie, and written, so that partitions are final; a window runs inside each
+    of a key's partitions, and one over their totals carries these on. So no task orders all values, wherever they crowd.
     """
-    order = F.desc if descending else F.asc
-    sliced = df.withColumn("slice", F.floor(F.col(by) * slices).cast("int"))
-    totals = sliced.groupBy(*keys, "slice").agg(*[F.sum(c).alias(c) for c in sums])
-    over = Window.partitionBy(*keys).orderBy(order("slice"))
-    carried = totals.select(*keys, "slice", *[(F.sum(c).over(over) - F.col(c)).alias(f"before {c}") for c in sums])
-    inside = Window.partitionBy(*keys, "slice").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.select("*", *[F.sum(c).over(inside).alias(f"upto_{c}") for c in sums])
-    joined = summed.join(F.broadcast(carried) if not keys else carried, [*keys, "slice"])
+    order, part = (F.desc if descending else F.asc), "running part"
+    ranged = df.repartitionByRange(*keys, by)
+    placed = written(ranged.select("*", F.spark_partition_id().alias(part)), "running")
+    totals = placed.groupBy(*keys, part).agg(*[F.sum(c).alias(c) for c in sums])
+    over = Window.partitionBy(*keys).orderBy(order(part))
+    carried = totals.select(*keys, part, *[(F.sum(c).over(over) - F.col(c)).alias(f"before {c}") for c in sums])
+    inside = Window.partitionBy(*keys, part).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(c).over(inside).alias(f"upto_{c}") for c in sums])
+    joined = summed.join(F.broadcast(carried) if not keys else carried, [*keys, part])
     return joined.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"before {c}")).alias(f"upto_{c}") for c in sums])
 
 

@@ -96,7 +96,7 @@ def class_ranks(rows: DataFrame, scores: str, y: str, classes: int) -> DataFrame
 def class_curves(rows: DataFrame, scores: str, y: str) -> DataFrame:
     """For each class of an array of scores: support and ROC-AUC of the class against all others, null where one side is missing.
 
-    Rows are counted by class and score; counts are cumulated slice by slice of the score (:func:`running_totals`).
+    Rows are counted by class and score; counts are cumulated range by range of the scores (:func:`running_totals`).
     """
     c = F.col
     each = rows.select(F.col(y).alias("y"), F.posexplode(scores).alias("class", "p"))

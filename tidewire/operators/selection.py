@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import merged_spans, ranged_within
+from .metrics import running_totals
+from .temporal import merged_spans_sliced, ranged_within
 
 #: Data sets that schemes across years train on, and the one they test on.
 TRAIN_SETS, TEST_SET = {"cross_year": ("CIC2018", "PCAP2018"), "cross_year_ctu": ("CIC2018", "PCAP2018", "CTU13")}, "CIC2017"
@@ -119,20 +120,23 @@ def uniform_neighbours(edges: DataFrame, queries: DataFrame, node: str, peer: st
     query meets all edges of its node.
     """
     placed = ranged_within(edges.select(node, peer, t, tie), [node], [t, tie], "edge place")
-    line = placed.select(F.col(node).alias("n"), F.col(t).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query")).unionByName(
-        queries.select(F.col("node").alias("n"), F.col("cut").alias("at"), F.lit(0).alias("kind"), "query")
-    )
-    before = F.sum("kind").over(Window.partitionBy("n").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    sized = line.withColumn("size", before).where("kind = 0 and size > 0")
+    # How many edges of a node precede a time: counts per time, carried on by ranges of the times.
+    asked = queries.select("query", F.col("node").alias("n"), F.col("cut").alias("at"))
+    times = placed.select(F.col(node).alias("n"), F.col(t).alias("at"), F.lit(1).alias("c")).unionByName(asked.select("n", "at", F.lit(0).alias("c")))
+    counts = running_totals(times.groupBy("n", "at").agg(F.sum("c").alias("c")), "at", ["c"], keys=("n",))
+    sized = asked.join(counts, ["n", "at"]).withColumn("size", F.col("upto_c") - F.col("c")).where("size > 0")
     draws = sized.select("query", F.col("n").alias(node), "size", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
     drawn = draws.withColumn("edge place", F.pmod(F.col("query") * 2654435761 + F.col("draw") * 40503 + seed, F.col("size")) + 1)
     found = drawn.join(placed, [node, "edge place"])
     return found.select("query", F.row_number().over(Window.partitionBy("query").orderBy(t, tie, "draw")).alias("place"), peer, t)
 
 
-def split_in_time(members: DataFrame, component: str, start: str, end: str, tie: str, gap: float) -> DataFrame:
-    """Parts of components whose members' spans lie more than ``gap`` apart: component, run, start, end, n."""
-    return merged_spans(members, [component], start, end, tie, gap)
+def split_in_time(members: DataFrame, component: str, start: str, end: str, tie: str, gap: float, width: float = 86_400.0) -> DataFrame:
+    """Parts of components whose members' spans lie more than ``gap`` apart: component, run, start, end, n.
+
+    A component may hold most members, so its spans go by slices of ``width`` seconds.
+    """
+    return merged_spans_sliced(members, [component], start, end, tie, width, gap)
 
 
 def chosen_campaign(members: DataFrame, host: str, campaign: str, end: str) -> DataFrame:

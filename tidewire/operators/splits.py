@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common.store import bounded_broadcast, written
 from .temporal import ranged
 
 SPLITS = ("train", "validation", "calibration", "test")
@@ -77,7 +78,7 @@ def to_median(df: DataFrame, label: str, draw: Column, tie: str) -> DataFrame:
     counts = ranked.groupBy(label, "slice").agg(F.count("*").alias("rows"))
     before = counts.select(label, "slice", (F.sum("rows").over(Window.partitionBy(label).orderBy("slice")) - F.col("rows")).alias("before"))
     place = F.col("before") + F.row_number().over(Window.partitionBy(label, "slice").orderBy("draw", tie))
-    placed = ranked.join(before, [label, "slice"]).withColumn("place", place).join(F.broadcast(sizes), label).crossJoin(F.broadcast(target))
+    placed = ranked.join(before, [label, "slice"]).withColumn("place", place).join(bounded_broadcast(written(sizes, "sizes"), 100_000), label).crossJoin(F.broadcast(target))
     times = F.floor((F.col("target") - F.col("place")) / F.col("n")) + 1
     copies = placed.where(F.col("place") <= F.col("target")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     return copies.select(*df.columns)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common.store import written
+from ..common.store import bounded_broadcast, written
 
 
-def on_grid(df: DataFrame, t: str, width: float, name: str = "window") -> DataFrame:
-    """``df`` with the number of its window on a grid anchored at the first row; the anchor is one broadcast row."""
-    first = df.agg(F.min(t).alias("first row"))
+def on_grid(df: DataFrame, t: str, width: float, name: str = "window", times: DataFrame | None = None) -> DataFrame:
+    """``df`` with the number of its window on a grid anchored at the first row; the anchor is one broadcast row.
+
+    ``times``, if given, has the same times in ``t`` and is cheaper to read for their minimum than ``df`` is: what ``df`` was joined from.
+    """
+    first = (df if times is None else times).agg(F.min(t).alias("first row"))
     return df.crossJoin(F.broadcast(first)).withColumn(name, F.floor((F.col(t) - F.col("first row")) / width).cast("long")).drop("first row")
 
 
@@ -52,6 +55,25 @@ def merged_spans(spans: DataFrame, keys: list[str], start: str, end: str, tie: s
     return runs.groupBy(*keys, "run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
 
 
+def merged_spans_sliced(spans: DataFrame, keys: list[str], start: str, end: str, tie: str, width: float, gap: float = 0.0) -> DataFrame:
+    """What :func:`merged_spans` gives, for keys that hold a large share of all spans.
+
+    Spans are cut into slices by their start. How far earlier slices reach, and how many runs they begin, is one row a slice.
+    """
+    cut = "span slice"
+    sliced = spans.withColumn(cut, F.floor(F.col(start) / width))
+    earlier = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    reaches = sliced.groupBy(*keys, cut).agg(F.max(end).alias("slice reach")).withColumn("reach before", F.max("slice reach").over(earlier)).drop("slice reach")
+    inside = Window.partitionBy(*keys, cut).orderBy(start, tie)
+    own = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.greatest(own, F.col("reach before"))  # greatest leaves nulls out
+    marked = sliced.join(reaches, [*keys, cut]).withColumn("span begins", F.coalesce(F.col(start) - reach > gap, F.lit(True)).cast("int"))
+    counts = marked.groupBy(*keys, cut).agg(F.sum("span begins").alias("slice begins")).withColumn("begun before", F.coalesce(F.sum("slice begins").over(earlier), F.lit(0))).drop("slice begins")
+    running = F.sum("span begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    runs = marked.withColumn("run", running).join(counts, [*keys, cut]).withColumn("run", (F.col("run") + F.col("begun before")).cast("long"))
+    return runs.groupBy(*keys, "run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
+
+
 def next_span(df: DataFrame, spans: DataFrame, keys: list[str], t: str, tie: str) -> DataFrame:
     """``df`` with the ``wait`` until the first span (start, end) that does not end before its time; 0 inside one, null if none follows.
 
@@ -159,7 +181,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     placed = ranged_within(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value], "place")
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("size"))
     at = {name: (F.col("size") - 1) * share + 1 for name, share in shares.items()}
-    wanted = placed.join(F.broadcast(sizes), keys)
+    wanted = placed.join(bounded_broadcast(written(sizes, "sizes"), 100_000), keys)
     near = F.lit(False)
     for x in at.values():
         near = near | F.col("place").isin(F.floor(x), F.ceil(x))

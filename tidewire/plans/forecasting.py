@@ -72,7 +72,7 @@ def w15_interleaved(s, d):
     """Rows of all hosts in order of their host's progress; positions come from a distributed count."""
     span = series(s, d).groupBy("host").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     x = series(s, d).join(span, "host").select("event_id", F.round((F.col("t") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)), 6).alias("progress"))
-    return T.numbered(x, F.floor(F.col("progress") * 1024).cast("int"), ["progress", "event_id"], "position")
+    return T.ranged(x, ["progress", "event_id"], "position")
 
 
 @query(f"""with {SERIES}, e as (select user_id n, 0 side, epoch_us(ts)/1000000 t, event_id from events union all select event_id%40+1000, 1, epoch_us(ts)/1000000, event_id from events), f as (select n, min(struct_pack(t := t, e := event_id, s := side)) m from e group by n) select n node, row_number() over (order by m)-1 id from f""")
@@ -80,7 +80,7 @@ def w17_first_seen_ids(s, d):
     """Nodes numbered by their first appearance, sources before targets of the same row."""
     e = series(s, d).select(F.explode(F.array(F.struct(F.col("host").alias("node"), F.lit(0).alias("side")), F.struct((F.col("event_id") % 40 + 1000).alias("node"), F.lit(1).alias("side")))).alias("x"), "t", "event_id")
     first = e.groupBy("x.node").agg(F.min(F.struct("t", "event_id", "x.side")).alias("m"))
-    return T.numbered(first, F.floor(F.col("m.t") / 86400).cast("int"), ["m"], "id").select("node", (F.col("id") - 1).alias("id"))
+    return T.ranged(first.select("node", "m.*"), ["t", "event_id", "side"], "id").select("node", (F.col("id") - 1).alias("id"))
 
 
 @query(f"""with {SERIES}, r as (select event_id, category, score, row_number() over (partition by host order by score desc, event_id) k from series), q as (select category, 1/k rr, k from r where score is not null) select category, count(*) n, round(avg(rr),6) mrr, round(avg((k<=1)::int),6) hits1, round(avg((k<=3)::int),6) hits3 from q group by category""")

@@ -9,13 +9,13 @@ from ..operators import alerts as A
 from ..operators import hosts as H
 from ..operators import metrics as M
 from ..operators import temporal as T
-from ..sources.tables import flows, scores, series, table
+from ..sources.tables import flows, scores, series, start_times, table
 from ..streaming.windows import incidents, windowed_totals
 from .base import EDGES, FLOW_WINDOW, FLOWS, GRID, HORIZON, HOUR, LATER, LEAST_RATE, PAUSE, PRIVATE, SCORES, SERIES, SEV, query, rounded
 
 
 def _windowed(s, d):
-    return T.on_grid(flows(s, d), "start_time", FLOW_WINDOW)
+    return T.on_grid(flows(s, d), "start_time", FLOW_WINDOW, times=start_times(s, d))
 
 
 @query(f"""with {FLOWS} select seq, round(ln(1+fwd_bytes)/20,6) f0, round(ln(1+bwd_bytes)/20,6) f1, round(ln(1+fwd_packets)/10,6) f2, round(ln(1+bwd_packets)/10,6) f3, round(least(end_time-start_time,300)/300,6) f4,
