@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.operators import evaluation, graphs, labelling, metrics, selection, splits, temporal
@@ -102,3 +103,12 @@ def test_neighbours_of_a_hub(spark):
     got = selection.uniform_neighbours(df, asked, "n", "peer", "t", "id", 4, 1).collect()
     assert {r["query"] for r in got} == {1, 3, 4} and len(got) == 12
     assert all(r.t < {1: 10.0, 3: 60.0, 4: 10.0}[r["query"]] for r in got)
+
+
+def test_rows_before_and_runs_in_slices(spark):
+    df = _series(spark).withColumn("host", F.when(F.col("host") != "h0", F.col("host")))  # a null key as well
+    w = Window.partitionBy("host").orderBy("t", "id")
+    plain = {r.id: (r.x, r.n) for r in temporal.islands(df.withColumn("x", F.lag("id").over(w)), ["host"], ["t", "id"], F.col("attack"), "n").collect()}
+    was = temporal.previous_sliced(df, ["host"], "t", "id", ["id"], 40.0, "was")
+    got = {r.id: (r.x, r.n) for r in temporal.islands_sliced(was, ["host"], "t", "id", F.col("attack"), 40.0, "n").select("id", F.col("was.id").alias("x"), "n").collect()}
+    assert got == plain and len(got) == 300

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..common.components import connected_components
 from ..contract import EDGE_THRESHOLD
 from ..functions.flow import plausibility, severity
-from .temporal import islands, ranged
+from .temporal import islands_sliced, previous_sliced, ranged
 
 
 def score_edges(alerts: DataFrame, horizon: float, least: float = EDGE_THRESHOLD) -> DataFrame:
@@ -27,26 +27,28 @@ def score_edges(alerts: DataFrame, horizon: float, least: float = EDGE_THRESHOLD
     return pairs.select("host", "u", "v", score.alias("score")).where(F.col("score") >= least)
 
 
-def compact(alerts: DataFrame, gap: float) -> DataFrame:
-    """Consecutive alerts of a host with one category and no longer pause become one node."""
-    w = Window.partitionBy("host").orderBy("t", "event_id")
-    marked = alerts.withColumn("pc", F.lag("category").over(w)).withColumn("pt", F.lag("t").over(w))
-    new = F.col("pc").isNull() | (F.col("pc") != F.col("category")) | (F.col("t") - F.col("pt") > gap)
-    runs = islands(marked, ["host"], ["t", "event_id"], new)
+def compact(alerts: DataFrame, gap: float, width: float = 86_400.0) -> DataFrame:
+    """Consecutive alerts of a host with one category and no longer pause become one node.
+
+    Alerts are taken by slices of ``width`` seconds, so a host with most alerts is no one task's.
+    """
+    marked = previous_sliced(alerts, ["host"], "t", "event_id", ["category", "t"], width, "was")
+    new = F.col("was").isNull() | (F.col("was.category") != F.col("category")) | (F.col("t") - F.col("was.t") > gap)
+    runs = islands_sliced(marked, ["host"], "t", "event_id", new, width)
     return runs.groupBy("host", "run").agg(F.min("category").alias("category"), F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"), F.max("score").alias("score"))
 
 
-def compact_alike(alerts: DataFrame, gap: float, alike: tuple[str, ...] = ("category", "technique", "provenance")) -> DataFrame:
+def compact_alike(alerts: DataFrame, gap: float, alike: tuple[str, ...] = ("category", "technique", "provenance"), width: float = 86_400.0) -> DataFrame:
     """Consecutive entries of a host that agree in all of ``alike`` and lie no longer than ``gap`` apart, as one node.
 
-    A node has its span, ``n`` entries, the highest ``risk`` and the mean ``confidence``. Null agrees with null.
+    A node has its span, ``n`` entries, the highest ``risk`` and the mean ``confidence``. Null agrees with null. Entries are taken by slices of
+    ``width`` seconds.
     """
-    w = Window.partitionBy("host").orderBy("t", "event_id")
-    marked = alerts.withColumn("was", F.lag(F.struct("t", *alike)).over(w))
+    marked = previous_sliced(alerts, ["host"], "t", "event_id", ["t", *alike], width, "was")
     same = F.col("t") - F.col("was.t") <= gap
     for c in alike:
         same = same & F.col(c).eqNullSafe(F.col(f"was.{c}"))
-    runs = islands(marked, ["host"], ["t", "event_id"], F.col("was").isNull() | ~same)
+    runs = islands_sliced(marked, ["host"], "t", "event_id", F.col("was").isNull() | ~same, width)
     kept = [F.first(c).alias(c) for c in alike]
     return runs.groupBy("host", "run").agg(*kept, F.min(F.struct("t", "event_id"))["event_id"].alias("node"), F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"), F.max("risk").alias("risk"), F.avg("confidence").alias("confidence"), F.count_if((F.col("category") != "Benign") | (F.col("risk") > 0.5)).alias("attacks"))
 
@@ -112,9 +114,9 @@ def recent_neighbours(alerts: DataFrame, k: int) -> DataFrame:
     return back.select("event_id", F.inline(each)).where("neighbour is not null")
 
 
-def transitions(alerts: DataFrame) -> DataFrame:
+def transitions(alerts: DataFrame, width: float = 86_400.0) -> DataFrame:
     """Smoothed probabilities of one category following another on a host."""
-    w = Window.partitionBy("host").orderBy("t", "event_id")
-    steps = alerts.select("category", F.lag("category").over(w).alias("before")).where("before is not null").groupBy("before", "category").agg(F.count("*").alias("n"))
+    placed = previous_sliced(alerts, ["host"], "t", "event_id", ["category"], width, "was")
+    steps = placed.select("category", F.col("was.category").alias("before")).where("before is not null").groupBy("before", "category").agg(F.count("*").alias("n"))
     totals = steps.groupBy("before").agg(F.sum("n").alias("total"))
     return steps.join(totals, "before").select("before", "category", "n", ((F.col("n") + 1) / (F.col("total") + 5)).alias("p"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import previous_sliced
+
 
 def forecast_samples(df: DataFrame, keys: list[str], t: str, tie: str, past: int, steps: int, size: int) -> DataFrame:
     """One row per position with ``past`` rows up to it and ``steps`` buckets of ``size`` rows after it, inside its ``keys``.
@@ -121,10 +123,10 @@ def lead_seconds(path: Column, now: Column, threshold: float, step: float) -> Co
     return F.when(now >= threshold, 0.0).when(at > 0, at * step)
 
 
-def persistence_error(df: DataFrame, keys: list[str], t: str, tie: str, value: str) -> DataFrame:
-    """Mean squared error of repeating the last value, and the variance a forecast has to beat."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(t, tie))
-    steps = df.select(F.col(value).alias("x"), before.alias("b")).where("b is not null")
+def persistence_error(df: DataFrame, keys: list[str], t: str, tie: str, value: str, width: float = 86_400.0) -> DataFrame:
+    """Mean squared error of repeating the last value, and the variance a forecast has to beat; rows are taken by slices of ``width`` seconds."""
+    placed = previous_sliced(df, keys, t, tie, [value], width, "was")
+    steps = placed.select(F.col(value).alias("x"), F.col(f"was.{value}").alias("b")).where("b is not null")
     return steps.agg(F.count("*").alias("n"), F.avg((F.col("x") - F.col("b")) ** 2).alias("mse"), F.var_pop("x").alias("variance"))
 
 

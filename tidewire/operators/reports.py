@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import detection_report, running_totals
+from .temporal import previous_sliced
 
 #: Base rates beyond which average precision says little without them.
 EXTREME = (0.05, 0.95)
@@ -134,8 +135,12 @@ def hosts_for_share(flows: DataFrame, category: str, host: str, share: float = 0
     return reached.select("category", "records", c("all_hosts").alias("hosts"), (c("before") + F.ceil((wanted - c("held")) / c("n"))).alias("covering"))
 
 
-def time_statistics(edges: DataFrame, node: str, t: str, tie: str) -> DataFrame:
-    """Mean and deviation of the time since a node's previous edge, since 0 for its first; a deviation of 0 counts as 1, so that it can divide."""
-    dt = F.col(t) - F.lag(t, 1, 0.0).over(Window.partitionBy(node).orderBy(t, tie))
+def time_statistics(edges: DataFrame, node: str, t: str, tie: str, width: float = 30 * 86_400.0) -> DataFrame:
+    """Mean and deviation of the time since a node's previous edge, since 0 for its first; a deviation of 0 counts as 1, so that it can divide.
+
+    Edges are taken by slices of ``width`` seconds, so a hub is no one task's.
+    """
+    placed = previous_sliced(edges, [node], t, tie, [t], width, "was")
     sd = F.stddev_pop("dt")
-    return edges.select(dt.alias("dt")).agg(F.count("*").alias("n"), F.avg("dt").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"))
+    dt = F.col(t) - F.coalesce(F.col(f"was.{t}"), F.lit(0.0))
+    return placed.select(dt.alias("dt")).agg(F.count("*").alias("n"), F.avg("dt").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"))

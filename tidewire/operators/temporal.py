@@ -120,6 +120,39 @@ def next_time_sliced(df: DataFrame, keys: list[str], t: str, tie: str, when: Col
     return met.select(*df.columns, F.coalesce("next met", "later met").alias(name))
 
 
+def _alike(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, which has one row a key; null keys are alike."""
+    named = right.select(*[F.col(k).alias(f"{k} alike") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k} alike"))
+    return left.join(named, same).drop(*[f"{k} alike" for k in keys])
+
+
+def previous_sliced(df: DataFrame, keys: list[str], t: str, tie: str, columns: list[str], width: float, name: str) -> DataFrame:
+    """``df`` with ``columns`` of the key's row before, as a struct, null for its first: a lag for keys that hold a large share of all rows.
+
+    Windows run over slices of time; the last row of an earlier slice comes from one row a slice.
+    """
+    cut = "time slice"
+    sliced = df.withColumn(cut, F.floor(F.col(t) / width))
+    lasts = sliced.groupBy(*keys, cut).agg(F.max_by(F.struct(*columns), F.struct(t, tie)).alias("slice last"))
+    carried = lasts.withColumn("slice before", F.lag("slice last").over(Window.partitionBy(*keys).orderBy(cut))).drop("slice last")
+    inside = Window.partitionBy(*keys, cut).orderBy(t, tie)
+    return _alike(sliced.withColumn(name, F.lag(F.struct(*columns)).over(inside)), carried, [*keys, cut]).withColumn(name, F.coalesce(name, "slice before")).drop(cut, "slice before")
+
+
+def islands_sliced(df: DataFrame, keys: list[str], t: str, tie: str, starts: Column, width: float, name: str = "run") -> DataFrame:
+    """What :func:`islands` gives, for keys that hold a large share of all rows: how many runs earlier slices of time begin is one row a slice."""
+    cut, begins = "time slice", "run begins"
+    sliced = df.withColumn(cut, F.floor(F.col(t) / width)).withColumn(begins, F.when(starts, 1).otherwise(0))
+    counts = sliced.groupBy(*keys, cut).agg(F.sum(begins).alias("slice begins"))
+    carried = counts.withColumn("begun before", F.sum("slice begins").over(Window.partitionBy(*keys).orderBy(cut)) - F.col("slice begins")).drop("slice begins")
+    inside = Window.partitionBy(*keys, cut).orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
+    found = _alike(sliced.withColumn(name, F.sum(begins).over(inside)), carried, [*keys, cut])
+    return found.withColumn(name, (F.col(name) + F.col("begun before")).cast("long")).drop(cut, begins, "begun before")
+
+
 def censored_hazard(df: DataFrame, host: str, capture: str, t: str, tie: str, attack: Column, unknown: DataFrame, tau: float, window: float, least: float = 0.01, width: float = 86_400.0) -> DataFrame:
     """``df`` with ``hazard``, exp(-wait / tau) until the host's next attack, 0 if none follows, null where the wait depends on what nobody knows.
 

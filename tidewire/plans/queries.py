@@ -84,14 +84,14 @@ def w02_absolute_buckets(s, d):
 
 @query(f"with {SERIES} select event_id, round(min(case when is_attack then t end) over (partition by host order by t, event_id rows between current row and unbounded following)-t,3) wait from series")
 def w03_next_attack(s, d):
-    df = T.next_time(series(s, d), ["host"], "t", "event_id", F.col("is_attack"), "next")
+    df = T.next_time_sliced(series(s, d), ["host"], "t", "event_id", F.col("is_attack"), 86_400, "next")
     return rounded(df.select("event_id", (F.col("next") - F.col("t")).alias("wait")), 3)
 
 
 @query(f"""with {SERIES}, p as (select *, t-lag(t) over (partition by host order by t,event_id) gap from series), r as (select *, sum(case when gap is null or gap>{PAUSE} then 1 else 0 end) over (partition by host order by t,event_id rows unbounded preceding) seg from p)
  select host, cast(seg as bigint) segment, count(*) n, min(t) "start", max(t) "end" from r group by host, seg""")
 def w04_gap_segments(s, d):
-    df = T.gap_segments(series(s, d), ["host"], "t", "event_id", PAUSE)
+    df = T.sliced_segments(series(s, d), ["host"], "t", "event_id", PAUSE, 86_400)
     return df.groupBy("host", "segment").agg(F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("end"))
 
 
@@ -104,7 +104,7 @@ def w05_attack_intervals(s, d):
 
 @query(f"""with {SERIES}, n as (select event_id, min(case when is_attack then t end) over (partition by host order by t, event_id rows between current row and unbounded following)-t wait from series) select event_id, round(coalesce(exp(-wait/21600),0),6) hazard from n""")
 def w12_hazard(s, d):
-    df = T.next_time(series(s, d), ["host"], "t", "event_id", F.col("is_attack"), "next")
+    df = T.next_time_sliced(series(s, d), ["host"], "t", "event_id", F.col("is_attack"), 86_400, "next")
     return rounded(df.select("event_id", T.hazard(F.col("next") - F.col("t"), 21600).alias("hazard")))
 
 
