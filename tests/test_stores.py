@@ -109,3 +109,32 @@ def test_guards_of_splits_profiles_and_masks(spark):
     assert [r.split for r in selection.carved_calibration(one, "group", "t").collect()] == ["train"]
     values = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-1.0,), (127.5,), (999.0,)], "x double").select(labelling.normal_packet_feature("ttl_mean", F.col("x")).alias("x")).collect()
     assert [r.x for r in values] == [0.0, 0.0, 0.0, 0.0, 0.5, 1.0]
+
+
+def test_scratch_is_freed(spark, tmp_path):
+    import os
+
+    from tidewire.common import components, store
+
+    root = store.shared_root(spark).removeprefix("file://") + "/tidewire"
+    there = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before = there()
+    with store.scope(spark) as outer:
+        first = store.written(spark.range(5), "first")
+        with store.scope(spark) as inner:
+            second = store.written(first.where("id > 1"), "second")
+            store.written(spark.range(3), "third")
+            inner.keep(second)
+        assert len(there() - before) == 2 and second.count() == 3
+        with pytest.raises(ValueError):
+            outer.keep(spark.range(1))
+        outer.keep(second)
+    left = there() - before
+    assert len(left) == 1 and second.count() == 3
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 51)], "a long, b long")
+    labels = components.connected_components(edges)
+    assert len(there() - before - left) == 1 and {r.component for r in labels.collect()} == {0, 50}
+    with pytest.raises(ZeroDivisionError), store.scope(spark):
+        store.written(spark.range(2), "lost")
+        raise ZeroDivisionError
+    assert len(there() - before - left) == 1

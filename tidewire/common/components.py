@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import scope, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component") -> DataFrame:
@@ -14,19 +14,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: st
     Each round every node takes the smallest label among itself and its neighbours, then the label of that
     label (pointer jumping), so the number of rounds follows the logarithm of a component's diameter in the
     usual case. A round's labels are written to the shared folder, so plans stay short and a lost executor
-    costs one round at most. Nodes of any orderable type; edges with a null end are not edges. Parallel
+    costs one round at most; tables of earlier rounds are deleted at the end. Nodes of any orderable type; edges with a null end are not edges. Parallel
     edges and loops are harmless; no edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     nodes = pairs.select("x", F.col("x").alias("y")).union(pairs.select("y", "y"))
-    both = written(pairs.union(pairs.select("y", "x")).union(nodes).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("c")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("y"), "c"), "y")
-        moved = seen.groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"), F.max(F.when(F.col("x") == F.col("y"), F.col("c"))).alias("old"))
-        jump = labels.select(F.col("node").alias("c"), F.col("c").alias("root"))
-        new = written(moved.join(jump, "c").select("node", "old", F.least("c", "root").alias("c")), "labels")
-        changed = new.where("old <> c").limit(1).count()
-        labels = new.select("node", "c")
-        if not changed:
-            return labels.withColumnRenamed("c", label)
+    with scope(edges.sparkSession) as tables:
+        both = written(pairs.union(pairs.select("y", "x")).union(nodes).distinct(), "edges")
+        labels = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("c")), "labels")
+        while True:
+            seen = both.join(labels.select(F.col("node").alias("y"), "c"), "y")
+            moved = seen.groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"), F.max(F.when(F.col("x") == F.col("y"), F.col("c"))).alias("old"))
+            jump = labels.select(F.col("node").alias("c"), F.col("c").alias("root"))
+            new = written(moved.join(jump, "c").select("node", "old", F.least("c", "root").alias("c")), "labels")
+            labels = new.select("node", "c")
+            if not new.where("old <> c").limit(1).count():
+                tables.keep(new)
+                return labels.withColumnRenamed("c", label)

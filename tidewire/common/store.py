@@ -11,6 +11,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,51 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+class Scope:
+    """Paths that were named while it was the innermost scope, with the table that each holds."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[str, DataFrame | None]] = []
+        self.kept: list[tuple[str, DataFrame | None]] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Let a table that :func:`written` gave outlive the scope."""
+        mine = [t for t in self.tables if t[1] is table]
+        if not mine:
+            raise ValueError("not a table of this scope")
+        self.kept += mine
+        return table
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Scratch tables that are written inside are deleted at the end, but for those that the scope keeps.
+
+    Whatever is used afterwards has to be a kept table or come from kept tables alone: write it inside, since frames are read late.
+    """
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        if _scopes:
+            _scopes[-1].tables += own.kept
+        kept = {path for path, _ in own.kept}
+        for path, _ in own.tables:
+            if path not in kept:
+                delete(spark, path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/tidewire/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tidewire/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].tables.append((path, None))
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -67,7 +111,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for own in _scopes[-1:]:
+        own.tables = [(p, table if p == path else t) for p, t in own.tables]
+    return table
 
 
 def delete(spark: SparkSession, path: str) -> None:
