@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.common.store import written
+from tidewire.common.store import scope, written
 from tidewire.llm import decontam, near_dup, packing, quality
 
 
@@ -42,8 +42,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    What a stage writes for itself is deleted once its output is written, and the outputs of all stages but the last at the end. A null or empty text has
+    no words, so the quality rules drop it; documents without id stay documents of their own; rows that repeat an id and a
+    text are near-duplicates, of which one stays; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with scope(spark) as whole:
+        for name, stage in STAGES:
+            with scope(spark) as own:
+                docs = own.keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        return whole.keep(docs)

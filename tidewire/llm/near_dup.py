@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common.components import connected_components
-from ..common.store import bounded_broadcast, small_batches, written
+from ..common.store import bounded_broadcast, scope, small_batches, written
 from .textbatch import SPACED_WORD, constants, distinct, mix, shingles, slices, words_of
 
 #: Positions of a sketch, 16 bits each; positions that a large branch branches by; levels of branching.
@@ -434,19 +434,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, id_c
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.mapInArrow(_sketches(threshold, shingle), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, roots array<long>, sketch binary")
-    base = written(base, "sketches")
-    links = _links(docs, base, threshold, shingle)
-
-    labels = connected_components(links, label="label") if links is not None else None
-    sizes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    if labels is not None:
-        groups = sizes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").where("rows > 1 or label is not null")
-        groups = written(groups.select("set_key", "least", F.coalesce("label", "set_key").alias("label")), "groups")
-        smallest = groups.groupBy("label").agg(F.min("least").alias("smallest"))
-        groups = written(groups.join(smallest, "label").select("set_key", "label", "smallest"), "groups")
-    else:
-        groups = written(sizes.where("rows > 1").select("set_key", F.col("set_key").alias("label"), F.col("least").alias("smallest")), "groups")
+    found = docs.mapInArrow(_sketches(threshold, shingle), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, roots array<long>, sketch binary")
+    with scope(docs.sparkSession) as tables:
+        base = tables.keep(written(found, "sketches"))
+        links = _links(docs, base, threshold, shingle)
+        labels = connected_components(links, label="label") if links is not None else None
+        sizes = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+        if labels is not None:
+            groups = sizes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").where("rows > 1 or label is not null")
+            groups = written(groups.select("set_key", "least", F.coalesce("label", "set_key").alias("label")), "groups")
+            smallest = groups.groupBy("label").agg(F.min("least").alias("smallest"))
+            groups = written(groups.join(smallest, "label").select("set_key", "label", "smallest"), "groups")
+        else:
+            groups = written(sizes.where("rows > 1").select("set_key", F.col("set_key").alias("label"), F.col("least").alias("smallest")), "groups")
+        tables.keep(groups)
     rows = base.select("doc_id", "text_hash", "n_shingles", "set_key").join(bounded_broadcast(groups, BROADCAST_ROWS), "set_key", "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     rows = rows.withColumn("component_id", component)
