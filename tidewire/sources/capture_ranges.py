@@ -35,26 +35,23 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("capture_host", F.when(host != "", host))
 
 
-def _plausible(form: Format, block: bytes, first_second: int) -> np.ndarray:
-    """Places of a block at which a record may begin: lengths and the part of a second are in their range, the second within a year of the file's first."""
+def _plausible(form: Format, block: bytes) -> np.ndarray:
+    """Places of a block at which a record may begin: its two lengths and the part of a second are in their range."""
     data = np.frombuffer(block, np.uint8).astype(np.uint32)
     n = len(data) - RECORD + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     four = (lambda k: data[k : k + n] | data[k + 1 : k + 1 + n] << 8 | data[k + 2 : k + 2 + n] << 16 | data[k + 3 : k + 3 + n] << 24) if form.order == "<" else (lambda k: data[k : k + n] << 24 | data[k + 1 : k + 1 + n] << 16 | data[k + 2 : k + 2 + n] << 8 | data[k + 3 : k + 3 + n])
-    kept = four(8)
-    ok = (kept > 0) & (kept <= LONGEST)
-    ok &= (four(12) >= kept) & (four(4) < form.unit)
-    return np.flatnonzero(ok & (np.abs(four(0).astype(np.int64) - first_second) < 366 * 86_400))
+    kept, sent = four(8), four(12)
+    return np.flatnonzero((kept > 0) & (kept <= LONGEST) & (sent >= kept) & (sent <= LONGEST) & (four(4) < form.unit))
 
 
 def first_record(source, form: Format, low: int, high: int, size: int) -> int | None:
     """The first place from ``low`` and before ``high`` from which CHAIN plausible records follow one another, or records up to the file's end."""
-    first = int(np.frombuffer(source.read_at(4, HEAD), f"{form.order}u4")[0]) if size >= HEAD + 4 else 0
     at = low
     while at < high:
         block = source.read_at(min(STEP, high - at) + CHAIN * (RECORD + LONGEST), at)
-        places = _plausible(form, block, first)
+        places = _plausible(form, block)
         known = set(places.tolist())
         for place in places[places < min(STEP, high - at)].tolist():
             then, n = place, 0
@@ -117,10 +114,12 @@ def record_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
         due = F.coalesce(F.max("stop").over(earlier), F.lit(HEAD).cast("long"))
         seen = walked.withColumn("due", due).withColumn("over", F.coalesce(F.max("broken").over(earlier), F.lit(False)))
         begins = F.when(F.col("due") < F.col("high"), F.col("due"))
-        wrong = seen.where(~F.col("over") & ~begins.eqNullSafe(F.col("start")))
-        # What precedes a file's first wrong range is right, and so is what that one is due to begin with.
-        first = written(wrong.groupBy("path").agg(F.min_by(F.struct("part", "low", "high", begins.alias("start"), none.alias("stop"), F.lit(False).alias("broken"), none.alias("records")), "part").alias("r")).select("path", "r.*"), "wrong")
+        wrong = written(seen.where(~F.col("over") & ~begins.eqNullSafe(F.col("start"))), "wrong")
+        # Ranges up to which the one before was walked; a file's first wrong range is one of them, and what it is due to begin with is right.
+        first = wrong.where("due >= low").select("path", "part", "low", "high", begins.alias("start"), none.alias("stop"), F.lit(False).alias("broken"), none.alias("records"))
         if not first.limit(1).count():
+            if wrong.limit(1).count():
+                raise RuntimeError("a range was not walked to its end")
             return written(seen.where(~F.col("over") & (F.col("records") > 0)).select("path", "part", "start", "stop", "records"), "ranges")
         again = _walk(_spread(first), given=True)
         walked = written(walked.join(first.select("path", "part"), ["path", "part"], "left_anti").unionByName(again), "walked")
