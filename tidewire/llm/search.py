@@ -27,7 +27,7 @@ from .textbatch import ALNUM_WORD, slices, word_hash, words_of
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Documents of a block, blocks that a task sorts at once, blocks of a query that are scored first, (query, term) pairs of one pass over the corpus.
-BLOCK, SORTED, FIRST, ENTRIES = 64, 64, 8, 100_000
+BLOCK, SORTED, FIRST, ENTRIES = 16, 256, 8, 100_000
 _LISTS = {"lengths": "long", "first": "int", "terms": "int", "tfs": "long", "block_terms": "int", "block_dfs": "long"}
 
 
