@@ -230,7 +230,7 @@ def evolve(sizes: list[int], population: list[tuple[Bins, list[int]]], patterns:
     return population
 
 
-STATE = "island long, population array<binary>, elite array<array<int>>, bins long, bound long"
+STATE = "island long, sizes array<int>, population array<binary>, elite array<array<int>>, bins long, bound long"
 
 
 def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -254,26 +254,27 @@ def _assigned(packing: tuple[Bins, list[int]], n: int) -> bytes:
     return places.tobytes()
 
 
-def _epoch(key, items: pd.DataFrame, before: pd.DataFrame | None, capacity: int, epoch: int) -> pd.DataFrame:
-    """One epoch of one island; ``before`` is its row of the state, with the patterns that came to it."""
-    columns = ["island", "population", "elite", "bins", "bound"]
-    if not len(items):
-        return pd.DataFrame(columns=columns)
-    sizes = _ordered(items)["length"].tolist()
-    population, patterns = [], []
-    if before is not None and len(before):
-        population = [_packing(x, sizes) for x in before["population"].iloc[0]]
-        patterns = [list(map(int, p)) for p in before["guests"].iloc[0]]
-    found = evolve(sizes, population, patterns, capacity, int(key[0]) * 1_000 + epoch)
+def _row(island: int, sizes: list[int], population: list, patterns: list[list[int]], capacity: int, epoch: int) -> pd.DataFrame:
+    """One epoch of one island, whose pieces have these lengths in order, with the patterns that came to it."""
+    found = evolve(sizes, population, patterns, capacity, island * 1_000 + epoch)
     bins, fills = found[0]
     best = sorted(range(len(bins)), key=lambda b: -fills[b])[:ELITE]
     elite = [[sizes[i] for i in bins[b]] for b in best]
-    row = (int(key[0]), [_assigned(p, len(sizes)) for p in found], elite, len(bins), lower_bound(sizes, capacity))
-    return pd.DataFrame([row], columns=columns)
+    row = (island, sizes, [_assigned(p, len(sizes)) for p in found], elite, len(bins), lower_bound(sizes, capacity))
+    return pd.DataFrame([row], columns=[f.split()[0] for f in STATE.split(", ")])
+
+
+def _first(capacity: int):
+    return lambda key, rows: _row(int(key[0]), _ordered(rows)["length"].tolist(), [], [], capacity, 0)
 
 
 def _later(capacity: int, epoch: int):
-    return lambda key, items, before: _epoch(key, items, before, capacity, epoch)
+    def step(key, rows: pd.DataFrame) -> pd.DataFrame:
+        before = rows.iloc[0]
+        sizes = list(map(int, before["sizes"]))
+        return _row(int(key[0]), sizes, [_packing(x, sizes) for x in before["population"]], [list(map(int, p)) for p in before["guests"]], capacity, epoch)
+
+    return step
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     islands = max(1, -(-n["short"] // ISLAND), -(-(n["all"] - n["short"]) // (8 * ISLAND)))
     pieces = pieces.withColumn("island", F.pmod("slot", F.lit(islands)))
     items = pieces.where(F.col("length") < capacity).select("island", "slot", "length")
-    state = written(items.groupBy("island").applyInPandas(lambda key, rows: _epoch(key, rows, None, capacity, 0), STATE), "islands")
+    state = written(items.groupBy("island").applyInPandas(_first(capacity), STATE), "islands")
     epoch, fewest = 0, None
     while True:
         found = state.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
@@ -299,10 +300,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
             break
         fewest, todo = found["bins"], state.where("bins > bound")
         guests = state.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guests"))
-        mine = todo.select("island", "population").join(guests, "island")
-        both = items.join(todo.select("island"), "island", "left_semi").groupBy("island").cogroup(mine.groupBy("island"))
+        # An island's row has the lengths of its pieces, so an epoch reads no pieces.
+        mine = todo.select("island", "sizes", "population").join(guests, "island")
         epoch += 1
-        later = both.applyInPandas(_later(capacity, epoch), STATE)
+        later = mine.groupBy("island").applyInPandas(_later(capacity, epoch), STATE)
         state = written(later.unionByName(state.where("bins <= bound")), "islands")
 
     def place(key, rows, state):
