@@ -28,6 +28,8 @@ from .byte_bpe import encoder
 from .textbatch import mix, slices
 
 CAPACITY, END = 1024, 2
+#: Stretches of text whose ids a worker keeps: some 250 MB.
+STRETCHES = 1_000_000
 #: Pieces of an island, packings of its population, patterns that migrate.
 ISLAND, POPULATION, ELITE = 8_192, 6, 64
 #: Crossovers of an epoch: as many as handle this number of pieces, and at least the second number.
@@ -49,7 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> Da
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, STRETCHES).encode
         base, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for part in slices(batch, "text"):
