@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BYTE = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -186,13 +186,20 @@ def request(line: Column) -> Column:
 def first_containing(points: DataFrame, spans: DataFrame, t: str, width: float) -> DataFrame:
     """``points`` with ``span``: the first span (``span``, ``start``, ``end``) that contains their time, ends included.
 
-    Spans and points meet in time buckets; a span stands in each bucket it touches.
+    Of the spans that end no earlier than a point, the one that starts first contains it, or none does. So a running minimum over points and
+    ends on one line finds it, in slices of ``width`` and with one row a slice for what ends later: no pairs, however many spans overlap.
     """
-    at = lambda x: F.floor(x / width).cast("long")
-    spread = spans.select("span", "start", "end", F.explode(F.sequence(at(F.col("start")), at(F.col("end")))).alias("span bucket"))
-    inside = (at(F.col(t)) == F.col("span bucket")) & (F.col(t) >= F.col("start")) & (F.col(t) <= F.col("end"))
-    found = points.join(spread, inside, "left")
-    return found.groupBy(*points.columns).agg(F.min(F.struct("start", "span"))["span"].alias("span"))
+    cut, first = F.floor(F.col("at") / width), F.struct("start", "span")
+    row = points.select(F.col(t).cast("double").alias("at"), F.lit(0).alias("kind"), F.struct(*points.columns).alias("row"))
+    ends = spans.where("start is not null and end is not null").select(F.col("end").cast("double").alias("at"), F.lit(1).alias("kind"), first.alias("first"))
+    line = row.unionByName(ends, allowMissingColumns=True).withColumn("slice", cut)
+    firsts = ends.groupBy(cut.alias("slice")).agg(F.min("first").alias("first"))
+    slices = row.select(cut.alias("slice")).distinct().unionByName(firsts, allowMissingColumns=True).groupBy("slice").agg(F.min("first").alias("first"))
+    later = slices.select(F.col("slice").alias("own slice"), F.min("first").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    ahead = Window.partitionBy("slice").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("first", F.min("first").over(ahead)).where("kind = 0").join(later, F.col("slice").eqNullSafe(F.col("own slice")))
+    best = F.least("first", "later")  # least leaves nulls out
+    return found.select("row.*", F.when(best["start"] <= F.col("at"), best["span"]).alias("span"))
 
 
 def site_profile(given: dict) -> dict:
