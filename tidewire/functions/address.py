@@ -32,11 +32,24 @@ MULTICAST_V6, LINK_LOCAL_V6, MAPPED = "ff00::/8", "fe80::/10", "::ffff:0:0/96"
 RESERVED_V6 = ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")
 
 
-def ipv4_number(ip: Column) -> Column:
-    """An IPv4 address as a number, null for anything else."""
-    o = F.split(F.trim(ip), r"\.")
-    part = lambda k: F.get(o, F.lit(k)).cast("long")
-    return F.when(F.trim(ip).rlike(V4), part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
+def dotted_parts(ip: Column) -> Column:
+    """The four numbers of a dotted text as an array, bytes or not; null for anything else."""
+    return F.when(F.trim(ip).rlike(r"^[0-9]{1,9}(\.[0-9]{1,9}){3}$"), F.transform(F.split(F.trim(ip), r"\."), lambda x: x.cast("long")))
+
+
+def ipv4_number(ip: Column, beyond: str | None = None) -> Column:
+    """An IPv4 address as a number, null for anything else.
+
+    Hosts that are made from keys may have numbers beyond 255: ``carry`` them into the number before, or ``clip`` them, which leaves the
+    other three as they are. Without ``beyond`` such text is no address.
+    """
+    if beyond not in (None, "carry", "clip"):
+        raise ValueError(f"no way {beyond!r}")
+    o = dotted_parts(ip) if beyond else F.split(F.trim(ip), r"\.")
+    whole = lambda k: F.get(o, F.lit(k)).cast("long")
+    part = (lambda k: F.least(whole(k), F.lit(255))) if beyond == "clip" else whole
+    number = part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3)
+    return F.when(o.isNotNull(), number) if beyond else F.when(F.trim(ip).rlike(V4), number)
 
 
 def in_blocks(number: Column, *cidrs: str) -> Column:
@@ -91,17 +104,17 @@ def in_blocks_v6(numbers: Column, *cidrs: str) -> Column:
     return out
 
 
-def site(ip: Column, inside: tuple[str, ...]) -> Column:
-    """``internal``, ``external`` or ``unknown`` (no address) by the blocks of a site, of either version."""
-    n, wide = ipv4_number(ip), [c for c in inside if ":" in c]
+def site(ip: Column, inside: tuple[str, ...], beyond: str | None = None) -> Column:
+    """``internal``, ``external`` or ``unknown`` (no address) by the blocks of a site, of either version; ``beyond`` as in :func:`ipv4_number`."""
+    n, wide = ipv4_number(ip, beyond), [c for c in inside if ":" in c]
     narrow = F.when(in_blocks(n, *[c for c in inside if ":" not in c]), "internal").otherwise("external")
     numbers = ipv6_numbers(ip)
     return F.when(n.isNotNull(), narrow).when(numbers.isNull(), "unknown").when(in_blocks_v6(numbers, *wide), "internal").otherwise("external")
 
 
-def address_numbers(ip: Column) -> Column:
-    """An address of either version as a struct of ``v4`` and ``v6``, one of them null at least."""
-    return F.struct(ipv4_number(ip).alias("v4"), ipv6_numbers(ip).alias("v6"))
+def address_numbers(ip: Column, beyond: str | None = None) -> Column:
+    """An address of either version as a struct of ``v4`` and ``v6``, one of them null at least; ``beyond`` as in :func:`ipv4_number`."""
+    return F.struct(ipv4_number(ip, beyond).alias("v4"), ipv6_numbers(ip).alias("v6"))
 
 
 def address_features(numbers: Column) -> list[Column]:
@@ -123,6 +136,13 @@ def address_features(numbers: Column) -> list[Column]:
     ]
 
 
+def dotted_cohesion(a: Column, b: Column) -> Column:
+    """Share of leading numbers that two dotted texts have in common, bytes or not; 0 where one is none."""
+    x, y = dotted_parts(a), dotted_parts(b)
+    same = lambda k: (F.slice(x, 1, k) == F.slice(y, 1, k)).cast("int")
+    return F.coalesce(sum((same(k) for k in range(1, 5)), F.lit(0)) / 4, F.lit(0.0))
+
+
 def cohesion(a: Column, b: Column) -> Column:
     """Share of leading bytes that two addresses have in common, of the four bytes that are features: the last four of an IPv6 address; 0 where one is none."""
     last = lambda ip: F.coalesce(ipv4_number(ip), ipv6_numbers(ip)["low"].bitwiseAND(0xFFFFFFFF))
