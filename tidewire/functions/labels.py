@@ -53,12 +53,13 @@ def guessed_label(label: Column, botnet: bool = False, keep_background: bool = T
 
     ``botnet`` also knows the words of botnet captures; there, background traffic counts as benign unless told otherwise.
     """
-    text = normal_label(label)
-    out = None
-    if botnet:
-        parts = BOTNET_PARTS if keep_background else (BOTNET_PARTS[0], ("background", UNRESOLVED, None), *BOTNET_PARTS[1:])
-        out = _first_part(text, parts)
-    return _first_part(text, LABEL_PARTS, out).otherwise(_resolved(UNRESOLVED, None))
+    parts = BOTNET_PARTS if keep_background else (BOTNET_PARTS[0], ("background", UNRESOLVED, None), *BOTNET_PARTS[1:])
+
+    def of(text: Column) -> Column:
+        return _first_part(text, LABEL_PARTS, _first_part(text, parts) if botnet else None).otherwise(_resolved(UNRESOLVED, None))
+
+    # A one-element transform names the text, so that it is made once and not for each word and each field.
+    return F.get(F.transform(F.array(normal_label(label)), of), 0)
 
 
 def resolve_labels(df: DataFrame, label: str, labels: DataFrame, botnet: bool = False, name: str = "resolved") -> DataFrame:
