@@ -20,16 +20,23 @@ def incidence(flows: DataFrame) -> DataFrame:
 
 def window_attributes(flows: DataFrame, width: float, window: str = "window") -> DataFrame:
     """Fifteen attributes of each host in each window of a flow table that has a window column."""
-    src, total = F.col("is_src"), F.sum(F.col("fwd_bytes") + F.col("bwd_bytes"))
-    own = lambda a, b: F.sum(F.when(src, F.col(a)).otherwise(F.col(b)))
-    # First by peer and port: the distinct counts then expand a table of pairs and not the flows.
-    pairs = incidence(flows).groupBy("host", window, "peer", "dst_port").agg(
-        F.count("*").alias("n"), own("fwd_bytes", "bwd_bytes").alias("sent"), own("bwd_bytes", "fwd_bytes").alias("received"), own("fwd_packets", "bwd_packets").alias("psent"), own("bwd_packets", "fwd_packets").alias("preceived"),
-        total.alias("bytes"), F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets"), F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"), F.sum(duration()).alias("seconds"),
+    c, lower = F.col, F.coalesce(F.col("src_ip") <= F.col("dst_ip"), F.col("dst_ip").isNull())  # the source is the lower end; a null is the higher one
+    way = lambda a, b: F.sum(F.when(lower, F.col(a)).otherwise(F.col(b)))
+    # First a row for two hosts and a window, from which both of them are seen: flows are shuffled once and not once an end.
+    pairs = flows.groupBy(F.when(lower, c("src_ip")).otherwise(c("dst_ip")).alias("low"), F.when(lower, c("dst_ip")).otherwise(c("src_ip")).alias("high"), window).agg(
+        F.count("*").alias("n"), way("fwd_bytes", "bwd_bytes").alias("up"), way("bwd_bytes", "fwd_bytes").alias("down"), way("fwd_packets", "bwd_packets").alias("pup"), way("bwd_packets", "fwd_packets").alias("pdown"),
+        F.count_if(c("protocol") == 6).alias("tcp"), F.count_if(c("protocol") == 17).alias("udp"), F.sum(duration()).alias("seconds"), F.collect_set("dst_port").alias("ports"),
     )
-    added = ("n", "sent", "received", "psent", "preceived", "bytes", "packets", "tcp", "udp", "seconds")
-    sums = pairs.groupBy("host", window).agg(*[F.sum(x).alias(x) for x in added], F.count_distinct("peer").alias("peers"), F.count_distinct("dst_port").alias("ports"))
-    c, one, span = F.col, F.lit(1.0), max(1.0, width)
+    end = lambda host, peer, way: F.struct(c(host).alias("host"), c(peer).isNotNull().cast("long").alias("peers"), *[c(f"{p}{k}").alias(f"{p}{name}") for p in ("", "p") for k, name in zip(way, ("sent", "received"), strict=True)])
+    both = F.array(end("low", "high", ("up", "down")), end("high", "low", ("down", "up")))
+    ends = pairs.select(window, "n", "tcp", "udp", "seconds", "ports", F.inline(F.when(c("low") == c("high"), F.slice(both, 1, 1)).otherwise(both)))
+    # A row a port, of which a pair's first has its sums: ports, at most 65,536, are then told apart as the sums are added, with no table expanded for distinct counts.
+    added = ("n", "sent", "received", "psent", "preceived", "tcp", "udp", "seconds", "peers")
+    first = F.coalesce(c("place"), F.lit(0)) == 0
+    each = ends.select("host", window, *added, F.posexplode_outer("ports").alias("place", "port")).select("host", window, "port", *[F.when(first, c(x)).alias(x) for x in added])
+    sums = each.groupBy("host", window).agg(*[F.sum(x).alias(x) for x in added], F.size(F.collect_set("port")).alias("ports"))
+    sums = sums.withColumns({"bytes": c("sent") + c("received"), "packets": c("psent") + c("preceived")})
+    one, span = F.lit(1.0), max(1.0, width)
     return sums.select(
         "host", window, scaled_log(c("n"), 10).alias("flows"), scaled_log(c("sent"), 20).alias("sent"), scaled_log(c("received"), 20).alias("received"), scaled_log(c("bytes"), 20).alias("bytes"),
         scaled_log(c("psent"), 10).alias("psent"), scaled_log(c("preceived"), 10).alias("preceived"), scaled_log(c("packets"), 10).alias("packets"), scaled_log(c("peers"), 10).alias("peers"),
