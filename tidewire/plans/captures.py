@@ -50,11 +50,13 @@ def s01_capture_ranges(s, d):
 
 @query(f"""with {PACKETS} select src_ip capture_host, count(*) packets, sum(packet_length)::bigint bytes, count(distinct dst_ip) peers, round(min("timestamp"),3) "first", round(max("timestamp"),3) "last" from packets group by src_ip""")
 def s04_host_captures(s, d):
-    """One capture a host, named after it; packets by the host of their capture's name."""
+    """Captures of a host, one a year, named after it; packets by the host of their capture's name."""
     capture.register(s)
     path = new_path(s, "host-captures")
     named = packets(s, d).withColumn("capture", F.concat(F.lit("UCAP"), "src_ip"))
-    frames(named, "capture").repartition("capture").sortWithinPartitions("capture").write.format("capture").mode("append").save(path)
+    # A host goes on in another capture each year, so that its packets are no one task's.
+    year = F.floor(F.col("timestamp") / (365 * 86_400))
+    frames(named, "capture").repartition("capture", year).sortWithinPartitions("capture").write.format("capture").mode("append").save(path)
     read = capture_ranges.packets(s, path, ["capture_host", "timestamp", "packet_length", "dst_ip"], range_bytes=1 << 20)
     return rounded(read.groupBy("capture_host").agg(F.count("*").alias("packets"), F.sum("packet_length").alias("bytes"), F.count_distinct("dst_ip").alias("peers"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), 3)
 
