@@ -104,3 +104,56 @@ def test_rows_are_written_by_capture(spark, tmp_path):
 def test_headers_between_frames():
     batch = pa.RecordBatch.from_pydict({"timestamp": [1.5, 2.000001], "frame": pa.array([b"abc", b"de"], pa.binary())})
     assert capture._records(batch) == struct.pack("<IIII", 1, 500_000, 3, 3) + b"abc" + struct.pack("<IIII", 2, 1, 2, 2) + b"de"
+
+
+class _Source:
+    """An open file that remembers how much was read of it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def read_at(self, n, at):
+        part = self.data[at : at + n]
+        self.read += len(part)
+        return part
+
+
+def test_the_first_record_is_found_by_reading_little(spark):
+    record = lambda k, n: struct.pack("<IIII", 1_500_000_000 + k, k % 1_000_000, n, n) + b"A" * n
+    head = struct.pack("<IHHiIII", capture.MICRO, 2, 4, 0, 0, 65535, 1)
+    plain = _Source(head + b"".join(record(k, 80 + k % 9) for k in range(40_000)))
+    form = capture.Format.of(plain.data[:24], "x")
+    at, begins = 24, []
+    while at < len(plain.data):
+        begins.append(at)
+        at += 16 + struct.unpack_from("<I", plain.data, at + 8)[0]
+    low = 1_000_001
+    assert capture_ranges.first_record(plain, form, low, low + (1 << 19), len(plain.data)) == next(b for b in begins if b >= low)
+    assert plain.read <= 1 << 18
+    # Chains that reach beyond what is read at first, and up to the file's end.
+    wide = _Source(head + b"".join(record(k, 200_000) for k in range(12)))
+    for low in (25, 24 + 200_016, 24 + 9 * 200_016 + 1):
+        high = low + 400_000
+        assert capture_ranges.first_record(wide, form, low, high, len(wide.data)) == 24 + -(-(low - 24) // 200_016) * 200_016
+
+
+def test_small_ranges_share_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(capture_ranges, "TASKS", 100_000)
+    ranges = capture_ranges.record_ranges(spark, folder, 2_500)
+    assert ranges.count() > 100
+    assert capture_ranges.packets(spark, folder, COLUMNS, ranges=ranges).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_host_is_no_one_task(spark, monkeypatch):
+    from tidewire.plans.catalog import QUERIES
+
+    listed = []
+    read = capture_ranges.packets
+    monkeypatch.setattr(capture_ranges, "packets", lambda s, path, *a, **k: listed.append(capture_ranges.captures(s, path).groupBy("capture_host").count().collect()) or read(s, path, *a, **k))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        QUERIES["s04_host_captures"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(key)
+    assert max(r["count"] for r in listed[0]) > 1

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common.store import written
@@ -20,8 +20,8 @@ from .capture import CHUNK, COLUMNS, HEAD, HOST_IN_NAME, LONGEST, RECORD, SCHEMA
 
 #: Bytes of a range, records that follow one another where a chain is believed, and the most tasks of one read.
 RANGE_BYTES, CHAIN, TASKS = 64 << 20, 8, 100_000
-#: Bytes that are searched at once for the first record of a range.
-STEP = 1 << 18
+#: Bytes that are searched at once for the first record of a range, and bytes beyond them that are read for the chain: where these are too few, as many as a chain can have.
+STEP, NEAR = 1 << 16, 1 << 16
 _WALKED = "path string, part long, low long, high long, start long, stop long, broken boolean, records long"
 
 
@@ -50,19 +50,31 @@ def first_record(source, form: Format, low: int, high: int, size: int) -> int |
     """The first place from ``low`` and before ``high`` from which CHAIN plausible records follow one another, or records up to the file's end."""
     at = low
     while at < high:
-        block = source.read_at(min(STEP, high - at) + CHAIN * (RECORD + LONGEST), at)
-        places = _plausible(form, block)
-        known = set(places.tolist())
-        for place in places[places < min(STEP, high - at)].tolist():
-            then, n = place, 0
-            while n < CHAIN and then in known:
-                then, n = then + RECORD + form.kept.unpack_from(block, then)[0], n + 1
-            if n == CHAIN or (n and at + then == size):
-                return at + place
+        span = min(STEP, high - at)
+        place, cut = _chain_start(form, source.read_at(span + NEAR, at), span, size - at)
+        if cut:
+            place, _ = _chain_start(form, source.read_at(span + CHAIN * (RECORD + LONGEST), at), span, size - at)
+        if place is not None:
+            return at + place
         at += STEP
     return None
 
 
+def _chain_start(form: Format, block: bytes, span: int, left: int) -> tuple[int | None, bool]:
+    """The first place of a block's ``span`` from which a chain leads on, up to the file's end ``left`` bytes away; and whether the block ended before that could be told."""
+    places = _plausible(form, block)
+    known = set(places.tolist())
+    for place in places[places < span].tolist():
+        then, n = place, 0
+        while n < CHAIN and then in known:
+            then, n = then + RECORD + form.kept.unpack_from(block, then)[0], n + 1
+        if n == CHAIN or (n and then == left):
+            return place, False
+        if len(block) - RECORD < then and len(block) < left:
+            return None, True
+    return None, False
+
+
 def _walk(rows: DataFrame, given: bool) -> DataFrame:
     """Where the records of each range begin and end; ``given`` says that ``start`` holds where its first record begins."""
 
@@ -93,9 +105,11 @@ def _arrow() -> pa.Schema:
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in _WALKED.split(", ")])
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """The rows of a small table over as many tasks as there are rows, within bounds."""
-    return rows.repartition(max(1, min(TASKS, rows.count())))
+def _spread(rows: DataFrame, size: Column) -> DataFrame:
+    """Ranges of about ``size`` bytes each over tasks of RANGE_BYTES, but enough of them for all cores: a task costs more than a small range."""
+    found = rows.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    wanted = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-(found["bytes"] or 0) // RANGE_BYTES))
+    return rows.repartition(max(1, min(TASKS, found["n"], wanted)))
 
 
 def record_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -108,7 +122,7 @@ def record_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
     parts = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / range_bytes))))
     none = F.lit(None).cast("long")
     cut = parts.select("path", "part", F.greatest(F.lit(HEAD), F.col("part") * range_bytes).cast("long").alias("low"), F.least(F.col("bytes"), (F.col("part") + 1) * range_bytes).alias("high"), none.alias("start"), none.alias("stop"), F.lit(False).alias("broken"), none.alias("records")).where("low < high")
-    walked = written(_walk(_spread(written(cut, "cut")), given=False), "walked")
+    walked = written(_walk(_spread(written(cut, "cut"), F.col("high") - F.col("low")), given=False), "walked")
     earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         due = F.coalesce(F.max("stop").over(earlier), F.lit(HEAD).cast("long"))
@@ -121,7 +135,7 @@ def record_ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
             if wrong.limit(1).count():
                 raise RuntimeError("a range was not walked to its end")
             return written(seen.where(~F.col("over") & (F.col("records") > 0)).select("path", "part", "start", "stop", "records"), "ranges")
-        again = _walk(_spread(first), given=True)
+        again = _walk(_spread(first, F.col("high") - F.col("low")), given=True)
         walked = written(walked.join(first.select("path", "part"), ["path", "part"], "left_anti").unionByName(again), "walked")
 
 
@@ -143,4 +157,4 @@ def packets(spark: SparkSession, folder: str, columns: list[str] | None = None,
                 with system.open_input_file(path) as source:
                     yield from read_range(source, path.rsplit("/", 1)[-1], row["start"], row["stop"], columns)
 
-    return _spread(rows.select("path", "start", "stop")).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in columns))
+    return _spread(rows.select("path", "start", "stop"), F.col("stop") - F.col("start")).mapInArrow(run, ", ".join(f"{c} {COLUMNS[c]}" for c in columns))
