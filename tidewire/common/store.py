@@ -117,6 +117,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often they are used.
+
+    Spark may write a column out again at each use, and does so for filters, which it moves before the column. A generated one it leaves as it is.
+    """
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named, on whatever file system it is."""
     jvm = spark.sparkContext._jvm

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..common.store import bounded_broadcast, once, written
 from ..functions.flow import invalid_time
 from ..functions.labels import guessed_label
 
@@ -19,6 +20,8 @@ DAILY_2018 = {
     "src ip": "src_ip", "dst ip": "dst_ip", "src port": "src_port", "dst port": "dst_port", "protocol": "protocol", "timestamp": "time", "flow duration": "duration",
     "tot fwd pkts": "fwd_packets", "tot bwd pkts": "bwd_packets", "totlen fwd pkts": "fwd_bytes", "totlen bwd pkts": "bwd_bytes", "label": "label",
 }
+#: Days (or files) up to which a table of them is broadcast.
+DAYS = 100_000
 PROTOCOLS = {"tcp": 6, "udp": 17, "icmp": 1}
 
 
@@ -51,13 +54,16 @@ def clock_repair(df: DataFrame, t: str, day: str) -> DataFrame:
     Such a day has at least 500 valid rows, none in hour 0 or from 13 on, some from 1 to 7 and some from 8 to 12. The
     verdict is one row a day, from an aggregate of at most 24 hours a day.
     """
-    hour = F.floor(F.pmod(F.col(t), F.lit(86400)) / 3600)
+    hour, names = F.floor(F.pmod(F.col(t), F.lit(86400)) / 3600), df.columns
+    df = once(df, **{t: F.col(t)})
     per = df.where(~invalid_time(F.col(t))).groupBy(day).agg(
         F.count("*").alias("n"), F.count_if((hour == 0) | (hour >= 13)).alias("late"), F.count_if(hour.between(1, 7)).alias("early"), F.count_if(hour.between(8, 12)).alias("noon"),
     )
     days = per.select(F.col(day).alias("clock day"), ((F.col("n") >= 500) & (F.col("late") == 0) & (F.col("early") > 0) & (F.col("noon") > 0)).alias("dial"))
     fixed = F.when(F.coalesce("dial", F.lit(False)) & hour.between(1, 7) & (F.col(t) > 0), F.col(t) + 43200).otherwise(F.col(t))
-    return df.join(days, F.col(day).eqNullSafe(F.col("clock day")), "left").withColumn(t, fixed).drop("clock day", "dial")
+    # A few days hold all rows: a join by the day would shuffle them to as many tasks.
+    few = bounded_broadcast(written(days, "clock-days"), DAYS)
+    return df.join(few, F.col(day).eqNullSafe(F.col("clock day")), "left").withColumn(t, fixed).select(*names)
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
