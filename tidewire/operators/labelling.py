@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common.store import bounded_broadcast
+from ..common.store import bounded_broadcast, written
 from .hosts import incidence
 
 #: Distinct labels up to which a table of them is broadcast for lenient comparison.
@@ -18,19 +18,25 @@ def flow_hits(flows: DataFrame, label: str, pairs: DataFrame, participants: Data
     """``flows`` with ``hit``: whether a flow belongs to the attack of its interval's ``label``.
 
     If the label has ``pairs`` (``label``, ``a``, ``b``), the flow's ends have to be one, in either direction; else if it has
-    ``participants`` (``label``, ``ip``), one end has to be among them; else null: the interval cannot say.
+    ``participants`` (``label``, ``ip``), one end has to be among them; else null: the interval cannot say. ``flows`` is read several times: best a written table.
     """
     low, high = F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip")
     known = pairs.select(F.col("label").alias("pair label"), F.least("a", "b").alias("low ip"), F.greatest("a", "b").alias("high ip")).distinct().withColumn("by pair", F.lit(True))
     scoped = pairs.select("label", F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(participants.select("label", F.lit(0).alias("p"), F.lit(1).alias("q")))
     scoped = scoped.groupBy(F.col("label").alias("scope label")).agg((F.max("p") == 1).alias("has pairs"), (F.max("q") == 1).alias("has participants"))
     members = participants.select(F.col("label").alias("member label"), "ip").distinct()
-    x = flows.join(known, (F.col(label) == F.col("pair label")) & (low == F.col("low ip")) & (high == F.col("high ip")), "left").join(scoped, F.col(label) == F.col("scope label"), "left")
+    # Labels are few and hold all flows, so their scopes are broadcast; only flows whose label has pairs, or participants, are then shuffled to look for these.
+    x = flows.join(bounded_broadcast(written(scoped, "scopes"), LABELS), F.col(label) == F.col("scope label"), "left")
+    by_pair, by_member = F.coalesce("has pairs", F.lit(False)), F.coalesce("has participants", F.lit(False))
+    paired = x.where(by_pair).join(known, (F.col(label) == F.col("pair label")) & (low == F.col("low ip")) & (high == F.col("high ip")), "left")
+    listed = x.where(~by_pair & by_member)
     for end in ("src_ip", "dst_ip"):
         own = members.select(F.col("member label").alias(f"{end} label"), F.col("ip").alias(f"{end} member"))
-        x = x.join(own, (F.col(label) == F.col(f"{end} label")) & (F.col(end) == F.col(f"{end} member")), "left")
+        listed = listed.join(own, (F.col(label) == F.col(f"{end} label")) & (F.col(end) == F.col(f"{end} member")), "left")
     either = F.col("src_ip member").isNotNull() | F.col("dst_ip member").isNotNull()
-    return x.select(*[flows[c] for c in flows.columns], F.when(F.col("has pairs"), F.coalesce("by pair", F.lit(False))).when(F.col("has participants"), either).alias("hit"))
+    hits = ((paired, F.coalesce("by pair", F.lit(False))), (listed, either), (x.where(~by_pair & ~by_member), F.lit(None).cast("boolean")))
+    a, b, c = (rows.select(*flows.columns, hit.alias("hit")) for rows, hit in hits)
+    return a.unionByName(b).unionByName(c)
 
 
 def scoped_category(is_attack: Column, hit: Column, category: Column) -> Column:

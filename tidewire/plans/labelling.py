@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common.store import written
 from ..functions import flow as X
 from ..operators import hosts as H
 from ..operators import labelling as L
@@ -18,7 +19,7 @@ _SCOPES = """pr as (select distinct coarse_category l, least(src_ip,dst_ip) a, g
 
 
 def _hits(s, d):
-    f = flows(s, d).select("seq", "src_ip", "dst_ip", "is_attack", "coarse_category")
+    f = written(flows(s, d).select("seq", "src_ip", "dst_ip", "is_attack", "coarse_category"), "scoped-flows")
     own = f.select(F.col("coarse_category").alias("label"), F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"), "seq")
     pairs = own.where("label in ('Recon', 'InitialAccess') and seq % 3 = 0").select("label", "a", "b")
     members = own.where("label in ('C2', 'InitialAccess') and seq % 5 = 0").select("label", F.col("b").alias("ip"))
