@@ -9,7 +9,7 @@ from ..functions import address
 from ..operators import graphs as G
 from ..operators import splits as D
 from ..operators import temporal as T
-from ..sources.tables import flows, series, table
+from ..sources.tables import flows, sent_flows, series, table
 from .base import FLOW_WINDOW, FLOWS, GRID, HORIZON, PRIVATE, SERIES, STAGE, query, rounded
 
 _NOW, _NODE_TTL, _EDGE_TTL = 900_000_000, 30_000_000, 15_000_000
@@ -170,7 +170,7 @@ def d06_host_disjoint_split(s, d):
 @query(f"""with {FLOWS}, c as (select coarse_category c, count(*) n from flows group by 1) select c category, (select cast(floor(median(n)) as bigint) from c) "rows" from c""")
 def a16_median_resample(s, d):
     """Classes cut or repeated to the median size."""
-    f = flows(s, d).select("seq", F.col("coarse_category").alias("category"))
+    f = sent_flows(s, d).select("seq", F.col("coarse_category").alias("category"))
     return D.to_median(f, "category", F.pmod(F.col("seq") * 2654435761, F.lit(1000003)), "seq").groupBy("category").agg(F.count("*").alias("rows"))
 
 
