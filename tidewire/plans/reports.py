@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common.store import written
 from ..operators import alerts as A
 from ..operators import forecast as P
 from ..operators import hosts as H
 from ..operators import reports as R
 from ..operators import temporal as T
-from ..sources.tables import flows, scores, series, table
+from ..sources.tables import flows, scores, sent_flows, series, table
 from .base import FLOW_WINDOW, FLOWS, GRID, HORIZON, PAUSE, SCORES, SERIES, STAGE, query, rounded
 
 _HOURS = 24.0
@@ -68,7 +69,7 @@ def m23_class_curves(s, d):
  g as (select pos, m, sum(pos) over (order by p desc) t, sum(m) over (order by p desc) a from h) select round((sum(pos*t/a)/sum(pos))::double,6) average_precision, round((sum((m-pos)*(t-pos)+(m-pos)*pos/2)/(sum(pos)*sum(m-pos)))::double,6) roc_auc from g""")
 def m23_link_scores(s, d):
     """Average precision and ROC-AUC of real edges against as many that are not."""
-    f = flows(s, d).select("seq")
+    f = sent_flows(s, d).select("seq")
     real = f.select(F.lit(1).alias("y"), (F.col("seq") * 7919 % 1000 / 1000).alias("p"))
     drawn = f.select(F.lit(0).alias("y"), ((F.col("seq") * 104729 + 13) % 997 / 1000).alias("p"))
     return rounded(R.detection_report(real.union(drawn)).select("average_precision", "roc_auc"))
@@ -96,8 +97,7 @@ def a20_covering_hosts(s, d):
 @query(f"""with {FLOWS}, a as (select start_time-lag(start_time,1,0) over (partition by src_ip order by start_time, seq) x, start_time-lag(start_time,1,0) over (partition by dst_ip order by start_time, seq) y from flows) select 'source' side, count(*) n, round(avg(x),3) mean, round(stddev_pop(x)/1000,3) std_k from a union all select 'target', count(*), round(avg(y),3), round(stddev_pop(y)/1000,3) from a""")
 def a15_both_ends(s, d):
     """Time since the previous edge of the source, and of the target."""
-    f = flows(s, d)
-    each = [R.time_statistics(f, node, "start_time", "seq").select(F.lit(side).alias("side"), "n", "mean", (F.col("std") / 1000).alias("std_k")) for side, node in (("source", "src_ip"), ("target", "dst_ip"))]
+    each = [R.time_statistics(f, node, "start_time", "seq").select(F.lit(side).alias("side"), "n", "mean", (F.col("std") / 1000).alias("std_k")) for side, node, f in (("source", "src_ip", sent_flows(s, d)), ("target", "dst_ip", flows(s, d)))]
     return rounded(each[0].unionByName(each[1]), 3)
 
 
@@ -149,9 +149,10 @@ _LINKS = f"""lk as (select * from (select x.node u, y.node v, (case when {STAGE.
 
 
 def _nodes_and_links(s, d):
-    nodes = A.compact_alike(_entries(s, d), HORIZON)
+    # Both are read several times.
+    nodes = written(A.compact_alike(_entries(s, d), HORIZON), "nodes")
     links = A.score_edges(nodes.select("host", F.col("node").alias("event_id"), F.col("start").alias("t"), "category"), HORIZON, 0.35)
-    return nodes, links.select("u", "v", "score")
+    return nodes, written(links.select("u", "v", "score"), "links")
 
 
 @query(f"""with {_ENTRIES}, {_LINKS}, en2 as (select distinct unnest([u,v]) node from lk where score>=0.7), kp as (select *, node in (select node from en2) or category not in ('Benign','None','Unknown') or coalesce(technique,'') not in ('Benign','None','') or risk>=0.9::double stays from nd),
