@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,25 +67,35 @@ def _private_v4(n: Column) -> Column:
 def ipv6_numbers(ip: Column) -> Column:
     """An IPv6 address as a struct of two signed longs, ``high`` and ``low``; null for anything else. A zone is left out."""
     text = F.lower(F.trim(ip))
-    named = F.when(text.rlike("^[^%]*(%[^%]+)?$"), F.substring_index(text, "%", 1))
-    tail = ipv4_number(F.regexp_extract(named, _TAIL, 2))
-    # An IPv4 end counts as two groups; one that is no address leaves its dots, which no group has.
-    last = F.concat_ws(":", F.hex(F.shiftright(tail, 16)), F.hex(tail.bitwiseAND(0xFFFF)))
-    plain = F.when(named.rlike(_TAIL) & tail.isNotNull(), F.concat(F.regexp_extract(named, _TAIL, 1), F.lower(last))).otherwise(named)
-
-    def of(t: Column) -> Column:
-        sides = F.split(t, "::", -1)
+    empty = F.array().cast("array<string>")
+    groups = lambda side: F.when(side == "", empty).otherwise(F.split(side, ":"))
+    half = lambda whole, k: F.conv(F.array_join(F.transform(F.slice(whole, k, 4), lambda g: F.lpad(g, 4, "0")), ""), 16, -10).cast("long")
+
+    def without_tail(named: Column) -> Column:
+        # An IPv4 end counts as two groups; one that is no address leaves its dots, which no group has.
+        tail = ipv4_number(F.regexp_extract(named, _TAIL, 2))
+        last = lambda n: F.concat(F.regexp_extract(named, _TAIL, 1), F.lower(F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(0xFFFF)))))
+        return F.when(named.contains(":") & named.contains("."), _named(tail, lambda n: F.when(n.isNotNull(), last(n)).otherwise(named))).otherwise(named)
+
+    def of_sides(sides: Column) -> Column:
         left, right = F.get(sides, 0), F.coalesce(F.get(sides, 1), F.lit(""))
-        groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-        given = F.size(groups(left)) + F.size(groups(right))
-        fits = F.when(F.size(sides) == 1, given == 8).otherwise((F.size(sides) == 2) & (given <= 7))
-        whole = F.concat(groups(left), F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), groups(right))
-        half = lambda k: F.conv(F.array_join(F.transform(F.slice(whole, k, 4), lambda g: F.lpad(g, 4, "0")), ""), 16, -10).cast("long")
-        ok = t.contains(":") & left.rlike(_GROUPS) & right.rlike(_GROUPS) & fits
-        return F.when(ok, F.struct(half(1).alias("high"), half(5).alias("low")))
+        ok = (F.size(sides) <= 2) & left.rlike(_GROUPS) & right.rlike(_GROUPS)
+        return F.when(ok, _named(F.struct(groups(left).alias("l"), groups(right).alias("r"), F.size(sides).alias("n")), of_groups))
+
+    def of_groups(g: Column) -> Column:
+        given = F.size(g["l"]) + F.size(g["r"])
+        whole = F.concat(g["l"], F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), g["r"])
+        fits = F.when(g["n"] == 1, given == 8).otherwise(given <= 7)
+        return F.when(fits, _named(whole, lambda w: F.struct(half(w, 1).alias("high"), half(w, 5).alias("low"))))
+
+    named = F.when(text.contains(":") & text.rlike("^[^%]*(%[^%]+)?$"), F.substring_index(text, "%", 1))
+    plain = _named(named, without_tail)
+    return F.when(plain.contains(":"), _named(F.split(plain, "::", -1), of_sides))
+
 
-    # A one-element transform names the text, so that it is made once.
-    return F.get(F.transform(F.array(plain), of), 0)
+def _named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used: a one-element transform names it."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _signed(n: int) -> int:
@@ -106,10 +117,14 @@ def in_blocks_v6(numbers: Column, *cidrs: str) -> Column:
 
 def site(ip: Column, inside: tuple[str, ...], beyond: str | None = None) -> Column:
     """``internal``, ``external`` or ``unknown`` (no address) by the blocks of a site, of either version; ``beyond`` as in :func:`ipv4_number`."""
-    n, wide = ipv4_number(ip, beyond), [c for c in inside if ":" in c]
+    return site_of(address_numbers(ip, beyond), inside)
+
+
+def site_of(numbers: Column, inside: tuple[str, ...]) -> Column:
+    """:func:`site` of a column of :func:`address_numbers`."""
+    n, wide = numbers["v4"], [c for c in inside if ":" in c]
     narrow = F.when(in_blocks(n, *[c for c in inside if ":" not in c]), "internal").otherwise("external")
-    numbers = ipv6_numbers(ip)
-    return F.when(n.isNotNull(), narrow).when(numbers.isNull(), "unknown").when(in_blocks_v6(numbers, *wide), "internal").otherwise("external")
+    return F.when(n.isNotNull(), narrow).when(numbers["v6"].isNull(), "unknown").when(in_blocks_v6(numbers["v6"], *wide), "internal").otherwise("external")
 
 
 def address_numbers(ip: Column, beyond: str | None = None) -> Column:
@@ -120,7 +135,7 @@ def address_numbers(ip: Column, beyond: str | None = None) -> Column:
 def address_features(numbers: Column) -> list[Column]:
     """Twelve features of an address: valid, IPv4, private, global, multicast, reserved, link-local, the last four bytes, bias.
 
-    ``numbers`` is a column of :func:`address_numbers`, so that a text is read once for all of them. Anything that is no address has the bias
+    ``numbers`` is a column of :func:`address_numbers`, by ``store.once``, so that a text is read once for all of them. Anything that is no address has the bias
     only. An IPv4 address that is mapped into IPv6 is private or global as itself, and otherwise an IPv6 one.
     """
     n, wide = numbers["v4"], numbers["v6"]
@@ -136,6 +151,11 @@ def address_features(numbers: Column) -> list[Column]:
     ]
 
 
+def address_feature_array(numbers: Column) -> Column:
+    """:func:`address_features` as one array. It is computed by expressions and not by generated code, which for all features at once gets too long for Java to compile."""
+    return _named(numbers, lambda n: F.array(*address_features(n)))
+
+
 def dotted_cohesion(a: Column, b: Column) -> Column:
     """Share of leading numbers that two dotted texts have in common, bytes or not; 0 where one is none."""
     x, y = dotted_parts(a), dotted_parts(b)
