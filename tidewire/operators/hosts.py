@@ -113,11 +113,14 @@ def behaviour(flows: DataFrame) -> DataFrame:
 
 
 def exposure(flows: DataFrame, k: int, window: str = "window") -> DataFrame:
-    """How much of each window the last ``k`` flows of a host show: one row of totals."""
+    """How much of each window the last ``k`` flows of a host show: one row of totals.
+
+    Of flows that share time and number, attacks count as the later ones, so that the totals do not depend on how the rows come.
+    """
     from pyspark.sql import Window
 
     c = F.col
-    recent = F.row_number().over(Window.partitionBy("host", window).orderBy(F.desc("start_time"), F.desc("seq")))
+    recent = F.row_number().over(Window.partitionBy("host", window).orderBy(F.desc("start_time"), F.desc("seq"), F.desc("is_attack")))
     per = incidence(flows).select("host", window, "is_attack", recent.alias("k")).groupBy("host", window).agg(F.count("*").alias("n"), F.count_if("is_attack").alias("attacks"), F.count_if(c("is_attack") & (c("k") <= k)).alias("shown"))
     return per.agg(F.count("*").alias("windows"), F.count_if(c("n") > k).alias("cut"), F.sum(F.greatest(c("n") - k, F.lit(0))).alias("hidden"), F.count_if((c("attacks") > 0) & (c("shown") == 0)).alias("blind"))
 
