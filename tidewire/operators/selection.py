@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import running_totals
+from ..common.store import written
 from .temporal import merged_spans_sliced, ranged_within
 
 #: Data sets that schemes across years train on, and the one they test on.
@@ -113,22 +113,33 @@ def latest_in_bucket(streams: list[DataFrame], bucket: str, host: str, order: st
     return own.select(bucket, host, *[f"own.{c}" for c in columns if c != "stream"])
 
 
-def uniform_neighbours(edges: DataFrame, queries: DataFrame, node: str, peer: str, t: str, tie: str, k: int, seed: int) -> DataFrame:
+def uniform_neighbours(edges: DataFrame, queries: DataFrame, node: str, peer: str, t: str, tie: str, k: int, seed: int, width: float = 7_776_000.0) -> DataFrame:
     """``k`` neighbours of each query (``query``, ``node``, ``cut``) before its time, drawn with replacement by a seeded hash, by time.
 
     Edges of a node are numbered in time; a query's earlier ones are the first so many, so each draw is a number and a lookup, and no
-    query meets all edges of its node.
+    query meets all edges of its node. A node's time is cut into slices of ``width`` seconds, so a node is no one task's: edges and queries of
+    a slice are numbered in one window, and how many edges precede a slice comes from a row a node. Edges without a time are before nothing.
     """
-    placed = ranged_within(edges.select(node, peer, t, tie), [node], [t, tie], "edge place")
-    # How many edges of a node precede a time: counts per time, carried on by ranges of the times.
-    asked = queries.select("query", F.col("node").alias("n"), F.col("cut").alias("at"))
-    times = placed.select(F.col(node).alias("n"), F.col(t).alias("at"), F.lit(1).alias("c")).unionByName(asked.select("n", "at", F.lit(0).alias("c")))
-    counts = running_totals(times.groupBy("n", "at").agg(F.sum("c").alias("c")), "at", ["c"], keys=("n",))
-    sized = asked.join(counts, ["n", "at"]).withColumn("size", F.col("upto_c") - F.col("c")).where("size > 0")
-    draws = sized.select("query", F.col("n").alias(node), "size", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
-    drawn = draws.withColumn("edge place", F.pmod(F.col("query") * 2654435761 + F.col("draw") * 40503 + seed, F.col("size")) + 1)
-    found = drawn.join(placed, [node, "edge place"])
-    return found.select("query", F.row_number().over(Window.partitionBy("query").orderBy(t, tie, "draw")).alias("place"), peer, t)
+    c = F.col
+    slice_ = F.floor(c("at") / width).cast("long").alias("slice")
+    kept = edges.where(c(t).isNotNull()).select(c(node).alias("node"), c(t).alias("at"), F.lit(1).alias("edge"), c(tie).alias("tie"), c(peer).alias("peer"))
+    asked = queries.select("node", c("cut").alias("at"), F.lit(0).alias("edge"), "query")
+    both = kept.unionByName(asked, allowMissingColumns=True).select("*", slice_)
+    # At equal times queries come first: the edges up to a query are those before it, those up to an edge give its place.
+    inside = Window.partitionBy("node", "slice").orderBy("at", "edge", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = written(both.select("*", F.sum("edge").over(inside).alias("place")), "neighbours")
+    sizes = rows.groupBy("node", "slice").agg(F.sum("edge").alias("rows"))
+    before = sizes.select("node", "slice", (F.sum("rows").over(Window.partitionBy("node").orderBy("slice")) - c("rows")).alias("before"))
+    parts = before.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("before", "slice"))).alias("parts"))
+    own = F.get(F.filter("parts", lambda x: x["slice"] == F.col("slice")), 0)["before"]
+    sized = rows.where("edge = 0").join(parts, "node").select("query", "node", "parts", (c("place") + own).alias("size")).where("size > 0")
+    draws = sized.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
+    draws = draws.withColumn("drawn", F.pmod(c("query") * 2654435761 + c("draw") * 40503 + seed, c("size")) + 1)
+    # The last slice that begins before the drawn edge holds it; empty ones begin where the next does.
+    draws = draws.withColumn("part", F.element_at(F.filter("parts", lambda x: x["before"] < F.col("drawn")), -1))
+    drawn = draws.select("query", "node", "draw", c("part.slice").alias("slice"), (c("drawn") - c("part.before")).alias("place"))
+    found = drawn.join(rows.where("edge = 1").select("node", "slice", "place", "at", "tie", "peer"), ["node", "slice", "place"])
+    return found.select("query", F.row_number().over(Window.partitionBy("query").orderBy("at", "tie", "draw")).alias("place"), c("peer").alias(peer), c("at").alias(t))
 
 
 def split_in_time(members: DataFrame, component: str, start: str, end: str, tie: str, gap: float, width: float = 86_400.0) -> DataFrame:
